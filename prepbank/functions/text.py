@@ -4,6 +4,9 @@ Patterns avoid ``.`` and ``$`` where Java reads them differently from the wanted
 ``[^\\n]`` is "any but a newline" and ``\\z`` the very end of the text.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +48,7 @@ def classify_role(c: Column) -> Column:
     low = F.lower(c)
     role = F.lit(fixed.FALLBACK_ROLE)
     for name, words in reversed(fixed.ROLE_KEYWORDS.items()):
-        role = F.when(low.rlike("|".join(words)), name).otherwise(role)
+        role = F.when(reduce(or_, (low.contains(w) for w in words)), name).otherwise(role)
     return role
 
 

@@ -201,3 +201,10 @@ def index_rows(bank: DataFrame) -> DataFrame:
     )
     document = text.doc_text(F.col("role"), F.col("type"), F.col("question"))
     return filled.select("id", document.alias("document"), "role", "question", "model_answer", "type")
+
+
+def require_nonblank(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose named columns all hold more than whitespace."""
+    for c in columns:
+        df = df.where(F.length(text.page_trim(F.col(c))) > 0)
+    return df

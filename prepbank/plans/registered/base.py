@@ -94,8 +94,8 @@ retrieved AS (
   SELECT session_id, id, question, model_answer, distance, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY distance, id) AS rank FROM (
       SELECT q.session_id, b.id, b.question, b.model_answer,
-             list_sum(list_transform(list_zip(q.embedding::DOUBLE[], b.embedding::DOUBLE[]),
-                                     p -> (p[1] - p[2]) * (p[1] - p[2]))) AS distance
+             list_sum([(p[1] - p[2]) * (p[1] - p[2])
+                       FOR p IN list_zip(q.embedding::DOUBLE[], b.embedding::DOUBLE[])]) AS distance
       FROM request_vectors q JOIN document_vectors b ON q.role = b.role)) WHERE rank <= 20),
 shuffled AS (
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY md5('0|' || session_id || '|' || id), id) AS place

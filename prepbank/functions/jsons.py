@@ -1,19 +1,33 @@
 """JSON texts as variants."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once per row, however often ``use`` names it."""
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 def parse_json(c: Column) -> Column:
     """Variant of a text that is one JSON value and nothing else; null for any other text.
 
     ``try_parse_json`` alone stops after the first value and lets any text follow it. Here the value stands
     ahead of a second key, the text's own digest, which is only reached when nothing else is in between.
     """
-    mark = F.md5(c)
-    framed = F.concat(F.lit('{"v":'), c, F.lit(',"'), mark, F.lit('":0}'))
-    fields = F.try_variant_get(F.try_parse_json(framed), "$", "map<string,variant>")
-    return F.when(F.map_contains_key(fields, mark), F.try_element_at(fields, F.lit("v")))
+
+    def parsed(text):
+        framed = F.concat(F.lit('{"v":'), text["c"], F.lit(',"'), text["mark"], F.lit('":0}'))
+        fields = F.try_variant_get(F.try_parse_json(framed), "$", "map<string,variant>")
+        return F.struct(fields.alias("fields"), text["mark"].alias("mark"))
+
+    def whole(found):
+        return F.when(F.map_contains_key(found["fields"], found["mark"]), F.try_element_at(found["fields"], F.lit("v")))
+
+    marked = let(c, lambda x: F.struct(x.alias("c"), F.md5(x).alias("mark")))
+    return let(let(marked, parsed), whole)
 
 
 def kind(v: Column, path: str = "$") -> Column:

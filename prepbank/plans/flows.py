@@ -49,9 +49,9 @@ def generated_or_static(
 ) -> DataFrame:
     """The generated question where the response holds both texts, else the first shuffled retrieved one."""
     static = retrieve.pick_one(retrieved, seed=seed).select("session_id", "question", "model_answer")
-    v = payload.recover_json_fenced(F.col("raw"))
-    texts = generated.select(
-        "session_id", payload.text_field(v, "question").alias("_q"), payload.text_field(v, "model_answer").alias("_a")
+    found = payload.generated_question(F.col("raw")).alias("_g")
+    texts = generated.select("session_id", found).select(
+        "session_id", F.col("_g.question").alias("_q"), F.col("_g.model_answer").alias("_a")
     )
     joined = lookup(static, texts, ["session_id"], "left", max_group_rows)
     usable = F.coalesce((F.col("_q") != "") & (F.col("_a") != ""), F.lit(False))
@@ -64,11 +64,13 @@ def generated_or_static(
 
 
 def evaluated_scores(responses: DataFrame, has_key: bool = True) -> DataFrame:
-    """Scores that reach the log, from responses ``session_id, question, raw`` (and ``timestamp``)."""
-    v = payload.recover_json(F.col("raw"))
+    """Scores that reach the log, from responses ``session_id, question, raw`` (and ``timestamp``).
+
+    Rows without a score go in the explode, so every response is parsed once, not in a filter and again after it.
+    """
     keep = [c for c in ("session_id", "question", "timestamp") if c in responses.columns]
-    score = payload.logged_score(F.col("raw"), v, F.lit(has_key))
-    return responses.select(*keep, score.alias("score")).where(F.col("score").isNotNull())
+    score = payload.logged_score(F.col("raw"), F.lit(has_key))
+    return responses.select(*keep, F.explode(F.array_compact(F.array(score))).alias("score"))
 
 
 def reports(

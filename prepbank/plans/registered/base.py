@@ -77,12 +77,12 @@ RECENT = """recent AS (
 RESPONSES = """responses AS (
   SELECT event_id AS id, user_id AS session_id, event_type AS question, ts AS timestamp,
     CASE event_id % 6
-      WHEN 0 THEN 'Sure: {"score": ' || printf('%.2f', value / 10) || ', "summary": "' || event_type
+      WHEN 0 THEN 'Sure: {"score": ' || value || ', "summary": "' || event_type
                   || '", "strengths": ["a ' || event_type || '", "b"], "extra": ' || props || '} done'
       WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```'
       WHEN 2 THEN 'no payload for ' || event_type
       WHEN 3 THEN 'broken ' || props || ' } end'
-      WHEN 4 THEN '{"score": "' || printf('%.2f', value / 10) || '/10"}'
+      WHEN 4 THEN '{"score": "' || value || '/10"}'
       ELSE '' END AS raw
   FROM events)"""
 

@@ -77,7 +77,7 @@ def request_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def responses(spark: SparkSession, folder: str) -> DataFrame:
     """Events as generated texts: JSON in noise, with nothing in it, broken, or missing."""
     key = F.col("event_id")
-    score = F.format_string("%.2f", F.col("value") / 10)
+    score = F.col("value").cast("string")
     whole = F.concat(
         F.lit('Sure: {"score": '), score, F.lit(', "summary": "'), F.col("event_type"),
         F.lit('", "strengths": ["a '), F.col("event_type"), F.lit('", "b"], "extra": '), F.col("props"),

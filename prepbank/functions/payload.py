@@ -19,7 +19,9 @@ PARSED, PARSE_ERROR, NO_RESPONSE, MOCK = "parsed", "parse_error", "no_response",
 
 def json_text(c: Column) -> Column:
     """First ``{`` to the last ``}`` over all lines, else the text without fence tokens."""
-    return F.coalesce(F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit("")), strip_fences(c))
+    start = F.instr(c, "{")
+    end = F.length(c) - F.length(F.substring_index(c, "}", -1))
+    return F.when((start > 0) & (end > start), F.substr(c, start, end - start + 1)).otherwise(strip_fences(c))
 
 
 def recover_json(c: Column) -> Column:

@@ -136,7 +136,7 @@ def file_kind(path: Column) -> Column:
 
 
 def strip_fences(c: Column) -> Column:
-    return strip(F.regexp_replace(c, "```json|```", ""))
+    return strip(F.regexp_replace(c, "```(?:json)?", ""))
 
 
 def strip_prefix(c: Column) -> Column:
@@ -156,18 +156,20 @@ def framed_answer(response: Column, fallback: Column) -> Column:
     return F.when(F.length(response) > 0, cleaned).otherwise(fallback)
 
 
+def _before(c: Column, pattern: str) -> Column:
+    """The text ahead of the first match; the rest is not searched."""
+    return F.split(c, pattern, 2)[0]
+
+
 def strip_tail(c: Column) -> Column:
     """Cut the text at the first fence, function, class or note line."""
-    c = strip_trailing_fence(c)
-    for start in (r"\ndef [a-z]", r"\nclass [A-Z]", r"(?i)\nNote:", r"(?i)\n\*\*Note"):
-        c = F.regexp_replace(c, f"(?s){start}.*", "")
-    return c
+    return _before(c, r"\n(?:```|def [a-z]|class [A-Z]|(?i:Note:|\*\*Note))")
 
 
 def section(label: str, c: Column) -> Column:
-    """Text after ``LABEL:`` up to the next ``\\nWORD:`` line or the end; null when missing or empty."""
-    body = F.regexp_extract(c, rf"(?is){label}:?\s*(.*?)(?=\n[A-Z_]+:|\z)", 1)
-    return F.nullif(strip_tail(page_trim(body)), F.lit(""))
+    """Text after ``LABEL:`` up to the next line that starts with ``WORD:`` or the end; null when missing or empty."""
+    rest = F.ltrim(F.regexp_extract(c, f"(?is){label}:?(.*)", 1), F.lit(fixed.PAGE_WHITESPACE))
+    return F.nullif(strip_tail(page_trim(_before(rest, r"(?i)\n[A-Z_]+:"))), F.lit(""))
 
 
 def bullets(c: Column) -> Column:
@@ -230,22 +232,14 @@ def key_points(points: Column) -> Column:
 def one_decimal(c: Column) -> Column:
     """One-decimal display, rounded on the exact binary value, ties to even (so 0.15 shows 0.1).
 
-    The value is taken apart into exact integer halves of 40 and 50 binary places, so that no
-    decimal rounding of the double happens on the way. Exact for |x| < 2**22.
+    ``over`` has the sign of 20 x - (2 n + 1), which tells whether x lies above the middle of n/10 and (n + 1)/10.
+    Near the middle both of its subtractions are exact in doubles, so the sign is right to the last bit.
     """
-    magnitude = F.abs(c)
-    high = F.floor(magnitude * 2.0**40)
-    low = F.floor((magnitude * 2.0**40 - high) * 2.0**50)
-    wide = "decimal(38,0)"
-    tens = (high.cast("decimal(20,0)") * F.lit(2**50).cast("decimal(17,0)")).cast(wide) + low.cast("decimal(17,0)")
-    tens = (tens.cast("decimal(36,0)") * F.lit(10).cast("decimal(2,0)")).cast(wide)
-    unit = F.lit(str(2**90)).cast(wide)
-    half = F.lit(str(2**89)).cast(wide)
-    whole = F.floor((tens - tens % unit) / unit).cast("bigint")
-    rest = tens % unit
-    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    tenths = whole + up.cast("bigint")
-    digits = F.concat(F.floor(tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    x = F.abs(c)
+    n = F.floor(x * 10)
+    over = x * 4 - ((n * 2 + 1).cast("double") - x * 16)
+    tenths = n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)
+    digits = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
     return F.when(c < 0, F.concat(F.lit("-"), digits)).otherwise(digits)
 
 

@@ -44,6 +44,12 @@ def extend_bank(bank: DataFrame, soft: DataFrame) -> DataFrame:
     return bank.unionByName(soft, allowMissingColumns=True)
 
 
+def _literal_table(spark: SparkSession, rows: list[dict[str, str]]) -> DataFrame:
+    """A few constant rows."""
+    items = [F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*items)))
+
+
 # ---- role banks ----------------------------------------------------------------------------------
 
 
@@ -55,9 +61,8 @@ def pad_to_quota(
     Roles with a template but no rows are padded from 1.
     """
     templates = fixed.PADDING if templates is None else templates
-    spark = curated.sparkSession
-    wording = spark.createDataFrame(
-        [(role, q, a) for role, (q, a) in templates.items()], "role string, _q string, _a string"
+    wording = _literal_table(
+        curated.sparkSession, [{"role": role, "_q": q, "_a": a} for role, (q, a) in templates.items()]
     )
     # the template table is a constant of a few rows, so its side is broadcast
     counts = curated.join(F.broadcast(wording.select("role")), "role", "left_semi").groupBy("role").count()
@@ -141,7 +146,7 @@ def template_grid(
 
 
 def theme_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(fixed.THEMES, "theme string, base_question string")
+    return _literal_table(spark, [{"theme": t, "base_question": q} for t, q in fixed.THEMES])
 
 
 def _draw(seed: int, part: str, key: Column, size: int) -> Column:

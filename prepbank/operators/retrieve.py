@@ -72,7 +72,7 @@ def _matrix(column) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _pack(df: DataFrame, key: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def _pack(df: DataFrame, key: str) -> DataFrame:
     """Rows ``role, cell, <key>, v, d`` packed into blocks of one role and cell."""
     schema = T.StructType(
         [
@@ -86,6 +86,8 @@ def _pack(df: DataFrame, key: str, rows: int = BLOCK_ROWS) -> DataFrame:
         ]
     )
 
+    rows = BLOCK_ROWS
+
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = []

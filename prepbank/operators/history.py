@@ -65,7 +65,7 @@ def with_recent_avg(
     history: DataFrame,
     n: int = fixed.RECENT_SCORES,
     default: float = fixed.DEFAULT_AVERAGE,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Requests with their session's last-n average, the default for sessions without scores."""
     joined = lookup(requests, recent_avg(history, n), ["session_id"], "left", max_group_rows)
@@ -77,7 +77,7 @@ def with_tier(requests: DataFrame, history: DataFrame, **options) -> DataFrame:
 
 
 def adaptive_trace(
-    history: DataFrame, n: int = fixed.RECENT_SCORES, max_group_rows: int = MAX_GROUP_ROWS
+    history: DataFrame, n: int = fixed.RECENT_SCORES, max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """The last-n average and tier as they stood after every answer."""
     traced = rolling(
@@ -108,19 +108,19 @@ def session_list(history: DataFrame) -> DataFrame:
     return history.groupBy("session_id").agg(F.max("timestamp").alias("timestamp"))
 
 
-def number_sessions(sessions: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def number_sessions(sessions: DataFrame, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """Session numbers over a session list, newest = 1; equal stamps go by session."""
     order = [F.desc("timestamp"), F.asc("session_id")]
     return number_rows(sessions, [], order, "session_no", max_group_rows=max_group_rows)
 
 
-def number_questions(history: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def number_questions(history: DataFrame, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """Question numbers inside each session, newest = 1."""
     return number_rows(history, ["session_id"], newest_first(), "question_no", max_group_rows=max_group_rows)
 
 
 def history_nested(
-    history: DataFrame, part_rows: int = PART_ROWS, max_group_rows: int = MAX_GROUP_ROWS
+    history: DataFrame, part_rows: int = PART_ROWS, max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Sessions with their questions nested, newest first; sessions newest first.
 
@@ -142,7 +142,7 @@ def history_nested(
 
 
 def history_text(
-    history: DataFrame, part_rows: int = PART_ROWS, max_group_rows: int = MAX_GROUP_ROWS
+    history: DataFrame, part_rows: int = PART_ROWS, max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Transcript of every session, one line per answer, oldest first; long sessions in parts."""
     line = fill(fixed.HISTORY_LINE, question=F.col("question"), score=score_repr(F.col("score")))
@@ -158,7 +158,7 @@ def history_text(
 # ---- reports ----------------------------------------------------------------------------------------
 
 
-def report_or_empty(requests: DataFrame, history: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def report_or_empty(requests: DataFrame, history: DataFrame, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """Requests with their session average, and the fixed message where a session has no scores."""
     joined = lookup(requests, session_avg(history), ["session_id"], "left", max_group_rows)
     return joined.withColumn("report", F.when(F.col("avg_score").isNull(), fixed.REPORT_NO_HISTORY))
@@ -168,7 +168,7 @@ def report_prompt(
     requests: DataFrame,
     history: DataFrame,
     part_rows: int = PART_ROWS,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Report prompts of the sessions that have scores, and how many requests ask for each.
 
@@ -178,6 +178,7 @@ def report_prompt(
     asked = asked.join(session_avg(history), "session_id")
     texts = history_text(history, part_rows, max_group_rows)
     # Parts are fat rows: a session is hot here once its parts hold max_group_rows lines.
-    joined = lookup(texts, asked, ["session_id"], "inner", max(1, max_group_rows // part_rows))
+    hot_parts = None if max_group_rows is None else max(1, max_group_rows // part_rows)
+    joined = lookup(texts, asked, ["session_id"], "inner", hot_parts)
     prompt = prompts.report(F.col("profile_name"), F.col("role"), F.col("avg_score"), F.col("history"))
     return joined.select("session_id", "profile_name", "requests", "avg_score", "part_no", prompt.alias("prompt"))

@@ -32,8 +32,13 @@ class HotKeys:
         self.rows = rows
 
 
-def find_hot_keys(df: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> HotKeys | None:
-    """Keys with more than ``max_group_rows`` rows, largest first, or None."""
+def find_hot_keys(df: DataFrame, keys: Sequence[str], max_group_rows: int | None = MAX_GROUP_ROWS) -> HotKeys | None:
+    """Keys with more than ``max_group_rows`` rows, largest first, or None.
+
+    None for the limit skips the count, for groups that are known to be small.
+    """
+    if max_group_rows is None:
+        return None
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > max_group_rows)
     found = counted.orderBy(F.desc("_rows"), *keys).limit(HOT_KEY_LIMIT).collect()
     if not found:
@@ -61,7 +66,7 @@ def number_rows(
     order: Sequence[Column],
     name: str = "row_no",
     head: dict[str, Column] | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Row numbers from 1 within each key, in ``order``, which must be total within a key.
 
@@ -79,8 +84,8 @@ def number_rows(
         return _number_by_window(cold, keys, order, name, head).unionByName(
             _number_by_ranges(rest, keys, order, name, head, hot.rows, max_group_rows)
         )
-    rows = df.count()
-    if rows <= max_group_rows:
+    rows = df.count() if max_group_rows is not None else 0
+    if max_group_rows is None or rows <= max_group_rows:
         return _number_by_window(df, keys, order, name, head)
     return _number_by_ranges(df, keys, order, name, head, rows, max_group_rows)
 
@@ -104,15 +109,15 @@ def _number_by_ranges(df, keys, order, name, head, rows, max_group_rows):
     runs = ranked.groupBy(*keys, "_run").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
     ahead = W.partitionBy(*keys).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
     runs = runs.select(*keys, "_run", "_from", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    joined = _join_small(ranked, runs, [*keys, "_run"])
+    joined = join_small(ranked, runs, [*keys, "_run"])
     numbered = joined.withColumn(name, F.col("_ahead") + F.col("_at") - F.col("_from") + 1)
     if head:
         first = numbered.where(F.col(name) == 1).select(*keys, *[c.alias(n) for n, c in head.items()])
-        numbered = _join_small(numbered, first, keys)
+        numbered = join_small(numbered, first, keys)
     return numbered.select(*df.columns, name, *head)
 
 
-def _join_small(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Null-safe inner join with a small side of unique keys, keeping one copy of the keys."""
     renamed = small.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in small.columns if c not in keys])
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
@@ -125,7 +130,7 @@ def rolling(
     order: Sequence[Column],
     width: int,
     aggs: dict[str, Column],
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Aggregates over each row and the ``width - 1`` rows before it within its key."""
 
@@ -148,8 +153,28 @@ def rolling(
     return frame(cold, keys).unionByName(chunked.select(*df.columns, *aggs))
 
 
+def attach(
+    df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], max_group_rows: int | None = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Add plain aggregates over each key to its rows.
+
+    Ordinary keys need one shuffle, which a numbering over the same keys reuses. Hot keys are pre-aggregated
+    and their few results broadcast.
+    """
+
+    def by_window(part):
+        return part.select("*", *[c.over(W.partitionBy(*keys)).alias(n) for n, c in aggs.items()])
+
+    hot = find_hot_keys(df, keys, max_group_rows)
+    if hot is None:
+        return by_window(df)
+    cold, rest = split_hot(df, keys, hot)
+    totals = rest.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
+    return by_window(cold).unionByName(join_small(rest, totals, list(keys)))
+
+
 def lookup(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", max_group_rows: int = MAX_GROUP_ROWS
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Equi join for a right side with few rows per key.
 

@@ -2,9 +2,13 @@
 
 The top-k join works on blocks. Bank vectors and request vectors are packed, per role and cell, into rows of
 at most BLOCK_ROWS vectors; a task meets one request block and one bank block at a time and passes on only the
-k best per request, so pairs are never rows. For a large bank the vectors are divided into cells around pivot
-vectors. A request first scans its nearest cells that hold k rows; the distance found bounds the search, and
-only cells that the triangle inequality cannot rule out are scanned after that. The result is exact.
+k best per request, so pairs are never rows.
+
+A bank of proven small size is broadcast as blocks: requests then stay where they are until their top-k is merged.
+The vectors of a large bank are divided into cells around pivot vectors. A request first scans its nearest cells
+that hold k rows; the distance found bounds the search, and only cells that the triangle inequality cannot rule out
+are scanned after that. Blocks and requests meet by an equi join on (role, cell), which Spark splits at run time
+where a cell or role is hot. The result is exact either way.
 """
 
 from collections.abc import Callable, Iterator
@@ -28,6 +32,8 @@ BLOCK_ROWS = 512
 # Banks above this size are divided into cells of about this many vectors.
 CELL_ROWS = 50_000
 MAX_CELLS = 1024
+# Largest bank that is broadcast, in bytes of its vectors.
+BROADCAST_BYTES = 128 << 20
 _SAFE = 1e-9
 
 
@@ -60,7 +66,7 @@ def clamp_k(k, total) -> Column:
     return F.least(k, F.greatest(F.lit(1), total))
 
 
-def unmatched(requests: DataFrame, bank: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def unmatched(requests: DataFrame, bank: DataFrame, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """Requests whose role has no bank rows."""
     return lookup(requests, bank.select("role").distinct(), ["role"], "left_anti", max_group_rows)
 
@@ -72,8 +78,11 @@ def _matrix(column) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _pack(df: DataFrame, key: str) -> DataFrame:
-    """Rows ``role, cell, <key>, v, d`` packed into blocks of one role and cell."""
+def _pack(df: DataFrame, key: str, gather: bool = True) -> DataFrame:
+    """Rows ``role, cell, <key>, v, d`` packed into blocks of one role and cell.
+
+    ``gather`` brings rows of a role and cell together first; without it each task packs the rows it has.
+    """
     schema = T.StructType(
         [
             df.schema["role"],
@@ -109,12 +118,15 @@ def _pack(df: DataFrame, key: str) -> DataFrame:
                 yield pd.DataFrame(made, columns=schema.fieldNames())
 
     # rebalance lets Spark split the partition of a hot role or cell at run time
-    spread = df.hint("rebalance", "role", "cell").sortWithinPartitions("role", "cell")
-    return spread.mapInPandas(blocks, schema)
+    placed = df.hint("rebalance", "role", "cell").sortWithinPartitions("role", "cell") if gather else df
+    return placed.mapInPandas(blocks, schema)
+
 
+def _scan(wanted: DataFrame, blocks: DataFrame, rid: str, bid: str, k: int, small: bool = False) -> DataFrame:
+    """The k nearest rows of every request within every block of the cells it wants.
 
-def _scan(wanted: DataFrame, blocks: DataFrame, rid: str, bid: str, k: int) -> DataFrame:
-    """The k nearest rows of every request within every block of the cells it wants."""
+    ``small`` blocks are broadcast, and requests are packed in place.
+    """
     schema = T.StructType(
         [
             T.StructField(rid, wanted.schema[rid].dataType),
@@ -140,9 +152,10 @@ def _scan(wanted: DataFrame, blocks: DataFrame, rid: str, bid: str, k: int) -> D
                 out = out.sort_values([rid, "distance", bid])
                 yield out.groupby(rid, sort=False).head(k)
 
-    packed = _pack(wanted, rid)
+    packed = _pack(wanted, rid, gather=not small)
     left = packed.select("role", "cell", F.col(f"{rid}s").alias("q_ids"), F.col("vs").alias("q_vs"))
     right = blocks.select("role", "cell", F.col(f"{bid}s").alias("b_ids"), F.col("vs").alias("b_vs"))
+    right = F.broadcast(right) if small else right
     met = left.join(right, ["role", "cell"]).select("q_ids", "q_vs", "b_ids", "b_vs")
     return met.mapInPandas(nearest, schema)
 
@@ -168,6 +181,11 @@ def _distances(q: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def _dims(rows: DataFrame) -> int:
+    some = rows.select(F.size("v")).first()
+    return some[0] if some else 0
+
+
 def _with_cell(rows: DataFrame, pivots: np.ndarray | None) -> DataFrame:
     """Add the nearest pivot as ``cell`` and its distance as ``d``."""
     if pivots is None:
@@ -197,7 +215,7 @@ def knn(
     vector: str = "embedding",
     metric: str = "l2",
     cell_rows: int = CELL_ROWS,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """The k nearest bank rows of the same role for every request, nearest first, ties by id.
 
@@ -222,7 +240,8 @@ def knn(
     pivots = _pivots(rows, total, cells) if cells > 1 else None
     if pivots is None or len(pivots) < 2:
         blocks = _pack(_with_cell(rows, None), bid)
-        best = _best(_scan(_with_cell(asked, None), blocks, request_id, bid, k), request_id, bid, k)
+        small = total * _dims(rows) * 8 <= BROADCAST_BYTES
+        best = _best(_scan(_with_cell(asked, None), blocks, request_id, bid, k, small), request_id, bid, k)
     else:
         rows = _keep_copies(rows, bid, k)
         blocks = materialize(_pack(_with_cell(rows, pivots), bid), "blocks")
@@ -278,7 +297,7 @@ def _pruned(asked, blocks, pivots, rid, bid, k, max_group_rows):
 
 
 def with_bank_rows(
-    nearest: DataFrame, bank: DataFrame, bank_id: str = "id", max_group_rows: int = MAX_GROUP_ROWS
+    nearest: DataFrame, bank: DataFrame, bank_id: str = "id", max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Attach the bank's question and answer; a question that is near to very many requests is a hot key."""
     rows = bank.select(bank_id, "question", "model_answer")
@@ -294,7 +313,7 @@ def shuffle_key(seed: int, *parts: Column) -> Column:
 
 
 def shuffle_rows(
-    df: DataFrame, key: str = "session_id", id_col: str = "id", seed: int = 0, max_group_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, key: str = "session_id", id_col: str = "id", seed: int = 0, max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Give the rows of each key a place in a seeded random order."""
     order = [shuffle_key(seed, F.col(key), F.col(id_col)), F.col(id_col)]

@@ -21,7 +21,7 @@ def bank_from_pages(
 
 
 def retrieved_questions(
-    requests: DataFrame, index: DataFrame, k: int = fixed.RETRIEVED, max_group_rows: int = MAX_GROUP_ROWS
+    requests: DataFrame, index: DataFrame, k: int = fixed.RETRIEVED, max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Nearest bank questions of every request, with question and answer text. Both sides carry ``embedding``."""
     nearest = retrieve.knn(requests, index, k, max_group_rows=max_group_rows)
@@ -29,7 +29,7 @@ def retrieved_questions(
 
 
 def question_prompts(
-    requests: DataFrame, retrieved: DataFrame, history: DataFrame, seed: int = 0, max_group_rows: int = MAX_GROUP_ROWS
+    requests: DataFrame, retrieved: DataFrame, history: DataFrame, seed: int = 0, max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Prompt for the next question of every request that has retrieved questions."""
     asked = scores.with_recent_avg(requests, history, max_group_rows=max_group_rows)
@@ -45,7 +45,7 @@ def generated_or_static(
     seed: int = 0,
     generated_label: str = "generated",
     static_label: str = "static-rag",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """The generated question where the response holds both texts, else the first shuffled retrieved one."""
     static = retrieve.pick_one(retrieved, seed=seed).select("session_id", "question", "model_answer")
@@ -74,7 +74,7 @@ def evaluated_scores(responses: DataFrame, has_key: bool = True) -> DataFrame:
 
 
 def reports(
-    requests: DataFrame, history: DataFrame, responses: DataFrame, max_group_rows: int = MAX_GROUP_ROWS
+    requests: DataFrame, history: DataFrame, responses: DataFrame, max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Report text and average of every request, from the responses ``session_id, raw`` to the report prompts."""
     joined = scores.report_or_empty(requests, history, max_group_rows)
@@ -83,13 +83,13 @@ def reports(
     return joined.select("session_id", report.alias("report"), F.col("avg_score").alias("average_score"))
 
 
-def strategies(requests: DataFrame, responses: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def strategies(requests: DataFrame, responses: DataFrame, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """Strategy text of every request, from the responses ``session_id, raw`` to the strategy prompts."""
     joined = lookup(requests, responses.select("session_id", "raw"), ["session_id"], "left", max_group_rows)
     return joined.select("session_id", payload.strategy_text(F.col("resume"), F.col("raw")).alias("strategy"))
 
 
-def framed_answers(answers: DataFrame, responses: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def framed_answers(answers: DataFrame, responses: DataFrame, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
     """Framed answers from ``session_id, key_points`` and responses; the point lines where there is no response."""
     joined = lookup(answers, responses.select("session_id", "raw"), ["session_id"], "left", max_group_rows)
     points = text.md_bullets(text.key_points(F.col("key_points")))

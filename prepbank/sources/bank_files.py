@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from prepbank import fixed
 from prepbank.functions.jsons import is_object, parse_json, text_field
 from prepbank.functions.text import file_kind, strip
-from prepbank.operators.ordering import MAX_GROUP_ROWS, lookup, number_rows, pages
+from prepbank.operators.ordering import MAX_GROUP_ROWS, attach, number_rows, pages
 
 PART_ROWS = 10_000
 
@@ -125,7 +125,7 @@ def assemble_text(
     order: str,
     text: str,
     part_rows: int = PART_ROWS,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Text of each key: its parts in order, a newline after each, stripped as a whole.
 
@@ -134,11 +134,10 @@ def assemble_text(
     """
     parts = parts.select(key, order, F.coalesce(text, F.lit("")).alias(text))
     filled = F.when(F.length(strip(F.col(text))) > 0, F.col(order))
-    span = parts.groupBy(key).agg(
-        F.coalesce(F.min(filled), F.min(order)).alias("_first"), F.coalesce(F.max(filled), F.min(order)).alias("_last")
-    )
+    span = {"_first": F.min(filled), "_last": F.max(filled), "_least": F.min(order)}
+    kept = attach(parts, [key], span, max_group_rows)
+    kept = kept.withColumns({n: F.coalesce(n, "_least") for n in ("_first", "_last")})
     # blank parts at either end vanish in the strip
-    kept = lookup(parts, span, [key], "inner", max_group_rows)
     kept = kept.where(F.col(order).between(F.col("_first"), F.col("_last")))
     white = F.lit(fixed.WHITESPACE)
     trimmed = F.when(F.col(order) == F.col("_first"), F.ltrim(F.col(text), white)).otherwise(F.col(text))

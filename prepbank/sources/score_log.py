@@ -18,7 +18,7 @@ def init_history(spark: SparkSession, table: str) -> None:
 
 def log_scores(
     df: DataFrame, table: str, order: Sequence[str] = ("session_id", "question", "score"),
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> None:
     """Append ``session_id, question, score`` rows; ids go on from the largest one, in ``order``.
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prepbank.operators.ordering import MAX_GROUP_ROWS, lookup
+from prepbank.operators.ordering import MAX_GROUP_ROWS, find_hot_keys, join_small, split_hot
 
 
 def _window_start(ts: str, window: str) -> Column:
@@ -18,23 +18,29 @@ def rate_limit_audit(
     limit: int,
     window: str = "1 minute",
     id_col: str = "id",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Mark the first ``limit`` requests of a key in each window allowed, the rest rejected.
 
-    Only the first ``limit`` rows per window leave an input task; the last of them is the cut that
-    every request is then held against.
+    Windows of ordinary size are numbered. In a hot one only the first ``limit`` rows leave an input task; the last
+    of them is the cut that every request of the window is held against, in place.
     """
+    keys = [key, "window_start"]
     stamped = df.withColumn("window_start", _window_start(ts, window))
-    w = W.partitionBy(key, "window_start").orderBy(ts, id_col)
-    first = stamped.select(key, "window_start", ts, id_col).withColumn("_no", F.row_number().over(w))
-    first = first.where(F.col("_no") <= limit)
-    cut = first.where(F.col("_no") == limit).select(
-        key, "window_start", F.col(ts).alias("_cut_ts"), F.col(id_col).alias("_cut_id")
-    )
-    joined = lookup(stamped, cut, [key, "window_start"], "left", max_group_rows)
-    within = (F.col(ts) < F.col("_cut_ts")) | ((F.col(ts) == F.col("_cut_ts")) & (F.col(id_col) <= F.col("_cut_id")))
-    return joined.withColumn("allowed", F.col("_cut_ts").isNull() | within).drop("_cut_ts", "_cut_id")
+    w = W.partitionBy(*keys).orderBy(ts, id_col)
+
+    def numbered(part):
+        return part.withColumn("allowed", F.row_number().over(w) <= limit)
+
+    hot = find_hot_keys(stamped, keys, max_group_rows)
+    if hot is None:
+        return numbered(stamped)
+    cold, rest = split_hot(stamped, keys, hot)
+    first = rest.select(*keys, ts, id_col).withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= limit)
+    cut = first.groupBy(*keys).agg(F.max_by(F.struct(ts, id_col), "_no").alias("_cut"))
+    # one row per hot window, so the side is bounded
+    held = join_small(rest, cut, keys).withColumn("allowed", F.struct(ts, id_col) <= F.col("_cut"))
+    return numbered(cold).unionByName(held.drop("_cut"))
 
 
 def rate_limit_counts(df: DataFrame, key: str, ts: str, limit: int, window: str = "1 minute") -> DataFrame:

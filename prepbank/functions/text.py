@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prepbank import fixed
-from prepbank.functions.jsons import parse_json
+from prepbank.functions.jsons import let, parse_json
 from prepbank.functions.template import fill
 
 FENCE = "```"
@@ -198,23 +198,31 @@ def nl2br(c: Column) -> Column:
     return F.replace(c, F.lit("\n"), F.lit("<br>"))
 
 
+def _plain(c: Column) -> Column:
+    return F.concat(F.lit("<p>"), nl2br(escape_html(c)), F.lit("</p>"))
+
+
 def plain_or_sections(c: Column) -> Column:
     """Escaped text with line breaks when score, summary and strengths are all missing, else null."""
-    missing = [section(label, c).isNull() for label in ("SCORE", "SUMMARY", "STRENGTHS")]
-    return F.when(missing[0] & missing[1] & missing[2], F.concat(F.lit("<p>"), nl2br(escape_html(c)), F.lit("</p>")))
+    found = F.coalesce(*[section(label, c) for label in ("SCORE", "SUMMARY", "STRENGTHS")])
+    return F.when(found.isNull(), _plain(c))
 
 
 def feedback_sections(c: Column) -> Column:
     """All labelled sections of an evaluation text, cleaned, as one struct."""
-    return F.struct(
-        escape_html(score_text(section("SCORE", c))).alias("score"),
-        escape_html(section("SUMMARY", c)).alias("summary"),
-        F.transform(bullets(section("STRENGTHS", c)), escape_html).alias("strengths"),
-        F.transform(bullets(section("WEAKNESSES", c)), escape_html).alias("weaknesses"),
-        F.transform(bullets(section("IMPROVEMENT_TIPS", c)), escape_html).alias("improvement_tips"),
-        escape_html(F.nullif(clean_improved(section("IMPROVED_ANSWER", c)), F.lit(""))).alias("improved_answer"),
-        plain_or_sections(c).alias("plain"),
-    )
+
+    def shown(s):
+        return F.struct(
+            escape_html(score_text(s["SCORE"])).alias("score"),
+            escape_html(s["SUMMARY"]).alias("summary"),
+            F.transform(bullets(s["STRENGTHS"]), escape_html).alias("strengths"),
+            F.transform(bullets(s["WEAKNESSES"]), escape_html).alias("weaknesses"),
+            F.transform(bullets(s["IMPROVEMENT_TIPS"]), escape_html).alias("improvement_tips"),
+            escape_html(F.nullif(clean_improved(s["IMPROVED_ANSWER"]), F.lit(""))).alias("improved_answer"),
+            F.when(F.coalesce(s["SCORE"], s["SUMMARY"], s["STRENGTHS"]).isNull(), _plain(c)).alias("plain"),
+        )
+
+    return let(F.struct(*[section(label, c).alias(label) for label in fixed.SECTION_LABELS]), shown)
 
 
 # ---- lists and display ------------------------------------------------------------------------------

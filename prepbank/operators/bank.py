@@ -4,11 +4,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from prepbank import fixed
 from prepbank.functions import text
 from prepbank.functions.template import fill
+from prepbank.operators.ordering import first_rows
 
 # ---- extraction -----------------------------------------------------------------------------
 
@@ -98,14 +98,13 @@ def curated_rows(curated: DataFrame) -> DataFrame:
 
 def first_occurrences(rows: DataFrame) -> DataFrame:
     """The first row of every question inside a role. Copies are reduced in each task ahead of the shuffle."""
-    w = W.partitionBy("role", "question").orderBy("priority", "pos", "model_answer")
-    return rows.withColumn("_first", F.row_number().over(w)).where(F.col("_first") == 1).drop("_first")
+    order = [F.asc("priority"), F.asc("pos"), F.asc("model_answer")]
+    return first_rows(rows, ["role", "question"], order, 1, "_first").drop("_first")
 
 
 def role_quota(rows: DataFrame, n: int = fixed.ROLE_QUOTA) -> DataFrame:
     """The first n rows of every role. Each task ships at most n rows per role."""
-    w = W.partitionBy("role").orderBy("priority", "pos", "question")
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    return first_rows(rows, ["role"], [F.asc("priority"), F.asc("pos"), F.asc("question")], n, "place")
 
 
 def bank_rows(placed: DataFrame) -> DataFrame:

@@ -6,13 +6,12 @@ A history has columns ``id, session_id, question, score, timestamp``. The order
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from prepbank import fixed
 from prepbank.functions import prompts
 from prepbank.functions.template import fill
 from prepbank.functions.text import difficulty_tier, one_decimal, score_repr
-from prepbank.operators.ordering import MAX_GROUP_ROWS, lookup, number_rows, pages, rolling
+from prepbank.operators.ordering import MAX_GROUP_ROWS, first_rows, lookup, number_rows, pages, rolling
 
 # Rows of one session that share an output row. Longer sessions continue in further parts.
 PART_ROWS = 10_000
@@ -50,8 +49,7 @@ def recent_scores(history: DataFrame, n: int = fixed.RECENT_SCORES) -> DataFrame
 
     Spark keeps n rows per session in each input task before the shuffle, so a hot session ships little.
     """
-    w = W.partitionBy("session_id").orderBy(*newest_first())
-    return history.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= n)
+    return first_rows(history, ["session_id"], newest_first(), n, "recency")
 
 
 def recent_avg(history: DataFrame, n: int = fixed.RECENT_SCORES) -> DataFrame:

@@ -20,6 +20,8 @@ MAX_GROUP_ROWS = 1_000_000
 # At most this many keys are treated as hot. A key beyond them holds under 1/HOT_KEY_LIMIT of all rows,
 # so the list of hot keys is small whatever the size of the data.
 HOT_KEY_LIMIT = 10_000
+# Spark keeps only the first rows of each key ahead of a shuffle up to this many (its own default limit).
+GROUP_LIMIT = 1000
 # Largest side that a lookup broadcasts, in counted rows.
 BROADCAST_ROWS = 10 * HOT_KEY_LIMIT
 
@@ -124,6 +126,21 @@ def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFram
     return df.join(F.broadcast(renamed), same).drop(*[f"_k_{k}" for k in keys])
 
 
+def first_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    n: int,
+    name: str = "row_no",
+    max_group_rows: int | None = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """The first n rows of each key, numbered. Up to GROUP_LIMIT, each task drops all but n per key before the shuffle."""
+    if n > GROUP_LIMIT:
+        return number_rows(df, keys, order, name, max_group_rows=max_group_rows).where(F.col(name) <= n)
+    w = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+
+
 def rolling(
     df: DataFrame,
     keys: Sequence[str],

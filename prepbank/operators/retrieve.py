@@ -20,11 +20,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from prepbank import fixed
 from prepbank.functions.text import md_bullets
-from prepbank.operators.ordering import MAX_GROUP_ROWS, lookup, number_rows
+from prepbank.operators.ordering import MAX_GROUP_ROWS, find_hot_keys, first_rows, lookup, number_rows, split_hot
 from prepbank.session import materialize
 
 EMBEDDING_DIMS = 384
@@ -32,6 +31,8 @@ BLOCK_ROWS = 512
 # Banks above this size are divided into cells of about this many vectors.
 CELL_ROWS = 50_000
 MAX_CELLS = 1024
+# A vector with more copies than this in a role counts as much copied.
+COPIES = 128
 # Largest bank that is broadcast, in bytes of its vectors.
 BROADCAST_BYTES = 128 << 20
 _SAFE = 1e-9
@@ -161,8 +162,7 @@ def _scan(wanted: DataFrame, blocks: DataFrame, rid: str, bid: str, k: int, smal
 
 
 def _best(found: DataFrame, rid: str, bid: str, k: int) -> DataFrame:
-    w = W.partitionBy(rid).orderBy("distance", bid)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return first_rows(found, [rid], [F.asc("distance"), F.asc(bid)], k, "rank")
 
 
 # ---- cells --------------------------------------------------------------------------------------
@@ -201,9 +201,17 @@ def _with_cell(rows: DataFrame, pivots: np.ndarray | None) -> DataFrame:
 
 
 def _keep_copies(rows: DataFrame, bid: str, k: int) -> DataFrame:
-    """Of equal vectors in a role only the k first ids can reach any top-k; drop the others before the scan."""
-    w = W.partitionBy("role", F.xxhash64("v"), "v").orderBy(bid)
-    return rows.withColumn("_copy", F.row_number().over(w)).where(F.col("_copy") <= k).drop("_copy")
+    """Of equal vectors in a role only the k first ids can reach any top-k; of much copied ones drop the others.
+
+    Copies are counted by hash, so that only the rows of the most copied vectors move.
+    """
+    keys = ["role", "_hash"]
+    hashed = rows.withColumn("_hash", F.xxhash64("v"))
+    hot = find_hot_keys(hashed, keys, max(k, COPIES))
+    if hot is None:
+        return rows
+    cold, rest = split_hot(hashed, keys, hot)
+    return cold.unionByName(first_rows(rest, [*keys, "v"], [F.asc(bid)], k, "_copy").drop("_copy")).drop("_hash")
 
 
 def knn(
@@ -322,8 +330,8 @@ def shuffle_rows(
 
 def first_places(df: DataFrame, n: int, key: str = "session_id", id_col: str = "id", seed: int = 0) -> DataFrame:
     """The rows at the first n places of each key's shuffle, with no numbering of the rest."""
-    w = W.partitionBy(key).orderBy(shuffle_key(seed, F.col(key), F.col(id_col)), F.col(id_col))
-    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    order = [shuffle_key(seed, F.col(key), F.col(id_col)), F.col(id_col)]
+    return first_rows(df, [key], order, n, "place")
 
 
 def pick_one(df: DataFrame, key: str = "session_id", id_col: str = "id", seed: int = 0) -> DataFrame:

@@ -431,6 +431,24 @@ def plain_or_sections(spark, folder):
     return _feedback(spark, folder).select("doc_id", text.plain_or_sections(F.col("s")).alias("plain"))
 
 
+@query(
+    "flow_feedback_sections",
+    with_views(_FEEDBACK, _SECTIONS)
+    + "SELECT doc_id, "
+    + _sql_escape(sql_page_trim("regexp_replace(score, '/10', '')"))
+    + f""" AS score, {_sql_escape("summary")} AS summary,
+  {_sql_escape("array_to_string(" + _BULLETS.format(x="weaknesses") + ", '|')")} AS weaknesses,
+  {_sql_escape("array_to_string(" + _BULLETS.format(x="improvement_tips") + ", '|')")} AS improvement_tips,
+  score IS NULL AND summary IS NULL AND strengths IS NULL AS is_plain FROM sections""",
+)
+def feedback_sections(spark, folder):
+    out = _feedback(spark, folder).select("doc_id", text.feedback_sections(F.col("s")).alias("f"))
+    return out.select(
+        "doc_id", "f.score", "f.summary", F.array_join("f.weaknesses", "|").alias("weaknesses"),
+        F.array_join("f.improvement_tips", "|").alias("improvement_tips"), F.col("f.plain").isNotNull().alias("is_plain"),
+    )
+
+
 @query("h22_nl2br", "SELECT doc_id, replace(text, chr(10), '<br>') AS shown FROM documents")
 def nl2br(spark, folder):
     return _documents(spark, folder).select("doc_id", text.nl2br(F.col("text")).alias("shown"))

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prepbank.operators.ordering import MAX_GROUP_ROWS, find_hot_keys, join_small, split_hot
+from prepbank.operators.ordering import MAX_GROUP_ROWS, find_hot_keys, first_rows, join_small, split_hot
 
 
 def _window_start(ts: str, window: str) -> Column:
@@ -36,7 +36,7 @@ def rate_limit_audit(
     if hot is None:
         return numbered(stamped)
     cold, rest = split_hot(stamped, keys, hot)
-    first = rest.select(*keys, ts, id_col).withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= limit)
+    first = first_rows(rest.select(*keys, ts, id_col), keys, [F.asc(ts), F.asc(id_col)], limit, "_no", None)
     cut = first.groupBy(*keys).agg(F.max_by(F.struct(ts, id_col), "_no").alias("_cut"))
     # one row per hot window, so the side is bounded
     held = join_small(rest, cut, keys).withColumn("allowed", F.struct(ts, id_col) <= F.col("_cut"))

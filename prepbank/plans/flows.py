@@ -21,42 +21,54 @@ def bank_from_pages(
 
 
 def retrieved_questions(
-    requests: DataFrame, index: DataFrame, k: int = fixed.RETRIEVED, max_group_rows: int | None = MAX_GROUP_ROWS
+    requests: DataFrame,
+    index: DataFrame,
+    k: int = fixed.RETRIEVED,
+    request_id: str = "session_id",
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Nearest bank questions of every request, with question and answer text. Both sides carry ``embedding``."""
-    nearest = retrieve.knn(requests, index, k, max_group_rows=max_group_rows)
+    """Nearest bank questions of every request, with question and answer text. Both sides carry ``embedding``.
+
+    ``request_id`` names the unique id of a request: another column where a session asks more than once.
+    """
+    nearest = retrieve.knn(requests, index, k, request_id, max_group_rows=max_group_rows)
     return retrieve.with_bank_rows(nearest, index, max_group_rows=max_group_rows)
 
 
 def question_prompts(
-    requests: DataFrame, retrieved: DataFrame, history: DataFrame, seed: int = 0, max_group_rows: int | None = MAX_GROUP_ROWS
+    requests: DataFrame,
+    retrieved: DataFrame,
+    history: DataFrame,
+    seed: int = 0,
+    request_id: str = "session_id",
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Prompt for the next question of every request that has retrieved questions."""
     asked = scores.with_recent_avg(requests, history, max_group_rows=max_group_rows)
-    asked = asked.join(retrieve.reference_block(retrieved, seed=seed), "session_id")
+    asked = asked.join(retrieve.reference_block(retrieved, key=request_id, seed=seed), request_id)
     columns = ["profile_name", "experience", "role", "question_type", "resume", "reference_questions", "recent_avg"]
     prompt = prompts.question(**{c: F.col(c) for c in columns})
-    return asked.select("session_id", "recent_avg", prompt.alias("prompt"))
+    return asked.select(request_id, "recent_avg", prompt.alias("prompt"))
 
 
 def generated_or_static(
     retrieved: DataFrame,
     generated: DataFrame,
     seed: int = 0,
+    request_id: str = "session_id",
     generated_label: str = "generated",
     static_label: str = "static-rag",
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """The generated question where the response holds both texts, else the first shuffled retrieved one."""
-    static = retrieve.pick_one(retrieved, seed=seed).select("session_id", "question", "model_answer")
+    """The generated question where the response ``<request_id>, raw`` holds both texts, else the first shuffled one."""
+    static = retrieve.pick_one(retrieved, request_id, seed=seed).select(request_id, "question", "model_answer")
     found = payload.generated_question(F.col("raw")).alias("_g")
-    texts = generated.select("session_id", found).select(
-        "session_id", F.col("_g.question").alias("_q"), F.col("_g.model_answer").alias("_a")
+    texts = generated.select(request_id, found).select(
+        request_id, F.col("_g.question").alias("_q"), F.col("_g.model_answer").alias("_a")
     )
-    joined = lookup(static, texts, ["session_id"], "left", max_group_rows)
+    joined = static.join(texts, request_id, "left")
     usable = F.coalesce((F.col("_q") != "") & (F.col("_a") != ""), F.lit(False))
     return joined.select(
-        "session_id",
+        request_id,
         F.when(usable, F.col("_q")).otherwise(F.col("question")).alias("question"),
         F.when(usable, F.col("_a")).otherwise(F.col("model_answer")).alias("model_answer"),
         F.when(usable, generated_label).otherwise(static_label).alias("source"),

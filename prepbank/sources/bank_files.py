@@ -3,6 +3,7 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from prepbank import fixed
@@ -89,8 +90,11 @@ def load_index(rows: DataFrame | None, path: str, max_records_per_file: int = 1_
     return True
 
 
-def read_index(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index with its roles as written: texts, '' where a row has none. Filters on the role prune folders."""
+    stored = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "role" else f.dataType) for f in stored])
+    return spark.read.schema(schema).parquet(path).withColumn("role", F.coalesce("role", F.lit("")))
 
 
 def bank_or_none(spark: SparkSession, path: str) -> DataFrame | None:

@@ -65,7 +65,14 @@ def test_index_loads_once(spark, folder):
     index = bank_files.read_index(spark, path)
     assert index.count() == 50
     plan = index.where("role = 'r1'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(role" in plan
+    assert "PartitionFilters: [(coalesce(role" in plan
+
+
+def test_index_keeps_odd_roles(spark, folder):
+    rows = spark.createDataFrame([("a", ""), ("b", "01"), ("c", "x/y=z %")], "id string, role string")
+    assert bank_files.load_index(rows, folder + "/index")
+    got = {r["id"]: r["role"] for r in bank_files.read_index(spark, folder + "/index").collect()}
+    assert got == {"a": "", "b": "01", "c": "x/y=z %"}
 
 
 def test_files_are_routed(spark, folder):

@@ -27,27 +27,34 @@ BROADCAST_ROWS = 10 * HOT_KEY_LIMIT
 
 
 class HotKeys:
-    """Hot keys of a frame: a frame of at most HOT_KEY_LIMIT rows, and their number of rows."""
+    """Hot keys of a frame: at most HOT_KEY_LIMIT keys (``frame``), with their rows (``sized``), and the sum of rows."""
 
-    def __init__(self, frame: DataFrame, rows: int):
-        self.frame = frame
+    def __init__(self, sized: DataFrame, keys: Sequence[str], rows: int):
+        self.sized = sized
+        self.frame = sized.select(*keys)
         self.rows = rows
 
 
-def find_hot_keys(df: DataFrame, keys: Sequence[str], max_group_rows: int | None = MAX_GROUP_ROWS) -> HotKeys | None:
-    """Keys with more than ``max_group_rows`` rows, largest first, or None.
+def find_hot_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    max_group_rows: int | None = MAX_GROUP_ROWS,
+    weight: Column | None = None,
+) -> HotKeys | None:
+    """Keys with more than ``max_group_rows`` rows (or that sum of ``weight``), largest first, or None.
 
     None for the limit skips the count, for groups that are known to be small.
     """
     if max_group_rows is None:
         return None
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > max_group_rows)
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = df.groupBy(*keys).agg(rows.cast("bigint").alias("_rows")).where(F.col("_rows") > max_group_rows)
     found = counted.orderBy(F.desc("_rows"), *keys).limit(HOT_KEY_LIMIT).collect()
     if not found:
         return None
-    schema = T.StructType([df.schema[k] for k in keys])
-    frame = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], schema)
-    return HotKeys(frame, sum(r["_rows"] for r in found))
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_rows", T.LongType())])
+    sized = df.sparkSession.createDataFrame([tuple(r) for r in found], schema)
+    return HotKeys(sized, keys, sum(r["_rows"] for r in found))
 
 
 def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

@@ -7,8 +7,8 @@ k best per request, so pairs are never rows.
 A bank of proven small size is broadcast as blocks: requests then stay where they are until their top-k is merged.
 The vectors of a large bank are divided into cells around pivot vectors. A request first scans its nearest cells
 that hold k rows; the distance found bounds the search, and only cells that the triangle inequality cannot rule out
-are scanned after that. Blocks and requests meet by an equi join on (role, cell), which Spark splits at run time
-where a cell or role is hot. The result is exact either way.
+are scanned after that. Blocks and requests meet by an equi join on (role, cell), dealt over slots where a cell is
+hot on either side. The result is exact either way.
 """
 
 from collections.abc import Callable, Iterator
@@ -31,6 +31,9 @@ BLOCK_ROWS = 512
 # Banks above this size are divided into cells of about this many vectors.
 CELL_ROWS = 50_000
 MAX_CELLS = 1024
+# Vectors of a cell that one task takes from either side of the scan, and requests it settles at a time.
+SLOT_ROWS = 64 * BLOCK_ROWS
+SLICE = 32
 # A vector with more copies than this in a role counts as much copied.
 COPIES = 128
 # Largest bank that is broadcast, in bytes of its vectors.
@@ -124,7 +127,7 @@ def _pack(df: DataFrame, key: str, gather: bool = True) -> DataFrame:
 
 
 def _scan(wanted: DataFrame, blocks: DataFrame, rid: str, bid: str, k: int, small: bool = False) -> DataFrame:
-    """The k nearest rows of every request within every block of the cells it wants.
+    """Rows that may be among the k nearest of a request, out of the blocks of the cells it wants.
 
     ``small`` blocks are broadcast, and requests are packed in place.
     """
@@ -137,28 +140,77 @@ def _scan(wanted: DataFrame, blocks: DataFrame, rid: str, bid: str, k: int, smal
     )
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asking, best = None, None
         for batch in batches:
+            found = []
             for row in batch.itertuples(index=False):
-                ids = np.asarray(row.b_ids)
-                x = np.frombuffer(row.b_vs).reshape(len(ids), -1)
                 q = np.frombuffer(row.q_vs).reshape(len(row.q_ids), -1)
-                # the matrix product finds candidates; their distances are then taken directly
-                size = (x * x).sum(1)
-                rough = size[None, :] - 2.0 * (q @ x.T)
-                slack = _SAFE * (1.0 + size.max() + (q * q).sum(1))
-                kth = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-                qi, xi = np.nonzero(rough <= (kth + slack)[:, None])
-                dist = ((q[qi] - x[xi]) ** 2).sum(1)
-                out = pd.DataFrame({rid: np.asarray(row.q_ids)[qi], bid: ids[xi], "distance": dist})
-                out = out.sort_values([rid, "distance", bid])
-                yield out.groupby(rid, sort=False).head(k)
+                x = np.frombuffer(row.b_vs).reshape(len(row.b_ids), -1)
+                if asking != row.q_vs:
+                    # a request block meets its bank blocks one after the other: carry its k best so far along
+                    asking, best = row.q_vs, np.full((len(q), k), np.inf)
+                qi, xi, dist = _candidates(q, x, row.b_ids, best, k)
+                found.append(pd.DataFrame({rid: row.q_ids[qi], bid: row.b_ids[xi], "distance": dist}))
+            if found:
+                yield pd.concat(found, ignore_index=True)
 
     packed = _pack(wanted, rid, gather=not small)
     left = packed.select("role", "cell", F.col(f"{rid}s").alias("q_ids"), F.col("vs").alias("q_vs"))
     right = blocks.select("role", "cell", F.col(f"{bid}s").alias("b_ids"), F.col("vs").alias("b_vs"))
-    right = F.broadcast(right) if small else right
-    met = left.join(right, ["role", "cell"]).select("q_ids", "q_vs", "b_ids", "b_vs")
-    return met.mapInPandas(nearest, schema)
+    if small:
+        met = left.join(F.broadcast(right), ["role", "cell"])
+    else:
+        many_q = find_hot_keys(wanted, ["role", "cell"], SLOT_ROWS)
+        many_b = find_hot_keys(blocks, ["role", "cell"], SLOT_ROWS, F.col("n"))
+        left = _deal(left, "q_ids", many_q, "q_slot", many_b, "b_slot")
+        right = _deal(right, "b_ids", many_b, "b_slot", many_q, "q_slot")
+        met = left.join(right, ["role", "cell", "q_slot", "b_slot"])
+    return met.select("q_ids", "q_vs", "b_ids", "b_vs").mapInPandas(nearest, schema)
+
+
+def _deal(df, ids, own, own_slot, other, other_slot):
+    """Deal the blocks of a hot cell over slots, and repeat them for every slot of the other side.
+
+    Each pair of blocks still meets once, but no task holds more than a slot of either side.
+    """
+
+    def slots(df, hot, name):
+        if hot is None:
+            return df.withColumn(name, F.lit(1))
+        some = hot.sized.select("role", "cell", F.ceil(F.col("_rows") / SLOT_ROWS).cast("int").alias(name))
+        return df.join(F.broadcast(some), ["role", "cell"], "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+    df = slots(slots(df, own, "_own"), other, "_other")
+    df = df.withColumn(own_slot, F.pmod(F.xxhash64(ids), F.col("_own")).cast("int"))
+    return df.withColumn(other_slot, F.explode(F.sequence(F.lit(0), F.col("_other") - 1))).drop("_own", "_other")
+
+
+def _candidates(q, x, ids, best, k):
+    """Request and bank positions, and distances, of the rows of a block that may be among the k nearest.
+
+    ``best`` holds the k best rough distances of each request so far and is updated. A matrix product finds
+    candidates; the distances of these are then taken directly.
+    """
+    rough = (q * q).sum(1)[:, None] - 2.0 * (q @ x.T) + (x * x).sum(1)[None, :]
+    slack = _SAFE * (1.0 + (q * q).sum(1) + (x * x).sum(1).max())
+    hit = np.flatnonzero(rough.min(1) <= best.max(1) + slack)
+    merged = np.concatenate([best[hit], rough[hit]], axis=1)
+    best[hit] = np.partition(merged, k - 1, axis=1)[:, :k]
+    reach = best[hit].max(1) + 2 * slack[hit]
+    id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    kept = []
+    for at in range(0, len(hit), SLICE):
+        some = hit[at : at + SLICE]
+        qi, xi = np.nonzero(rough[some] <= reach[at : at + SLICE, None])
+        qi = some[qi]
+        dist = ((q[qi] - x[xi]) ** 2).sum(1)
+        order = np.lexsort((id_rank[xi], dist, qi))
+        qi, xi, dist = qi[order], xi[order], dist[order]
+        first = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+        kept.append((qi[first], xi[first], dist[first]))
+    if not kept:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return tuple(np.concatenate(part) for part in zip(*kept, strict=True))
 
 
 def _best(found: DataFrame, rid: str, bid: str, k: int) -> DataFrame:

@@ -68,6 +68,27 @@ def test_knn_with_hot_request_roles(spark, vectors):
     assert got == brute(*vectors, 20)
 
 
+def test_knn_with_cells_hot_on_both_sides(spark, vectors, monkeypatch):
+    monkeypatch.setattr(r, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(r, "SLOT_ROWS", 10)
+    for k in (3, 20):
+        assert collected(r.knn(*frames(spark, vectors), k, cell_rows=150)) == brute(*vectors, k)
+
+
+def test_knn_beyond_the_broadcast_size(spark, vectors, monkeypatch):
+    monkeypatch.setattr(r, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(r, "SLOT_ROWS", 50)
+    assert collected(r.knn(*frames(spark, vectors), 20)) == brute(*vectors, 20)
+
+
+def test_string_ids(spark, vectors):
+    requests, bank = vectors
+    bank = [(f"q_{i}", role, v) for i, role, v in bank]
+    asked, _ = frames(spark, vectors)
+    rows = spark.createDataFrame(bank, "id string, role string, embedding array<double>")
+    assert collected(r.knn(asked, rows, 20)) == brute(requests, bank, 20)
+
+
 def test_cosine(spark, vectors):
     got = collected(r.knn(*frames(spark, vectors), 20, metric="cosine", cell_rows=40))
     wanted = brute(*vectors, 20, "cosine")

@@ -31,8 +31,12 @@ BLOCK_ROWS = 512
 # Banks above this size are divided into cells of about this many vectors.
 CELL_ROWS = 50_000
 MAX_CELLS = 1024
-# Vectors of a cell that one task takes from either side of the scan, and requests it settles at a time.
+# Vectors looked at for every pivot that is taken.
+SAMPLED = 8
+# Vectors of a cell that one task takes from either side of the scan.
 SLOT_ROWS = 64 * BLOCK_ROWS
+# Values of candidate vectors taken at once; where ties make more, requests are settled SLICE at a time.
+DIRECT_VALUES = 8 << 20
 SLICE = 32
 # A vector with more copies than this in a role counts as much copied.
 COPIES = 128
@@ -199,9 +203,11 @@ def _candidates(q, x, ids, best, k):
     reach = best[hit].max(1) + 2 * slack[hit]
     id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
     kept = []
-    for at in range(0, len(hit), SLICE):
-        some = hit[at : at + SLICE]
-        qi, xi = np.nonzero(rough[some] <= reach[at : at + SLICE, None])
+    near = rough[hit] <= reach[:, None]
+    step = SLICE if near.sum() * q.shape[1] > DIRECT_VALUES else max(1, len(hit))
+    for at in range(0, len(hit), step):
+        some = hit[at : at + step]
+        qi, xi = np.nonzero(near[at : at + step])
         qi = some[qi]
         dist = ((q[qi] - x[xi]) ** 2).sum(1)
         order = np.lexsort((id_rank[xi], dist, qi))
@@ -221,11 +227,22 @@ def _best(found: DataFrame, rid: str, bid: str, k: int) -> DataFrame:
 
 
 def _pivots(rows: DataFrame, total: int, cells: int) -> np.ndarray:
-    """Up to ``cells`` distinct bank vectors, picked by hash. They steer the search and do not touch its result."""
+    """Up to ``cells`` bank vectors that lie far apart, out of a sample of distinct ones picked by hash.
+
+    They steer the search and do not touch its result.
+    """
     h = F.xxhash64("v")
-    some = rows.select("v", h.alias("h")).where(F.pmod(h, F.lit(max(1, total // (4 * cells)))) == 0)
-    picked = some.groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(cells).collect()
-    return np.array([r["v"] for r in picked], dtype=np.float64)
+    size = SAMPLED * cells
+    some = rows.select("v", h.alias("h")).where(F.pmod(h, F.lit(max(1, total // (2 * size)))) == 0)
+    picked = some.groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(size).collect()
+    sample = np.array([r["v"] for r in picked], dtype=np.float64)
+    if not len(sample):
+        return sample
+    chosen, gap = [0], ((sample - sample[0]) ** 2).sum(1)
+    while len(chosen) < cells and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    return sample[chosen]
 
 
 def _distances(q: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -311,49 +328,58 @@ def knn(
 
 def _pruned(asked, blocks, pivots, rid, bid, k, max_group_rows):
     """Scan the nearest cells of each request, then every cell that may still hold a nearer row."""
-    cell = F.struct("cell", "n", "lo", "hi")
     sizes = blocks.groupBy("role", "cell").agg(
         F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
-    # at most one entry per pivot for a role
-    sizes = sizes.groupBy("role").agg(F.collect_list(cell).alias("cells"))
+    # lists of at most one entry per pivot
+    sizes = sizes.groupBy("role").agg(F.collect_list(F.struct("cell", "n", "lo", "hi")).alias("c"))
+    sizes = sizes.select("role", F.col("c.cell").alias("no"), "c.n", "c.lo", "c.hi")
     asked = lookup(asked, sizes, ["role"], "inner", max_group_rows)
 
-    def nearest_cells(v, cells):
-        d = _distances(_matrix(v), pivots)
-        for at, entries in enumerate(cells):
-            no = np.array([e["cell"] for e in entries], dtype=np.int64)
-            stats = np.array([(e["n"], e["lo"], e["hi"]) for e in entries], dtype=np.float64)
-            by = np.argsort(d[at, no], kind="stable")
-            enough = int(np.searchsorted(np.cumsum(stats[by, 0]), k)) + 1
-            yield at, no[by], d[at, no][by], stats[by], enough
+    def ranked(role, v, no, n):
+        """Per role of a batch: its rows, cells, distances to them, nearness ranks, and how many cells hold k rows."""
+        q = _matrix(v)
+        for at in role.groupby(role, sort=False).indices.values():
+            cells = no.iloc[at[0]]
+            d = _distances(q[at], pivots[cells])
+            by = np.argsort(d, axis=1, kind="stable")
+            enough = (np.cumsum(np.asarray(n.iloc[at[0]])[by], axis=1) < k).sum(1) + 1
+            yield at, cells, d, np.argsort(by, axis=1, kind="stable"), enough[:, None]
+
+    def chosen(parts, rows):
+        out = np.empty(rows, dtype=object)
+        for at, cells, picked in parts:
+            for i, mask in zip(at, picked, strict=True):
+                out[i] = cells[mask].tolist()
+        return pd.Series(out)
 
     @F.pandas_udf("array<int>")
-    def first_cells(v: pd.Series, cells: pd.Series) -> pd.Series:
-        return pd.Series([no[:enough].tolist() for _, no, _, _, enough in nearest_cells(v, cells)])
+    def first_cells(role: pd.Series, v: pd.Series, no: pd.Series, n: pd.Series) -> pd.Series:
+        return chosen(((at, c, rank < enough) for at, c, _, rank, enough in ranked(role, v, no, n)), len(v))
 
     @F.pandas_udf("array<int>")
-    def open_cells(v: pd.Series, cells: pd.Series, bound: pd.Series) -> pd.Series:
-        out = []
-        for at, no, d, stats, enough in nearest_cells(v, cells):
-            least = np.maximum(0.0, np.maximum(d - stats[:, 2], stats[:, 1] - d))
-            reach = np.sqrt(bound.iloc[at]) if pd.notna(bound.iloc[at]) else np.inf
-            may = least <= reach + 1e-6 * (1.0 + reach)
-            may[:enough] = False
-            out.append(no[may].tolist())
-        return pd.Series(out)
+    def open_cells(
+        role: pd.Series, v: pd.Series, no: pd.Series, n: pd.Series, lo: pd.Series, hi: pd.Series, bound: pd.Series
+    ) -> pd.Series:
+        reach = np.sqrt(bound.fillna(np.inf).to_numpy(dtype=np.float64))
+        reach = reach + 1e-6 * (1.0 + reach)
+
+        def parts():
+            for at, cells, d, rank, enough in ranked(role, v, no, n):
+                low, high = np.asarray(lo.iloc[at[0]]), np.asarray(hi.iloc[at[0]])
+                least = np.maximum(0.0, np.maximum(d - high, low - d))
+                yield at, cells, (least <= reach[at][:, None]) & (rank >= enough)
+
+        return chosen(parts(), len(v))
 
     def wanting(df, picked):
         return df.select("role", rid, "v", F.explode(picked).alias("cell"), F.lit(0.0).alias("d"))
 
-    first = _best(_scan(wanting(asked, first_cells("v", "cells")), blocks, rid, bid, k), rid, bid, k).drop("rank")
-    first = materialize(first, "nearest")
-    bounds = first.groupBy(rid).agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound")
-    )
-    more = asked.join(bounds, rid, "left")
-    more = _scan(wanting(more, open_cells("v", "cells", "bound")), blocks, rid, bid, k)
-    return _best(first.unionByName(more), rid, bid, k)
+    first = _best(_scan(wanting(asked, first_cells("role", "v", "no", "n")), blocks, rid, bid, k), rid, bid, k)
+    first = materialize(first.drop("rank"), "nearest")
+    bounds = first.groupBy(rid).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
+    more = wanting(asked.join(bounds, rid, "left"), open_cells("role", "v", "no", "n", "lo", "hi", "bound"))
+    return _best(first.unionByName(_scan(more, blocks, rid, bid, k)), rid, bid, k)
 
 
 def with_bank_rows(

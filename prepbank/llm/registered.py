@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepbank.llm import lines, mixing, shard
+from prepbank.llm import lines, mixing, packing, quality, shard, simhash, warc
 from prepbank.llm.common import table
 
 QUERIES = {}
@@ -84,3 +84,40 @@ def line_dedup(spark, folder) -> DataFrame:
     """All documents without the boilerplate lines of their source."""
     cleaned = lines.drop_boilerplate(table(spark, folder, "documents"), dropped_col="n_dropped")
     return cleaned.select("doc_id", "source", "text", "n_dropped")
+
+
+def tokenizer_path(name="word_bpe_49k.json"):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op5_best_fit_packing")
+def best_fit_packing(spark, folder) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query("op8_compression_rules")
+def compression_rules(spark, folder) -> DataFrame:
+    """Counts and verdicts on all documents."""
+    return quality.compression_rules(table(spark, folder, "documents"))
+
+
+SQL_WARC = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+  f AS (SELECT *, CASE WHEN n >= {warc.MIN_SHARED_BYTES} THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM f"""
+
+
+@query("op9_warc_round_trip", SQL_WARC)
+def warc_round_trip(spark, folder) -> DataFrame:
+    """All pages written as WARC records, indexed and read back through the index."""
+    return warc.archive_round_trip(spark, table(spark, folder, "pages")).drop("url")
+
+
+@query("op1_simhash_near_duplicates")
+def simhash_near_duplicates(spark, folder) -> DataFrame:
+    """Fingerprint and component of all documents."""
+    return simhash.near_duplicates(table(spark, folder, "documents"))

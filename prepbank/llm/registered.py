@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepbank.llm import lines, mixing, packing, quality, shard, simhash, warc
+from prepbank.llm import ctw, lines, mixing, packing, quality, shard, simhash, warc
 from prepbank.llm.common import table
 
 QUERIES = {}
@@ -121,3 +121,14 @@ def warc_round_trip(spark, folder) -> DataFrame:
 def simhash_near_duplicates(spark, folder) -> DataFrame:
     """Fingerprint and component of all documents."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def fold(modulus):
+    """Remainder of the crc32 of doc_id as text; a null id counts as ''."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+@query("op2_context_tree_score")
+def context_tree_score(spark, folder) -> DataFrame:
+    """Scores of all documents, learned from those outside the held-out tenth."""
+    return ctw.score_texts(table(spark, folder, "documents"), fold(10) == 0)

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from prepbank.session import materialize
 
-DEPTH = 5
+# At most 6, so that a gram and a flag fit in 64 bits.
+DEPTH = 6
 # Subtrees below contexts of this many bytes are worked out apart; the trees above have at most 256^2 contexts.
 TOP = 2
 # Normalized bytes of the texts that are tallied together, and positions that are sorted at a time.

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepbank.llm import ctw, lines, mixing, packing, quality, shard, simhash, warc
+from prepbank.llm import ctw, langid, lines, mixing, packing, quality, shard, simhash, topk, warc
 from prepbank.llm.common import table
 
 QUERIES = {}
@@ -132,3 +132,24 @@ def fold(modulus):
 def context_tree_score(spark, folder) -> DataFrame:
     """Scores of all documents, learned from those outside the held-out tenth."""
     return ctw.score_texts(table(spark, folder, "documents"), fold(10) == 0)
+
+
+SQL_TOP = f"""WITH v AS (SELECT vec_id, [CAST(floor({topk.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= {topk.K}"""
+
+
+@query("op3_inner_product_top_k", SQL_TOP)
+def inner_product_top_k(spark, folder) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op4_language_id")
+def language_id(spark, folder) -> DataFrame:
+    """Language of all documents, learned from three folds of four."""
+    found = langid.identify(table(spark, folder, "documents"), fold(4) != 2)
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")

@@ -23,7 +23,7 @@ DEPTH = 6
 TOP = 2
 # Normalized bytes of the texts that are tallied together, and positions that are sorted at a time.
 CHUNK_BYTES = 32 << 20
-SLICE = 1 << 21
+SLICE = 1 << 20
 END = 10
 SMOOTHING = 0.1
 
@@ -40,7 +40,7 @@ def _squeeze(values: np.ndarray) -> bytes:
     import zstandard
 
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T) if len(values) else b""
-    return zstandard.ZstdCompressor(level=1).compress(bytes(planes))
+    return zstandard.ZstdCompressor(level=3).compress(bytes(planes))
 
 
 def _spread(data: bytes, kind) -> np.ndarray:
@@ -126,15 +126,23 @@ class _Layout:
 
     def tally(self, kind: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct grams or words of the chunk, sorted, and how often they occur in its training texts."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        size, most = 0, 2 * SLICE
         for first, last in self.slices():
             keys, owner = getattr(self, kind)(first, last)
             both = (keys << np.uint64(1)) | self.held[owner].astype(np.uint64)
+            del keys, owner
             both.sort()
             cut = np.flatnonzero(np.diff(both, prepend=both[:1] + np.uint64(1))) if len(both) else np.zeros(0, np.int64)
-            n = np.diff(cut, append=len(both)) * (both[cut] & np.uint64(1) == 0)
-            found.append((both[cut] >> np.uint64(1), n))
-        return _merge([k for k, _ in found], [n for _, n in found])
+            found.append(both[cut] >> np.uint64(1))
+            counts.append(np.diff(cut, append=len(both)) * (both[cut] & np.uint64(1) == 0))
+            size += len(cut)
+            if size > most:
+                merged = _merge(found, counts)
+                found, counts, size = [merged[0]], [merged[1]], len(merged[0])
+                most = max(most, 2 * size)
+        return _merge(found, counts)
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -305,7 +313,7 @@ def _chunks(id_type: T.DataType, parts: int, chunk_bytes: int):
             for part, share in _shares(kind, keys, parts):
                 rows.append((chunk, kind, part, _pack_keys(keys[share]), _squeeze(counts[share]), None, None, 0))
         tokens = sum((t.count(b" ") + 1 if t else 0) + 1 for t, h in zip(texts, held, strict=True) if not h)
-        blob = zstandard.ZstdCompressor(level=1).compress(b"\n".join(texts))
+        blob = zstandard.ZstdCompressor(level=6).compress(b"\n".join(texts))
         rows.append((chunk, "texts", -1, None, None, blob, pickle.dumps((ids, held)), tokens))
         yield pd.DataFrame(rows, columns=names)
 

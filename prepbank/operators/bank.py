@@ -13,6 +13,9 @@ from prepbank.operators.ordering import first_rows
 # ---- extraction -----------------------------------------------------------------------------
 
 
+# Groups of a role that are cut down to its quota apart.
+QUOTA_SALTS = 64
+
 def page_questions(pages: DataFrame) -> DataFrame:
     """Cleaned question texts of every page, one row each. A page that does not parse gives none."""
     found = pages.select(F.explode(text.extract_strings(F.col("html"))).alias("raw"))
@@ -103,8 +106,11 @@ def first_occurrences(rows: DataFrame) -> DataFrame:
 
 
 def role_quota(rows: DataFrame, n: int = fixed.ROLE_QUOTA) -> DataFrame:
-    """The first n rows of every role. Each task ships at most n rows per role."""
-    return first_rows(rows, ["role"], [F.asc("priority"), F.asc("pos"), F.asc("question")], n, "place")
+    """The first n rows of every role, in two steps: roles are few, so their rows are first cut down over QUOTA_SALTS groups each."""
+    order = [F.asc("priority"), F.asc("pos"), F.asc("question")]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("question"), F.lit(QUOTA_SALTS)))
+    few = first_rows(salted, ["role", "_salt"], order, n, "_near").drop("_salt", "_near")
+    return first_rows(few, ["role"], order, n, "place")
 
 
 def bank_rows(placed: DataFrame) -> DataFrame:

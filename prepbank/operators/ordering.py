@@ -17,21 +17,22 @@ from pyspark.sql import Window as W
 from prepbank.session import materialize
 
 MAX_GROUP_ROWS = 1_000_000
-# At most this many keys are treated as hot. A key beyond them holds under 1/HOT_KEY_LIMIT of all rows,
-# so the list of hot keys is small whatever the size of the data.
+# Up to this many hot keys are sent to every task as a list; more of them are a table of their own that is joined.
 HOT_KEY_LIMIT = 10_000
 # Spark keeps only the first rows of each key ahead of a shuffle up to this many (its own default limit).
 GROUP_LIMIT = 1000
-# Largest side that a lookup broadcasts, in counted rows.
-BROADCAST_ROWS = 10 * HOT_KEY_LIMIT
+# Largest side that a lookup broadcasts, in counted bytes of its rows.
+BROADCAST_BYTES = 64 << 20
+# Copies of the right rows of hot keys, where these are too large for a broadcast.
+SALTS = 64
 
 
 class HotKeys:
-    """Hot keys of a frame: at most HOT_KEY_LIMIT keys (``frame``), with their rows (``sized``), and the sum of rows."""
+    """Hot keys of a frame (``frame``), with their rows (``sized``), and the sum of rows."""
 
-    def __init__(self, sized: DataFrame, keys: Sequence[str], rows: int):
-        self.sized = sized
-        self.frame = sized.select(*keys)
+    def __init__(self, sized: DataFrame, keys: Sequence[str], rows: int, few: bool):
+        self.sized = F.broadcast(sized) if few else sized
+        self.frame = F.broadcast(sized.select(*keys)) if few else sized.select(*keys)
         self.rows = rows
 
 
@@ -41,7 +42,7 @@ def find_hot_keys(
     max_group_rows: int | None = MAX_GROUP_ROWS,
     weight: Column | None = None,
 ) -> HotKeys | None:
-    """Keys with more than ``max_group_rows`` rows (or that sum of ``weight``), largest first, or None.
+    """Keys with more than ``max_group_rows`` rows (or that sum of ``weight``), or None.
 
     None for the limit skips the count, for groups that are known to be small.
     """
@@ -49,12 +50,15 @@ def find_hot_keys(
         return None
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counted = df.groupBy(*keys).agg(rows.cast("bigint").alias("_rows")).where(F.col("_rows") > max_group_rows)
-    found = counted.orderBy(F.desc("_rows"), *keys).limit(HOT_KEY_LIMIT).collect()
+    found = counted.limit(HOT_KEY_LIMIT + 1).collect()
     if not found:
         return None
+    if len(found) > HOT_KEY_LIMIT:
+        sized = materialize(counted, "hot")
+        return HotKeys(sized, keys, sized.agg(F.sum("_rows")).head()[0], False)
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_rows", T.LongType())])
     sized = df.sparkSession.createDataFrame([tuple(r) for r in found], schema)
-    return HotKeys(sized, keys, sum(r["_rows"] for r in found))
+    return HotKeys(sized, keys, sum(r["_rows"] for r in found), True)
 
 
 def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -62,8 +66,8 @@ def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: HotKeys) -> tuple[DataFrame, DataFrame]:
-    """(cold rows, hot rows); the hot keys are bounded, so their side is broadcast."""
-    few = F.broadcast(hot.frame)
+    """(cold rows, hot rows)."""
+    few = hot.frame
     return df.join(few, _same_key(df, few, keys), "left_anti"), df.join(few, _same_key(df, few, keys), "left_semi")
 
 
@@ -209,10 +213,15 @@ def lookup(
     if hot is None:
         return left.join(right, keys, how)
     cold, rest = split_hot(left, keys, hot)
-    few = right.join(F.broadcast(hot.frame), keys, "left_semi")
-    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        few = F.broadcast(few)
-    return cold.join(right, keys, how).unionByName(rest.join(few, keys, how))
+    few = right.join(hot.frame, keys, "left_semi")
+    size = few.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).head()[0] or 0
+    if size <= BROADCAST_BYTES:
+        met = rest.join(F.broadcast(few), keys, how)
+    else:
+        salted = rest.withColumn("_salt", F.pmod(F.xxhash64(*rest.columns), F.lit(SALTS)))
+        copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        met = salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return cold.join(right, keys, how).unionByName(met)
 
 
 def pages(numbered: DataFrame, name: str, page_rows: int) -> DataFrame:

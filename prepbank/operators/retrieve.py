@@ -11,6 +11,7 @@ are scanned after that. Blocks and requests meet by an equi join on (role, cell)
 hot on either side. The result is exact either way.
 """
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -95,6 +96,7 @@ def _pack(df: DataFrame, key: str, gather: bool = True) -> DataFrame:
         [
             df.schema["role"],
             T.StructField("cell", T.IntegerType()),
+            T.StructField("block", T.StringType()),
             T.StructField("n", T.IntegerType()),
             T.StructField(f"{key}s", T.ArrayType(df.schema[key].dataType)),
             T.StructField("vs", T.BinaryType()),
@@ -115,6 +117,7 @@ def _pack(df: DataFrame, key: str, gather: bool = True) -> DataFrame:
                         {
                             "role": role,
                             "cell": cell,
+                            "block": uuid.uuid4().hex,
                             "n": len(part),
                             f"{key}s": part[key].tolist(),
                             "vs": _matrix(part["v"]).tobytes(),
@@ -150,16 +153,16 @@ def _scan(wanted: DataFrame, blocks: DataFrame, rid: str, bid: str, k: int, smal
             for row in batch.itertuples(index=False):
                 q = np.frombuffer(row.q_vs).reshape(len(row.q_ids), -1)
                 x = np.frombuffer(row.b_vs).reshape(len(row.b_ids), -1)
-                if asking != row.q_vs:
+                if asking != row.q_block:
                     # a request block meets its bank blocks one after the other: carry its k best so far along
-                    asking, best = row.q_vs, np.full((len(q), k), np.inf)
+                    asking, best = row.q_block, np.full((len(q), k), np.inf)
                 qi, xi, dist = _candidates(q, x, row.b_ids, best, k)
                 found.append(pd.DataFrame({rid: row.q_ids[qi], bid: row.b_ids[xi], "distance": dist}))
             if found:
                 yield pd.concat(found, ignore_index=True)
 
     packed = _pack(wanted, rid, gather=not small)
-    left = packed.select("role", "cell", F.col(f"{rid}s").alias("q_ids"), F.col("vs").alias("q_vs"))
+    left = packed.select("role", "cell", F.col("block").alias("q_block"), F.col(f"{rid}s").alias("q_ids"), F.col("vs").alias("q_vs"))
     right = blocks.select("role", "cell", F.col(f"{bid}s").alias("b_ids"), F.col("vs").alias("b_vs"))
     if small:
         met = left.join(F.broadcast(right), ["role", "cell"])
@@ -169,7 +172,7 @@ def _scan(wanted: DataFrame, blocks: DataFrame, rid: str, bid: str, k: int, smal
         left = _deal(left, "q_ids", many_q, "q_slot", many_b, "b_slot")
         right = _deal(right, "b_ids", many_b, "b_slot", many_q, "q_slot")
         met = left.join(right, ["role", "cell", "q_slot", "b_slot"])
-    return met.select("q_ids", "q_vs", "b_ids", "b_vs").mapInPandas(nearest, schema)
+    return met.select("q_block", "q_ids", "q_vs", "b_ids", "b_vs").mapInPandas(nearest, schema)
 
 
 def _deal(df, ids, own, own_slot, other, other_slot):
@@ -182,7 +185,7 @@ def _deal(df, ids, own, own_slot, other, other_slot):
         if hot is None:
             return df.withColumn(name, F.lit(1))
         some = hot.sized.select("role", "cell", F.ceil(F.col("_rows") / SLOT_ROWS).cast("int").alias(name))
-        return df.join(F.broadcast(some), ["role", "cell"], "left").withColumn(name, F.coalesce(name, F.lit(1)))
+        return df.join(some, ["role", "cell"], "left").withColumn(name, F.coalesce(name, F.lit(1)))
 
     df = slots(slots(df, own, "_own"), other, "_other")
     df = df.withColumn(own_slot, F.pmod(F.xxhash64(ids), F.col("_own")).cast("int"))
@@ -312,15 +315,18 @@ def knn(
         picked = df.where(F.col("role").isNotNull() & F.col(vector).isNotNull())
         return picked.select("role", F.col(name).alias(out), v.alias("v"))
 
-    asked, rows = vectors(requests, request_id, request_id), vectors(bank, bank_id, bid)
+    # Either side is read more than once below; its vectors may come from a caller's function.
+    asked = materialize(vectors(requests, request_id, request_id), "asked")
+    rows = materialize(vectors(bank, bank_id, bid), "rows")
     cells = min(MAX_CELLS, -(-total // cell_rows))
+    if cells > 1:
+        rows = _keep_copies(rows, bid, k)
     pivots = _pivots(rows, total, cells) if cells > 1 else None
     if pivots is None or len(pivots) < 2:
         blocks = _pack(_with_cell(rows, None), bid)
         small = total * _dims(rows) * 8 <= BROADCAST_BYTES
         best = _best(_scan(_with_cell(asked, None), blocks, request_id, bid, k, small), request_id, bid, k)
     else:
-        rows = _keep_copies(rows, bid, k)
         blocks = materialize(_pack(_with_cell(rows, pivots), bid), "blocks")
         best = _pruned(asked, blocks, pivots, request_id, bid, k, max_group_rows)
     return best.withColumn("distance", F.col("distance") / 2) if metric == "cosine" else best
@@ -385,7 +391,10 @@ def _pruned(asked, blocks, pivots, rid, bid, k, max_group_rows):
 def with_bank_rows(
     nearest: DataFrame, bank: DataFrame, bank_id: str = "id", max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
-    """Attach the bank's question and answer; a question that is near to very many requests is a hot key."""
+    """Attach the bank's question and answer; a question that is near to very many requests is a hot key.
+
+    ``nearest`` is read more than once: give it materialized where it is dear.
+    """
     rows = bank.select(bank_id, "question", "model_answer")
     return lookup(nearest, rows, [bank_id], "inner", max_group_rows)
 

@@ -9,6 +9,7 @@ from prepbank.operators import bank as banks
 from prepbank.operators import history as scores
 from prepbank.operators import retrieve
 from prepbank.operators.ordering import MAX_GROUP_ROWS, lookup
+from prepbank.session import materialize
 
 
 def bank_from_pages(
@@ -31,7 +32,7 @@ def retrieved_questions(
 
     ``request_id`` names the unique id of a request: another column where a session asks more than once.
     """
-    nearest = retrieve.knn(requests, index, k, request_id, max_group_rows=max_group_rows)
+    nearest = materialize(retrieve.knn(requests, index, k, request_id, max_group_rows=max_group_rows), "nearest")
     return retrieve.with_bank_rows(nearest, index, max_group_rows=max_group_rows)
 
 

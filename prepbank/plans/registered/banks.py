@@ -285,7 +285,7 @@ def _lines(spark, folder):
     )
     rows = views.table(spark, folder, "documents").select("doc_id", line.alias("value"))
     path = fresh_path(spark, "lines")
-    rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
     return path
 
 

@@ -52,6 +52,26 @@ def knn_cells(spark, folder):
     return _self_knn(spark, folder, cell_rows=64)
 
 
+@query(
+    "c1_knn_repeated",
+    f"""WITH asked AS (SELECT vec_id * 3 + n AS request, vec_id % 7 AS vec, (label + n) % 10 AS role
+    FROM embeddings, (VALUES (0), (1), (2)) AS t(n)),
+  near AS (SELECT request, id, distance, row_number() OVER (PARTITION BY request ORDER BY distance, id)::INTEGER AS rank FROM (
+    SELECT a.request, b.vec_id AS id, {_SQUARED} AS distance
+    FROM asked a JOIN embeddings q ON a.vec = q.vec_id JOIN embeddings b ON a.role = b.label))
+SELECT request, id, round(distance, 6) AS distance, rank FROM near WHERE rank <= 20""",
+)
+def knn_repeated(spark, folder):
+    """Requests that repeat seven vectors within roles and across them."""
+    bank = views.vector_bank(spark, folder)
+    few = bank.where("id < 7").select(F.col("id").alias("vec"), "embedding")
+    asked = bank.select("id", "role", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("n")).select(
+        (F.col("id") * 3 + F.col("n")).alias("request"), (F.col("id") % 7).alias("vec"), ((F.col("role") + F.col("n")) % 10).alias("role")
+    )
+    near = r.knn(asked.join(F.broadcast(few), "vec"), bank, fixed.RETRIEVED, request_id="request")
+    return near.select("request", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query(
     "c3_unmatched",
     with_views(BANK, REQUESTS) + "SELECT session_id, role FROM requests WHERE role NOT IN (SELECT role FROM bank)",

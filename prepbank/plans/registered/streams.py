@@ -4,6 +4,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from prepbank import fixed
 from prepbank.plans import views
 from prepbank.plans.registered.base import query
 from prepbank.plans.registered.scores import ADAPTIVE_SQL
@@ -52,6 +53,45 @@ def rate_limit_audit(spark, folder):
     return audit.select("id", "endpoint", start, "allowed")
 
 
+_LIMITED = f"""limited AS (SELECT event_id AS id, user_id AS caller, ts, e.endpoint, e.most FROM events
+  JOIN (VALUES {", ".join(f"({i}, '{k}', {v})" for i, (k, v) in enumerate(fixed.RATE_LIMITS.items()))}) AS e(n, endpoint, most)
+  ON event_id % {len(fixed.RATE_LIMITS)} = e.n)"""
+
+
+def _limited(spark, folder):
+    """Events as requests of a caller to an endpoint, each with the endpoint's limit."""
+    names = F.array(*[F.lit(k) for k in fixed.RATE_LIMITS])
+    most = F.array(*[F.lit(v) for v in fixed.RATE_LIMITS.values()])
+    at = (F.col("event_id") % len(fixed.RATE_LIMITS) + 1).cast("int")
+    return views.table(spark, folder, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("caller"), F.element_at(names, at).alias("endpoint"),
+        F.element_at(most, at).alias("most"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+
+@query(
+    "s1_rate_limit_by_endpoint",
+    f"""WITH {_LIMITED} SELECT id, caller, endpoint, window_start, rn <= most AS allowed FROM (
+  SELECT id, caller, endpoint, most, date_trunc('day', ts) AS window_start,
+    row_number() OVER (PARTITION BY caller, endpoint, date_trunc('day', ts) ORDER BY ts, id) AS rn FROM limited)""",
+)
+def rate_limit_by_endpoint(spark, folder):
+    """Requests of each caller to each endpoint, held against the endpoint's own limit."""
+    audit = limits.rate_limit_audit(_limited(spark, folder), ["caller", "endpoint"], "ts", "most", "1 day")
+    start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
+    return audit.select("id", "caller", "endpoint", start, "allowed")
+
+
+@query(
+    "s1_rate_limit_counts_by_endpoint",
+    f"""WITH {_LIMITED} SELECT caller, endpoint, date_trunc('day', ts) AS window_start, count(*) AS requests,
+  greatest(count(*) - any_value(most), 0) AS rejected FROM limited GROUP BY 1, 2, 3""",
+)
+def rate_limit_counts_by_endpoint(spark, folder):
+    counted = limits.rate_limit_counts(_limited(spark, folder), ["caller", "endpoint"], "ts", "most", "1 day")
+    return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 _COUNTS = """SELECT event_type AS endpoint, date_trunc('hour', ts) AS window_start, count(*) AS requests,
   greatest(count(*) - 5, 0) AS rejected FROM events GROUP BY 1, 2"""
 
@@ -68,6 +108,7 @@ def rate_limit_counts(spark, folder):
     _COUNTS + " HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)",
 )
 def rate_limit_stream(spark, folder):
+    """Windows that are final when the events end; those still open at the watermark give no row yet."""
     log = _event_stream(spark, folder).select(F.col("event_type").alias("endpoint"), "ts")
     final = _run(limits.rate_limit_stream(log, "endpoint", "ts", 5, "1 hour"), spark, "limits")
     return final.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

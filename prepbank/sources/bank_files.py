@@ -12,6 +12,8 @@ from prepbank.functions.text import file_kind, strip
 from prepbank.operators.ordering import MAX_GROUP_ROWS, attach, number_rows, pages
 
 PART_ROWS = 10_000
+# Errors that say that nothing was written at a path yet.
+ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 # ---- JSON lines -------------------------------------------------------------------------------
@@ -68,9 +70,12 @@ def append_bank(df: DataFrame, path: str) -> None:
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path; None only where there is no such path, or an empty folder."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ABSENT:
+            raise
         return None
 
 
@@ -101,7 +106,9 @@ def bank_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     """Rows of a bank file, or None when there is no such file."""
     try:
         return read_bank(spark, path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ABSENT:
+            raise
         return None
 
 

@@ -1,62 +1,77 @@
 """Request-rate audit in fixed windows, in batch and over a stream."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prepbank.operators.ordering import MAX_GROUP_ROWS, find_hot_keys, first_rows, join_small, split_hot
+from prepbank.operators.ordering import MAX_GROUP_ROWS, find_hot_keys, first_rows, lookup, split_hot
 
 
 def _window_start(ts: str, window: str) -> Column:
     return F.window(F.col(ts).cast("timestamp"), window)["start"]
 
 
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _limit(limit: int | str) -> Column:
+    return F.lit(limit) if isinstance(limit, int) else F.col(limit)
+
+
 def rate_limit_audit(
     df: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     ts: str,
-    limit: int,
+    limit: int | str,
     window: str = "1 minute",
     id_col: str = "id",
     max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Mark the first ``limit`` requests of a key in each window allowed, the rest rejected.
 
-    Windows of ordinary size are numbered. In a hot one only the first ``limit`` rows leave an input task; the last
+    ``key`` is a column or several (caller and endpoint); ``limit`` is a number or a column that is the same for all requests
+    of a key. Windows of ordinary size are numbered. In a hot one only the first ``limit`` rows leave an input task; the last
     of them is the cut that every request of the window is held against, in place.
     """
-    keys = [key, "window_start"]
-    stamped = df.withColumn("window_start", _window_start(ts, window))
+    keys = [*_keys(key), "window_start"]
+    stamped = df.withColumn("window_start", _window_start(ts, window)).withColumn("_limit", _limit(limit))
     w = W.partitionBy(*keys).orderBy(ts, id_col)
 
     def numbered(part):
-        return part.withColumn("allowed", F.row_number().over(w) <= limit)
+        return part.withColumn("allowed", F.row_number().over(w) <= F.col("_limit")).drop("_limit")
 
     hot = find_hot_keys(stamped, keys, max_group_rows)
     if hot is None:
         return numbered(stamped)
     cold, rest = split_hot(stamped, keys, hot)
-    first = first_rows(rest.select(*keys, ts, id_col), keys, [F.asc(ts), F.asc(id_col)], limit, "_no", None)
+    most = limit if isinstance(limit, int) else rest.agg(F.max("_limit")).head()[0] or 0
+    slim = rest.select(*keys, ts, id_col, "_limit")
+    first = first_rows(slim, keys, [F.asc(ts), F.asc(id_col)], most, "_no", max_group_rows).where(F.col("_no") <= F.col("_limit"))
     cut = first.groupBy(*keys).agg(F.max_by(F.struct(ts, id_col), "_no").alias("_cut"))
-    # one row per hot window, so the side is bounded
-    held = join_small(rest, cut, keys).withColumn("allowed", F.struct(ts, id_col) <= F.col("_cut"))
-    return numbered(cold).unionByName(held.drop("_cut"))
+    held = lookup(rest, cut, keys, "left", max_group_rows)
+    held = held.withColumn("allowed", F.coalesce(F.struct(ts, id_col) <= F.col("_cut"), F.lit(False)))
+    return numbered(cold).unionByName(held.select(*[c for c in stamped.columns if c != "_limit"], "allowed"))
 
 
-def rate_limit_counts(df: DataFrame, key: str, ts: str, limit: int, window: str = "1 minute") -> DataFrame:
+def rate_limit_counts(df: DataFrame, key: str | Sequence[str], ts: str, limit: int | str, window: str = "1 minute") -> DataFrame:
     """Requests and rejections per key and window. Works on a batch, and on a stream that has a watermark."""
-    counted = df.groupBy(F.window(F.col(ts), window).alias("_w"), key).agg(F.count(F.lit(1)).alias("requests"))
+    counted = df.groupBy(F.window(F.col(ts), window).alias("_w"), *_keys(key)).agg(
+        F.count(F.lit(1)).alias("requests"), F.max(_limit(limit)).alias("_limit")
+    )
     return counted.select(
-        key,
+        *_keys(key),
         F.col("_w.start").alias("window_start"),
         "requests",
-        F.greatest(F.col("requests") - limit, F.lit(0)).cast("bigint").alias("rejected"),
+        F.greatest(F.col("requests") - F.col("_limit"), F.lit(0)).cast("bigint").alias("rejected"),
     )
 
 
 def rate_limit_stream(
-    stream: DataFrame, key: str, ts: str, limit: int, window: str = "1 minute", late: str = "1 minute"
+    stream: DataFrame, key: str | Sequence[str], ts: str, limit: int | str, window: str = "1 minute", late: str = "1 minute"
 ) -> DataFrame:
-    """Streaming form; a window's row is final once the watermark passes it (append mode)."""
+    """Streaming form; a window's row is final once the watermark passes it (append mode), later windows are still open."""
     stamped = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return rate_limit_counts(stamped, key, ts, limit, window)

@@ -81,6 +81,20 @@ def test_knn_beyond_the_broadcast_size(spark, vectors, monkeypatch):
     assert collected(r.knn(*frames(spark, vectors), 20)) == brute(*vectors, 20)
 
 
+@pytest.mark.parametrize("plan", ["broadcast", "joined", "cells"])
+def test_equal_request_vectors(spark, monkeypatch, plan):
+    """One vector asked by requests of several blocks, and in two roles."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-30, 30, (200, 4)).astype(float).tolist()
+    bank = [(i, f"r{i % 2}", v) for i, v in enumerate(rows)]
+    requests = [(i, f"r{i // 60 % 2}", rows[0]) for i in range(120)] + [(120 + i, "r0", rows[i % 3]) for i in range(30)]
+    monkeypatch.setattr(r, "BLOCK_ROWS", 16)
+    if plan != "broadcast":
+        monkeypatch.setattr(r, "BROADCAST_BYTES", 0)
+    options = {"cell_rows": 30} if plan == "cells" else {}
+    assert collected(r.knn(*frames(spark, (requests, bank)), 20, **options)) == brute(requests, bank, 20)
+
+
 def test_string_ids(spark, vectors):
     requests, bank = vectors
     bank = [(f"q_{i}", role, v) for i, role, v in bank]

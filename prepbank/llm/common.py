@@ -3,7 +3,7 @@
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -23,9 +23,10 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality of the key columns."""
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
+def restored(df: DataFrame, like: DataFrame, id_col: str) -> DataFrame:
+    """Column ``id``, which went through Python as text so that nulls don't cost digits, in its own type again."""
+    return df.withColumn("id", F.col("id").cast(like.schema[id_col].dataType))
+
 
 
 def number_in_buckets(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence, name: str) -> DataFrame:

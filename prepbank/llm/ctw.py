@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prepbank.llm.common import restored
 from prepbank.session import materialize
 
 # At most 6, so that a gram and a flag fit in 64 bits.
@@ -295,7 +296,7 @@ def gram_logs(grams: np.ndarray, chance: np.ndarray, top: tuple[np.ndarray, np.n
 # Jobs --------------------------------------------------------------------------------------------------------------------
 
 
-def _chunks(id_type: T.DataType, parts: int, chunk_bytes: int):
+def _chunks(parts: int, chunk_bytes: int):
     """mapInPandas function: rows of texts to a row per chunk and a row per chunk, kind and part."""
     names = ["chunk", "kind", "part", "keys", "counts", "texts", "ids", "tokens"]
 
@@ -320,12 +321,12 @@ def _chunks(id_type: T.DataType, parts: int, chunk_bytes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, texts, held, size = [], [], [], 0
         for batch in batches:
-            for key, text, flag in zip(batch["id"].astype(object), batch["text"], batch["held"], strict=True):
+            for key, text, flag in zip(batch["id"], batch["text"], batch["held"], strict=True):
                 data = normalized(text)
                 if texts and size + len(data) > chunk_bytes:
                     yield from emit(ids, texts, held)
                     ids, texts, held, size = [], [], [], 0
-                ids.append(None if key is pd.NA or key != key else key)
+                ids.append(key)
                 texts.append(data)
                 held.append(bool(flag))
                 size += len(data) + DEPTH
@@ -472,11 +473,10 @@ def score_texts(
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    id_type = docs.schema[id_col].dataType
     slim = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held")
+        F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held_out.alias("held")
     )
-    chunks = materialize(slim.mapInPandas(_chunks(id_type, parts, chunk_bytes), CHUNKS), "chunks")
+    chunks = materialize(slim.mapInPandas(_chunks(parts, chunk_bytes), CHUNKS), "chunks")
     tallied = chunks.where("kind != 'texts'").select("kind", "part", "chunk", "keys", "counts")
     gathered = tallied.repartition(parts, "kind", "part").sortWithinPartitions("kind", "part").mapInPandas(_gather, GATHERED)
     gathered = materialize(gathered, "gathered")
@@ -500,9 +500,9 @@ def score_texts(
     )
     both = both.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("texts").isNotNull())
     schema = T.StructType([
-        T.StructField("id", id_type), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
+        T.StructField("id", T.StringType()), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
         T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
     scored = both.mapInPandas(_score(parts, totals, distinct, ends, schema.names), schema)
-    return scored.withColumnRenamed("id", id_col)
+    return restored(scored, docs, id_col).withColumnRenamed("id", id_col)

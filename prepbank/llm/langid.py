@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from prepbank.llm.common import restored
 from prepbank.session import materialize
 
 # Common languages by family. A language not listed is a family of its own.
@@ -173,7 +174,7 @@ def fit(
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, lang_pred, score), from the whole text alone; no shuffle."""
     schema = T.StructType([
-        T.StructField("id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+        T.StructField("id", T.StringType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
     ])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +182,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             found = [model.predict(t) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return restored(slim.mapInPandas(run, schema), docs, id_col).withColumnRenamed("id", id_col)
 
 
 def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

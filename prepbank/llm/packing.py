@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepbank.llm.common import MAX_BUCKETS, number_in_buckets
+from prepbank.llm.common import MAX_BUCKETS, number_in_buckets, restored
 from prepbank.session import materialize
 
 CAPACITY = 4096
@@ -104,8 +104,7 @@ def tokenized_pieces(
 
     ``ids`` adds the ids themselves, as little-endian unsigned 32-bit integers. A null text counts as empty.
     """
-    id_type = docs.schema[id_col].dataType
-    fields = [T.StructField("id", id_type), *[T.StructField(x, T.LongType()) for x in ("piece", "start", "length", "ids_crc32")]]
+    fields = [T.StructField("id", T.StringType()), *[T.StructField(x, T.LongType()) for x in ("piece", "start", "length", "ids_crc32")]]
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * ids)
     end = np.asarray([END_ID], "<u4").tobytes()
 
@@ -119,10 +118,10 @@ def tokenized_pieces(
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part), *([part] * ids)))
-            yield pd.DataFrame(rows, columns=schema.names).astype({"id": batch["id"].dtype})
+            yield pd.DataFrame(rows, columns=schema.names)
 
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return slim.mapInPandas(cut, schema)
+    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return restored(slim.mapInPandas(cut, schema), docs, id_col)
 
 
 class _Plan:

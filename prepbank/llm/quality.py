@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prepbank.llm.common import restored
+
 # (from bytes, lowest ratio, highest ratio) of a whole document; shorter ones say nothing. Ratios fall with the length.
 BANDS = (
     (64, 0.30, 1.60),
@@ -100,7 +102,7 @@ def compression_rules(
     A null or empty text has no words, ratio null and fails the base; null ids and repeated rows are kept as they
     are; texts of any length are read whole; an empty table gives an empty result; other columns take no part.
     """
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(*f) for f in FIELDS]])
+    schema = T.StructType([T.StructField("id", T.StringType()), *[T.StructField(*f) for f in FIELDS]])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -116,7 +118,7 @@ def compression_rules(
                 outside = chunk_share(data, compressed, chunk, LEAST_CHUNK, chunk_band)
                 fits = ratio is not None and in_band(len(data), ratio, bands) and outside <= share
                 rows.append((key, *counts, failed, ratio, outside, not failed and fits))
-            yield pd.DataFrame(rows, columns=schema.names).astype({"id": batch["id"].dtype})
+            yield pd.DataFrame(rows, columns=schema.names)
 
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return slim.mapInPandas(judge, schema).withColumnRenamed("id", id_col)
+    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return restored(slim.mapInPandas(judge, schema), docs, id_col).withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prepbank.llm.common import free_name
+from prepbank.llm.common import free_name, restored
 from prepbank.llm.components import components
 from prepbank.session import materialize
 
@@ -55,12 +55,14 @@ def _majority(hashes: list[list[int]]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """Rows (id, fp): each document's 64-bit fingerprint, as a signed bigint.
+    """Rows (id, text_hash, fp): each document's 64-bit fingerprint, as a signed bigint, and a hash of its text.
 
     Shingles are ``words`` words of the lower-cased (A-Z) text joined by spaces, repeats included; a text with fewer
     words is one shingle, one without words has fingerprint 0. Whole texts are read, in slices of a bounded size.
     """
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    schema = T.StructType([
+        T.StructField("id", T.StringType()), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())
+    ])
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,10 +76,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if waiting:
                 found.append(_majority(waiting))
             fp = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pd.DataFrame({"id": batch["id"], "fp": fp})
+            yield pd.DataFrame({"id": batch["id"], "text_hash": batch["text_hash"], "fp": fp})
 
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return slim.mapInPandas(sign, schema)
+    slim = docs.select(
+        F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("text_hash"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
+    return restored(slim.mapInPandas(sign, schema), docs, id_col)
 
 
 def _byte(position: int):
@@ -177,35 +182,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents have no other id; repeated rows fall into one class; an empty table gives an empty result; other
     columns take no part.
     """
+    signed, heads = _classes(docs, id_col, text_col, words, max_list)
+    return signed.join(heads, "fp").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best").alias("component_id")
+    )
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, max_list: int = MAX_LIST) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints, and rows (fp, root, best): the component of each, by its smallest fingerprint, and its smallest id."""
     signed = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
     classes = materialize(signed.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     found = components(links(classes.select("fp"), max_list)).select(F.col("node").alias("fp"), "component")
-    linked = classes.join(found, "fp")
-    best = linked.groupBy("component").agg(F.min("first").alias("best"))
-    named = linked.join(best, "component").select("fp", "best")
-    heads = classes.join(named, "fp", "left").select("fp", F.coalesce("best", "first").alias("component_id"))
-    return signed.join(heads, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    rooted = classes.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), "first")
+    best = rooted.where(F.col("root") != F.col("fp")).select("root").distinct().join(rooted, "root")
+    best = best.groupBy("root").agg(F.min("first").alias("best"))
+    heads = rooted.join(best, "root", "left").select("fp", "root", F.coalesce("best", "first").alias("best"))
+    return signed, heads
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """The documents of which no other of the component has a smaller id; of rows with one id the first by text stays.
+    """Of each component the document with the smallest id, with all its columns; no other row.
 
-    Rows without an id take part in the groups and give way to any that has one.
+    Rows without an id give way to any that has one. Among rows of one id and component one text stays, and of rows
+    equal in id and text one row; rows of one id in different components are different documents.
     """
-    found = near_duplicates(docs, id_col, text_col, words).select(F.col(id_col).alias("__id"), "component_id")
-    # One id to a component, however many rows bear it.
-    keep = found.where(F.col("__id").eqNullSafe(F.col("component_id"))).select("__id").distinct()
-    rows = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    twice = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(id_col).alias("__id"))
-    single = rows.join(twice, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    many = rows.join(twice, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    return single.unionByName(_one_of_each(many, id_col, text_col))
-
-
-def _one_of_each(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    at = free_name(rows, "at")
-    packed = F.struct(F.col(text_col).alias("t"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
-    first = rows.select(F.col(id_col).alias(at), packed.alias("p")).groupBy(at).agg(F.min("p").alias("p"))
-    return first.select("p.row.*")
+    signed, heads = _classes(docs, id_col, text_col, words)
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))
+    chosen = signed.join(heads, "fp").groupBy("root").agg(F.min(order).alias("first"))
+    keep = chosen.select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    mark = free_name(docs, "text_hash")
+    marked = docs.withColumn(mark, F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__hash"))
+    rows = marked.join(keep, same, "left_semi")
+    twice = signed.groupBy("id", "text_hash").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    twice = twice.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
+    single, many = rows.join(twice, same, "left_anti"), rows.join(twice, same, "left_semi")
+    return single.drop(mark).unionByName(_one_of_each(many, id_col, mark).drop(mark))
+
+
+def _one_of_each(rows: DataFrame, id_col: str, mark: str) -> DataFrame:
+    """One row of each id and text."""
+    at, text = free_name(rows, "at_id"), free_name(rows, "at_text")
+    packed = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    first = rows.select(F.col(id_col).alias(at), F.col(mark).alias(text), packed.alias("row")).groupBy(at, text)
+    return first.agg(F.min("row").alias("row")).select("row.*")

@@ -20,16 +20,21 @@ BLOCK = 1024
 QUERY_BLOCK = 256
 # Leading axes of the first partial sum, as a share of all.
 HEAD = 0.25
+# Candidates without an id come last among ties.
+_NO_ID = 2**63 - 1
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """Rows (row, id, v, norm): floor(scale * x) of every component; rows with a null or non-finite one are left out."""
+    """Rows (row, id, named, v, norm): floor(scale * x) of every component; rows with a null or non-finite one are left out."""
     x = F.col(vec_col)
     whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     v = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")))
-    slim = vectors.where(x.isNotNull() & whole).select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"))
+    key = F.col(id_col).cast("bigint")
+    slim = vectors.where(x.isNotNull() & whole).select(
+        F.coalesce(key, F.lit(_NO_ID)).alias("id"), key.isNotNull().alias("named"), v.alias("v")
+    )
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    return slim.select(F.monotonically_increasing_id().alias("row"), "id", "v", F.sqrt(square).alias("norm"))
+    return slim.select(F.monotonically_increasing_id().alias("row"), "id", "named", "v", F.sqrt(square).alias("norm"))
 
 
 def _matrix(values: pd.Series, width: int) -> np.ndarray:
@@ -118,14 +123,6 @@ class _Queries:
         })
 
 
-# Candidates without an id come last among ties.
-_NO_ID = np.iinfo(np.int64).max
-
-
-def _ids(ids: pd.Series) -> np.ndarray:
-    return ids.astype("Int64").fillna(_NO_ID).to_numpy(np.int64)
-
-
 def top_k(
     vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", part_rows: int = PART_ROWS,
     pivots: int = PIVOTS,
@@ -158,7 +155,7 @@ def top_k(
     ordered = materialize(ordered, "by-length")
     longest = [(r["part"], r["most"]) for r in ordered.groupBy("part").agg(F.max("norm").alias("most")).orderBy("part").collect()]
     first = whole.orderBy(F.desc("norm"), "row").limit(pivots).toPandas()
-    pivot = _Block(first["row"].to_numpy(), _ids(first["id"]), _matrix(first["v"], width), axes, head)
+    pivot = _Block(first["row"].to_numpy(), first["id"].to_numpy(), _matrix(first["v"], width), axes, head)
 
     def ask(rows, ids, m, bound):
         return _Queries(rows, ids, m, bound, axes, head, k)
@@ -168,7 +165,7 @@ def top_k(
         for batch in batches:
             for at in range(0, len(batch), QUERY_BLOCK):
                 some = batch.iloc[at : at + QUERY_BLOCK]
-                queries = ask(some["row"].to_numpy(), _ids(some["id"]), _matrix(some["v"], width), np.full(len(some), -np.inf))
+                queries = ask(some["row"].to_numpy(), some["id"].to_numpy(), _matrix(some["v"], width), np.full(len(some), -np.inf))
                 queries.meet(pivot)
                 goes = [[p for p, most in longest if queries.norm[i] * most >= queries.bound[i] - 0.5] for i in range(len(some))]
                 yield some.assign(bound=queries.bound, goes=goes)
@@ -187,18 +184,18 @@ def top_k(
                 if rows:
                     found = pd.concat(rows).sort_values("norm", ascending=False)
                     blocks, rows = [
-                        _Block(b["row"].to_numpy(), _ids(b["id"]), _matrix(b["v"], width), axes, head)
+                        _Block(b["row"].to_numpy(), b["id"].to_numpy(), _matrix(b["v"], width), axes, head)
                         for b in (found.iloc[i : i + BLOCK] for i in range(0, len(found), BLOCK))
                     ], []
                 for at in range(0, len(some), QUERY_BLOCK):
                     q = some.iloc[at : at + QUERY_BLOCK]
-                    queries = ask(q["row"].to_numpy(), _ids(q["id"]), _matrix(q["v"], width), q["bound"].to_numpy().copy())
+                    queries = ask(q["row"].to_numpy(), q["id"].to_numpy(), _matrix(q["v"], width), q["bound"].to_numpy().copy())
                     for block in blocks:
                         if not queries.meet(block):
                             break
                     yield queries.frame()
 
-    queries = ordered.where(is_query).select("row", "id", "v", "norm")
+    queries = ordered.where(F.col("named") & is_query).select("row", "id", "v", "norm")
     asked = queries.mapInPandas(start, "row bigint, id bigint, v array<bigint>, norm double, bound double, goes array<int>")
     asked = asked.select("row", "id", "v", "norm", "bound", F.explode("goes").alias("part"), F.lit(1).alias("asks"))
     given = ordered.select("row", "id", "v", "norm", F.lit(0.0).alias("bound"), "part", F.lit(0).alias("asks"))

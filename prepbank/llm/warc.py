@@ -121,13 +121,16 @@ def write_archives(
         F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
         F.sha2(payload, 256).alias("digest"),
     ).join(shared, F.col("digest") == F.col("d"), "left")
-    rows = rows.select("id", "url", "payload", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    refers = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
+    # Ids go as text, so that nulls don't cost digits.
+    rows = rows.select(
+        F.col("id").cast("string").alias("id"), "url", "payload", "digest", refers.cast("string").alias("refers_to")
+    )
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, base = _open(folder)
         out, name, at = None, "", 0
         for batch in batches:
-            batch = batch.astype({"id": object, "refers_to": object})
             found = []
             for key, url, data, digest, refers in batch[["id", "url", "payload", "digest", "refers_to"]].itertuples(index=False):
                 key, refers = (None if pd.isna(x) else int(x) for x in (key, refers))

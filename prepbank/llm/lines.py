@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepbank.llm.common import free_name
+from prepbank.session import materialize
 
 # A line on more than this share of a host's different pages is boilerplate.
 RATIO = 0.1
@@ -69,7 +70,8 @@ def drop_boilerplate(
     A null text stays null and an empty one empty; pages without host form one host; repeated rows are all kept and
     count as one page; an empty table gives an empty result; columns of any other name pass through.
     """
-    found = boilerplate_lines(pages, host_col, text_col, ratio, min_pages)
+    # Written first, so that its size is known when the join is planned.
+    found = materialize(boilerplate_lines(pages, host_col, text_col, ratio, min_pages), "boilerplate")
     host, keys = free_name(pages, "host_key"), free_name(pages, "bad_keys")
     joined = pages.join(
         found.select(F.col("host").alias(host), F.col("keys").alias(keys)),

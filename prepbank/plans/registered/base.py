@@ -87,9 +87,10 @@ RESPONSES = """responses AS (
   FROM events)"""
 
 RETRIEVED = """request_vectors AS (
-  SELECT r.*, e.embedding FROM requests r JOIN embeddings e ON r.session_id = e.vec_id),
+  SELECT r.*, e.embedding FROM requests r JOIN embeddings e
+    ON r.session_id % (SELECT count(*) FROM embeddings) = e.vec_id),
 document_vectors AS (
-  SELECT b.*, e.embedding FROM bank b JOIN embeddings e ON b.id = e.vec_id),
+  SELECT b.*, e.embedding FROM bank b JOIN embeddings e ON b.id % (SELECT count(*) FROM embeddings) = e.vec_id),
 retrieved AS (
   SELECT session_id, id, question, model_answer, distance, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY distance, id) AS rank FROM (

@@ -42,10 +42,16 @@ def vector_bank(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _with_vector(rows: DataFrame, spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """Every row with a stored vector: the ids of the vectors run from 0, and a key takes the one at its remainder."""
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("_vec"), "embedding")
+    total = vectors.count()
+    return rows.withColumn("_vec", F.pmod(F.col(key), F.lit(total))).join(vectors, "_vec").drop("_vec")
+
+
 def document_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Bank rows that have a stored vector."""
-    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return bank(spark, folder).join(vectors, "id")
+    """All bank rows, each with a stored vector."""
+    return _with_vector(bank(spark, folder), spark, folder, "id")
 
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,9 +75,8 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def request_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests that have a stored vector."""
-    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("session_id"), "embedding")
-    return requests(spark, folder).join(vectors, "session_id")
+    """All requests, each with a stored vector."""
+    return _with_vector(requests(spark, folder), spark, folder, "session_id")
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from prepbank.plans.registered import base
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -32,14 +33,15 @@ def plain(rows):
 
 def test_sql_names_are_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"flow_embedded_retrieval"}
+    assert set(base.QUERIES) <= set(entry.queries()) and set(base.SQL) <= set(entry.oracle_sql())
+    assert set(base.QUERIES) - set(base.SQL) == {"flow_embedded_retrieval"}
 
 
 def test_entry(spark, data):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(base.SQL))
 def test_query_gives_the_rows_of_its_sql(spark, data, db, name):
     out = entry.queries()[name](spark, data)
     columns = sorted(out.columns)

@@ -43,7 +43,8 @@ def evaluation(question: Column, model_answer: Column, user_answer: Column) -> C
     return fill(fixed.EVALUATION_PROMPT, question=question, model_answer=model_answer, user_answer=user_answer)
 
 
-def report(profile_name: Column, role: Column, avg_score: Column, history: Column) -> Column:
-    return fill(
-        fixed.REPORT_PROMPT, profile_name=profile_name, role=role, average=one_decimal(avg_score), history=history
-    )
+def report_frame(profile_name: Column, role: Column, avg_score: Column) -> tuple[Column, Column]:
+    """What stands ahead of the history in a report prompt, and what stands behind it."""
+    values = {"profile_name": profile_name, "role": role, "average": one_decimal(avg_score)}
+    head, tail = (fill(piece, **values) for piece in fixed.REPORT_PROMPT.split("{history}"))
+    return head, tail

@@ -11,10 +11,16 @@ from prepbank import fixed
 from prepbank.functions import prompts
 from prepbank.functions.template import fill
 from prepbank.functions.text import difficulty_tier, one_decimal, score_repr
-from prepbank.operators.ordering import MAX_GROUP_ROWS, first_rows, lookup, number_rows, pages, rolling
-
-# Rows of one session that share an output row. Longer sessions continue in further parts.
-PART_ROWS = 10_000
+from prepbank.operators.ordering import (
+    MAX_GROUP_BYTES,
+    MAX_GROUP_ROWS,
+    cut,
+    first_rows,
+    lookup,
+    number_rows,
+    rolling,
+    text_parts,
+)
 
 
 def newest_first():
@@ -117,40 +123,52 @@ def number_questions(history: DataFrame, max_group_rows: int | None = MAX_GROUP_
     return number_rows(history, ["session_id"], newest_first(), "question_no", max_group_rows=max_group_rows)
 
 
-def history_nested(
-    history: DataFrame, part_rows: int = PART_ROWS, max_group_rows: int | None = MAX_GROUP_ROWS
-) -> DataFrame:
-    """Sessions with their questions nested, newest first; sessions newest first.
+def history_items(history: DataFrame, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+    """One row per answer, at any size of a session: the session with its newest stamp, the question's number
+    (newest = 1), text, score and stamp. Sorted by (timestamp descending, session_id, question_no) it is the whole history page."""
+    newest = {"_newest": F.col("timestamp")}
+    numbered = number_rows(history, ["session_id"], newest_first(), "question_no", newest, max_group_rows)
+    return numbered.select(
+        "session_id", F.col("_newest").alias("timestamp"), "question_no", "question", "score",
+        F.col("timestamp").alias("answered"),
+    )
 
-    A session of up to ``part_rows`` rows is one output row. A longer one goes on in part 2, 3, ...
-    so that no array holds an unbounded group; parts in order hold every row.
-    """
-    numbered = number_rows(
-        history, ["session_id"], newest_first(), "_no", {"_newest": F.col("timestamp")}, max_group_rows
+
+def history_lines(history: DataFrame, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+    """Transcript as rows ``session_id, line_no, line``, oldest first, at any size of a session."""
+    return number_rows(_lines(history), ["session_id"], oldest_first(), "line_no", max_group_rows=max_group_rows).select(
+        "session_id", "line_no", "line"
     )
+
+
+def _lines(history: DataFrame) -> DataFrame:
+    line = fill(fixed.HISTORY_LINE, question=F.col("question"), score=score_repr(F.col("score")))
+    return history.select("session_id", "timestamp", "id", line.alias("line"))
+
+
+def history_nested(history: DataFrame, part_bytes: int, max_group_bytes: int = MAX_GROUP_BYTES) -> DataFrame:
+    """``history_items`` nested, newest first; sessions newest first. An array holds about ``part_bytes`` of questions;
+    the arrays of a session by ``part_no``, one after the other, hold every row."""
+    rows = history.select("session_id", "id", "question", "score", "timestamp")
+    size = F.octet_length(F.coalesce("question", F.lit(""))) + 24
+    numbered = cut(rows, ["session_id"], newest_first(), size, part_bytes, max_group_bytes)
     item = F.struct("_no", F.struct("question", "score", "timestamp").alias("item"))
-    grouped = pages(numbered, "_no", part_rows).groupBy("session_id", "part_no").agg(
-        F.first("_newest").alias("timestamp"),
-        F.array_sort(F.collect_list(item)).alias("_items"),
-    )
+    grouped = numbered.groupBy("session_id", "part_no").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    grouped = lookup(grouped, session_list(history), ["session_id"], "inner", max(1, max_group_bytes // part_bytes))
     ordered = grouped.orderBy(F.desc("timestamp"), "session_id", "part_no")
     return ordered.select(
         "session_id", "timestamp", "part_no", F.transform("_items", lambda x: x["item"]).alias("questions")
     )
 
 
-def history_text(
-    history: DataFrame, part_rows: int = PART_ROWS, max_group_rows: int | None = MAX_GROUP_ROWS
-) -> DataFrame:
-    """Transcript of every session, one line per answer, oldest first; long sessions in parts."""
-    line = fill(fixed.HISTORY_LINE, question=F.col("question"), score=score_repr(F.col("score")))
-    lines = history.select("session_id", "timestamp", "id", line.alias("line"))
-    numbered = number_rows(lines, ["session_id"], oldest_first(), "_no", max_group_rows=max_group_rows)
-    grouped = pages(numbered, "_no", part_rows).groupBy("session_id", "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("_no", "line"))).alias("_lines")
-    )
-    text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
-    return grouped.select("session_id", "part_no", text.alias("history"))
+def history_text(history: DataFrame, part_bytes: int, max_group_bytes: int = MAX_GROUP_BYTES) -> DataFrame:
+    """``history_lines`` joined to texts, in parts of about ``part_bytes``."""
+    return _history_parts(history, part_bytes, max_group_bytes).drop("_first", "_last")
+
+
+def _history_parts(history, part_bytes, max_group_bytes):
+    parts = text_parts(_lines(history), ["session_id"], oldest_first(), "line", part_bytes, max_group_bytes)
+    return parts.withColumnRenamed("line", "history")
 
 
 # ---- reports ----------------------------------------------------------------------------------------
@@ -163,20 +181,20 @@ def report_or_empty(requests: DataFrame, history: DataFrame, max_group_rows: int
 
 
 def report_prompt(
-    requests: DataFrame,
-    history: DataFrame,
-    part_rows: int = PART_ROWS,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    requests: DataFrame, history: DataFrame, part_bytes: int, max_group_bytes: int = MAX_GROUP_BYTES
 ) -> DataFrame:
-    """Report prompts of the sessions that have scores, and how many requests ask for each.
+    """One report prompt for each session with scores and each profile and role that ask for it, with the number of requests.
 
-    A session longer than ``part_rows`` gives one prompt per part of its transcript.
+    The prompt is over the whole history. It comes in parts of about ``part_bytes`` of history: the parts by
+    ``part_no``, joined with newlines, are the prompt.
     """
     asked = requests.groupBy("session_id", "profile_name", "role").agg(F.count(F.lit(1)).alias("requests"))
     asked = asked.join(session_avg(history), "session_id")
-    texts = history_text(history, part_rows, max_group_rows)
-    # Parts are fat rows: a session is hot here once its parts hold max_group_rows lines.
-    hot_parts = None if max_group_rows is None else max(1, max_group_rows // part_rows)
-    joined = lookup(texts, asked, ["session_id"], "inner", hot_parts)
-    prompt = prompts.report(F.col("profile_name"), F.col("role"), F.col("avg_score"), F.col("history"))
-    return joined.select("session_id", "profile_name", "requests", "avg_score", "part_no", prompt.alias("prompt"))
+    texts = _history_parts(history, part_bytes, max_group_bytes)
+    # Parts are fat rows: a session is hot here once it has max_group_bytes of them.
+    joined = lookup(texts, asked, ["session_id"], "inner", max(1, max_group_bytes // part_bytes))
+    head, tail = prompts.report_frame(F.col("profile_name"), F.col("role"), F.col("avg_score"))
+    prompt = F.concat(
+        F.when(F.col("_first"), head).otherwise(""), F.col("history"), F.when(F.col("_last"), tail).otherwise("")
+    )
+    return joined.select("session_id", "profile_name", "role", "requests", "avg_score", "part_no", prompt.alias("prompt"))

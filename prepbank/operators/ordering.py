@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from prepbank.session import materialize
 
 MAX_GROUP_ROWS = 1_000_000
+# The same in bytes, for groups of whole texts.
+MAX_GROUP_BYTES = 256 << 20
 # Up to this many hot keys are sent to every task as a list; more of them are a table of their own that is joined.
 HOT_KEY_LIMIT = 10_000
 # Spark keeps only the first rows of each key ahead of a shuffle up to this many (its own default limit).
@@ -71,8 +73,6 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot: HotKeys) -> tuple[DataFra
     return df.join(few, _same_key(df, few, keys), "left_anti"), df.join(few, _same_key(df, few, keys), "left_semi")
 
 
-
-
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -182,18 +182,19 @@ def rolling(
 
 
 def attach(
-    df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], max_group_rows: int | None = MAX_GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], max_group_rows: int | None = MAX_GROUP_ROWS,
+    weight: Column | None = None,
 ) -> DataFrame:
     """Add plain aggregates over each key to its rows.
 
     Ordinary keys need one shuffle, which a numbering over the same keys reuses. Hot keys are pre-aggregated
-    and their few results broadcast.
+    and their few results broadcast. ``weight`` counts something else than rows, say bytes.
     """
 
     def by_window(part):
         return part.select("*", *[c.over(W.partitionBy(*keys)).alias(n) for n, c in aggs.items()])
 
-    hot = find_hot_keys(df, keys, max_group_rows)
+    hot = find_hot_keys(df, keys, max_group_rows, weight)
     if hot is None:
         return by_window(df)
     cold, rest = split_hot(df, keys, hot)
@@ -224,6 +225,78 @@ def lookup(
     return cold.join(right, keys, how).unionByName(met)
 
 
-def pages(numbered: DataFrame, name: str, page_rows: int) -> DataFrame:
-    """Add ``part_no`` from 1: consecutive rows of a group, ``page_rows`` to a part."""
-    return numbered.withColumn("part_no", F.floor((F.col(name) - 1) / page_rows).cast("bigint") + 1)
+def cut(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    size: Column,
+    part_bytes: int,
+    max_group_bytes: int = MAX_GROUP_BYTES,
+) -> DataFrame:
+    """Number the rows of each key (``_no`` from 1, ``_rows`` of them) and deal them in order to parts.
+
+    ``part_no`` starts at 1; a part is filled with rows up to about ``part_bytes`` of ``size``, so it is over that by
+    less than its last row (a number is left out after a row larger than a part). Keys of over
+    ``max_group_bytes`` are numbered by runs of a range partitioning, all others by one window.
+    """
+    keys = list(keys)
+    sized = df.withColumn("_size", F.coalesce(size.cast("bigint"), F.lit(0)) + 1)
+    hot = find_hot_keys(sized, keys, max_group_bytes, F.col("_size"))
+    cold = sized
+    if hot is not None:
+        cold, rest = split_hot(sized, keys, hot)
+    placed = _places(cold, keys, order)
+    if hot is not None:
+        spark = df.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-hot.rows // max_group_bytes))
+        ranged = rest.repartitionByRange(parts, *keys, *order).withColumn("_run", F.spark_partition_id())
+        ranged = materialize(ranged, "runs")
+        runs = ranged.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_bytes"))
+        ahead = W.partitionBy(*keys).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+        runs = runs.select(
+            *keys, "_run", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_n_ahead"),
+            F.coalesce(F.sum("_bytes").over(ahead), F.lit(0)).alias("_bytes_ahead"),
+            F.sum("_n").over(W.partitionBy(*keys)).alias("_all"),
+        )
+        # A run of a key is what one range partition holds of it; at most (partitions + hot keys) runs.
+        inner = join_small(_places(ranged, [*keys, "_run"], order), runs, [*keys, "_run"])
+        inner = inner.withColumns(
+            {"_no": F.col("_no") + F.col("_n_ahead"), "_ahead": F.col("_ahead") + F.col("_bytes_ahead"), "_rows": F.col("_all")}
+        )
+        placed = placed.unionByName(inner.select(*placed.columns))
+    part = F.floor(F.col("_ahead") / part_bytes).cast("bigint") + 1
+    return placed.withColumn("part_no", part).drop("_size", "_ahead")
+
+
+def _places(df, keys, order):
+    """Number of a row within its key, bytes ahead of it, and rows of the key."""
+    whole = W.partitionBy(*keys)
+    w = whole.orderBy(*order)
+    ahead = F.sum("_size").over(w.rowsBetween(W.unboundedPreceding, -1))
+    return df.withColumns(
+        {
+            "_no": F.row_number().over(w).cast("bigint"),
+            "_ahead": F.coalesce(ahead, F.lit(0)),
+            "_rows": F.count(F.lit(1)).over(whole),
+        }
+    )
+
+
+def text_parts(
+    lines: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    text: str,
+    part_bytes: int,
+    max_group_bytes: int = MAX_GROUP_BYTES,
+) -> DataFrame:
+    """Lines of each key joined with newlines, in parts of about ``part_bytes``: the parts in order, joined with newlines, are
+    the whole text. ``_first`` and ``_last`` tell the parts at either end."""
+    numbered = cut(lines, keys, order, F.octet_length(text), part_bytes, max_group_bytes)
+    grouped = numbered.groupBy(*keys, "part_no").agg(
+        F.array_sort(F.collect_list(F.struct("_no", text))).alias("_lines"),
+        (F.min("_no") == 1).alias("_first"),
+        (F.max("_no") == F.max("_rows")).alias("_last"),
+    )
+    joined = F.array_join(F.transform("_lines", lambda x: x[text]), "\n")
+    return grouped.select(*keys, "part_no", joined.alias(text), "_first", "_last")

@@ -358,20 +358,41 @@ def filter_role(spark, folder):
     return by_role(views.bank(spark, folder), "fr").select("id", "role", "question")
 
 
-@query(
-    "d8_assemble_text",
-    f"""SELECT key, 1::BIGINT AS part_no, {sql_strip("string_agg(text || chr(10), '' ORDER BY part)")} AS text FROM (
-  SELECT conv_id AS key, turn AS part, CASE WHEN turn % 3 = 0 THEN chr(9) || role || ' ' ELSE text END AS text
-  FROM conversations UNION ALL SELECT conv_id, -1, ' ' || chr(10) FROM conversations WHERE turn = 0) GROUP BY key""",
-)
-def assemble_text(spark, folder):
+_ASSEMBLED = """SELECT conv_id AS key, turn AS part, CASE WHEN turn % 3 = 0 THEN chr(9) || role || ' ' ELSE text END AS text
+  FROM conversations UNION ALL SELECT conv_id, -1, ' ' || chr(10) FROM conversations WHERE turn = 0"""
+
+
+def _turn_parts(spark, folder):
     turns = views.table(spark, folder, "conversations")
     body = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("\t"), "role", F.lit(" "))).otherwise(F.col("text"))
     rows = turns.select(F.col("conv_id").alias("key"), F.col("turn").alias("part"), body.alias("text"))
     lead = turns.where("turn = 0").select(
         F.col("conv_id").alias("key"), F.lit(-1).cast("bigint").alias("part"), F.lit(" \n").alias("text")
     )
-    return bank_files.assemble_text(rows.unionByName(lead), "key", "part", "text")
+    return rows.unionByName(lead)
+
+
+@query(
+    "d8_assemble_text",
+    f"""SELECT key, 1::BIGINT AS part_no, {sql_strip("string_agg(text || chr(10), '' ORDER BY part)")} AS text
+FROM ({_ASSEMBLED}) GROUP BY key""",
+)
+def assemble_text(spark, folder):
+    return bank_files.assemble_text(_turn_parts(spark, folder), "key", "part", "text", 16 << 20)
+
+
+@query(
+    "d8_text_lines",
+    f"""WITH given AS ({_ASSEMBLED}), spans AS (
+  SELECT key, min(part) FILTER ({sql_strip("text")} <> '') AS a, max(part) FILTER ({sql_strip("text")} <> '') AS z
+  FROM given GROUP BY key)
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY part) AS line_no,
+  CASE WHEN part = a AND part = z THEN {sql_strip("text")} WHEN part = a THEN ltrim(text, {quoted(fixed.WHITESPACE)})
+       WHEN part = z THEN rtrim(text, {quoted(fixed.WHITESPACE)}) ELSE text END AS text
+FROM given JOIN spans USING (key) WHERE part BETWEEN a AND z""",
+)
+def text_lines(spark, folder):
+    return bank_files.text_lines(_turn_parts(spark, folder), "key", "part", "text")
 
 
 @query(

@@ -10,6 +10,9 @@ from prepbank.plans.registered.base import HISTORY, RECENT, REQUESTS, quoted, qu
 from prepbank.session import fresh_path
 from prepbank.sources import score_log
 
+# Bytes of text or of nested rows in one output row.
+PART_BYTES = 16 << 20
+
 
 @query(
     "c2_difficulty_tiers",
@@ -68,13 +71,14 @@ def session_avg(spark, folder):
     "d3_session_summary",
     with_views(HISTORY)
     + """SELECT session_id, round(sum(score), 6) AS total_score, count(score) AS questions,
-       round(avg(score), 6) AS avg_score FROM history GROUP BY session_id""",
+       round(avg(score), 6) AS avg_score, printf('%.1f', sum(score) / count(score)) AS avg_display
+FROM history GROUP BY session_id""",
 )
 def session_summary(spark, folder):
     out = h.session_summary(views.history(spark, folder))
     return out.select(
         "session_id", F.round("total_score", 6).alias("total_score"), "questions",
-        F.round("avg_score", 6).alias("avg_score"),
+        F.round("avg_score", 6).alias("avg_score"), "avg_display",
     )
 
 
@@ -87,7 +91,7 @@ def session_summary(spark, folder):
 FROM history h JOIN (SELECT session_id, max(timestamp) AS newest FROM history GROUP BY 1) m USING (session_id)""",
 )
 def history_nested(spark, folder):
-    nested = h.history_nested(views.history(spark, folder))
+    nested = h.history_nested(views.history(spark, folder), PART_BYTES)
     flat = nested.select(
         "session_id", F.col("timestamp").alias("session_timestamp"), "part_no", F.posexplode("questions")
     )
@@ -105,7 +109,28 @@ def history_nested(spark, folder):
 FROM history GROUP BY session_id""",
 )
 def history_text(spark, folder):
-    return h.history_text(views.history(spark, folder))
+    return h.history_text(views.history(spark, folder), PART_BYTES)
+
+
+@query(
+    "d4_history_items",
+    with_views(HISTORY)
+    + """SELECT h.session_id, m.newest AS timestamp, question, score, timestamp AS answered,
+       row_number() OVER (PARTITION BY h.session_id ORDER BY timestamp DESC, id DESC) AS question_no
+FROM history h JOIN (SELECT session_id, max(timestamp) AS newest FROM history GROUP BY 1) m USING (session_id)""",
+)
+def history_items(spark, folder):
+    return h.history_items(views.history(spark, folder))
+
+
+@query(
+    "d6_history_lines",
+    with_views(HISTORY)
+    + f"""SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY timestamp, id) AS line_no,
+  {sql_fill(fixed.HISTORY_LINE, question="question", score="score")} AS line FROM history""",
+)
+def history_lines(spark, folder):
+    return h.history_lines(views.history(spark, folder))
 
 
 @query(
@@ -175,7 +200,7 @@ def latest(spark, folder):
 @query(
     "p5_report_prompt",
     with_views(HISTORY, REQUESTS)
-    + f"""SELECT session_id, profile_name, count(*) AS requests, round(any_value(avg_score), 6) AS avg_score,
+    + f"""SELECT session_id, profile_name, role, count(*) AS requests, round(any_value(avg_score), 6) AS avg_score,
   1::BIGINT AS part_no, any_value({sql_fill(
       fixed.REPORT_PROMPT, profile_name="profile_name", role="role", average="printf('%.1f', avg_score)", history="text"
   )}) AS prompt
@@ -187,7 +212,7 @@ FROM requests JOIN (
 GROUP BY session_id, profile_name, role""",
 )
 def report_prompt(spark, folder):
-    out = h.report_prompt(views.requests(spark, folder), views.history(spark, folder))
+    out = h.report_prompt(views.requests(spark, folder), views.history(spark, folder), PART_BYTES)
     return out.withColumn("avg_score", F.round("avg_score", 6))
 
 

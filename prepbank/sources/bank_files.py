@@ -9,9 +9,8 @@ from pyspark.sql import Window as W
 from prepbank import fixed
 from prepbank.functions.jsons import is_object, parse_json, text_field
 from prepbank.functions.text import file_kind, strip
-from prepbank.operators.ordering import MAX_GROUP_ROWS, attach, number_rows, pages
+from prepbank.operators.ordering import MAX_GROUP_BYTES, MAX_GROUP_ROWS, attach, number_rows, text_parts
 
-PART_ROWS = 10_000
 # Errors that say that nothing was written at a path yet.
 ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
@@ -130,37 +129,38 @@ def route_files(files: DataFrame) -> DataFrame:
     return files.withColumn("kind", kind).withColumn("message", message)
 
 
+def text_lines(
+    parts: DataFrame, key: str, order: str, text: str, max_group_rows: int | None = MAX_GROUP_ROWS,
+    max_group_bytes: int = MAX_GROUP_BYTES,
+) -> DataFrame:
+    """Text of each key as rows ``<key>, line_no, <text>``, one per part: joined with newlines they are its parts in order,
+    a newline after each, stripped as a whole."""
+    kept = _stripped(parts, key, order, text, max_group_bytes)
+    numbered = number_rows(kept, [key], [F.col(order)], "line_no", max_group_rows=max_group_rows)
+    return numbered.select(key, "line_no", text)
+
+
 def assemble_text(
-    parts: DataFrame,
-    key: str,
-    order: str,
-    text: str,
-    part_rows: int = PART_ROWS,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    parts: DataFrame, key: str, order: str, text: str, part_bytes: int, max_group_bytes: int = MAX_GROUP_BYTES
 ) -> DataFrame:
-    """Text of each key: its parts in order, a newline after each, stripped as a whole.
+    """``text_lines`` joined to texts, in pieces of about ``part_bytes``: the pieces by ``part_no``, joined with newlines,
+    are the whole text."""
+    kept = _stripped(parts, key, order, text, max_group_bytes)
+    return text_parts(kept, [key], [F.col(order)], text, part_bytes, max_group_bytes).drop("_first", "_last")
 
-    Up to ``part_rows`` parts make one output row; a longer text goes on in ``part_no`` 2, 3, ...;
-    the pieces joined with newlines are the whole text.
-    """
+
+def _stripped(parts, key, order, text, max_group_bytes):
     parts = parts.select(key, order, F.coalesce(text, F.lit("")).alias(text))
     filled = F.when(F.length(strip(F.col(text))) > 0, F.col(order))
-    span = {"_first": F.min(filled), "_last": F.max(filled), "_least": F.min(order)}
-    kept = attach(parts, [key], span, max_group_rows)
-    kept = kept.withColumns({n: F.coalesce(n, "_least") for n in ("_first", "_last")})
+    span = {"_begin": F.min(filled), "_end": F.max(filled), "_least": F.min(order)}
+    kept = attach(parts, [key], span, max_group_bytes, F.octet_length(text).cast("bigint") + 1)
+    kept = kept.withColumns({n: F.coalesce(n, "_least") for n in ("_begin", "_end")})
     # blank parts at either end vanish in the strip
-    kept = kept.where(F.col(order).between(F.col("_first"), F.col("_last")))
+    kept = kept.where(F.col(order).between(F.col("_begin"), F.col("_end")))
     white = F.lit(fixed.WHITESPACE)
-    trimmed = F.when(F.col(order) == F.col("_first"), F.ltrim(F.col(text), white)).otherwise(F.col(text))
-    trimmed = F.when(F.col(order) == F.col("_last"), F.rtrim(trimmed, white)).otherwise(trimmed)
-    numbered = number_rows(
-        kept.select(key, order, trimmed.alias("_text")), [key], [F.col(order)], "_no", max_group_rows=max_group_rows
-    )
-    grouped = pages(numbered, "_no", part_rows).groupBy(key, "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("_no", "_text"))).alias("_parts")
-    )
-    joined = F.array_join(F.transform("_parts", lambda x: x["_text"]), "\n")
-    return grouped.select(key, "part_no", joined.alias(text))
+    trimmed = F.when(F.col(order) == F.col("_begin"), F.ltrim(F.col(text), white)).otherwise(F.col(text))
+    trimmed = F.when(F.col(order) == F.col("_end"), F.rtrim(trimmed, white)).otherwise(trimmed)
+    return kept.select(key, order, trimmed.alias(text))
 
 
 def to_payload(df: DataFrame, *keep: str, out: str = "payload") -> DataFrame:

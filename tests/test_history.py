@@ -65,26 +65,40 @@ def test_adaptive_trace(history, log, limit, n):
     assert got == wanted
 
 
-@pytest.mark.parametrize("limit", SPLITS)
-@pytest.mark.parametrize("part_rows", [10_000, 16])
-def test_history_nested(history, log, limit, part_rows):
-    got = h.history_nested(history, part_rows, limit).collect()
+# Bounds in bytes: none reached, one hot session, every session far past both.
+BYTES = [(1 << 24, ordering.MAX_GROUP_BYTES), (1 << 24, 2000), (100, 2000), (100, 60), (1, 1)]
+
+
+@pytest.mark.parametrize("part, group", BYTES)
+def test_history_nested(history, log, part, group):
+    got = h.history_nested(history, part, group).collect()
     wanted = by_session(log)
-    assert all(len(r["questions"]) <= part_rows for r in got)
     stamps = [r["timestamp"] for r in got]
     assert stamps == sorted(stamps, reverse=True)
     whole = {}
     for r in sorted(got, key=lambda r: r["part_no"]):
         assert r["timestamp"] == wanted[r["session_id"]][-1][4]
+        assert len(r["questions"]) <= part // 27 + 1
         whole.setdefault(r["session_id"], []).extend((q["question"], q["score"], q["timestamp"]) for q in r["questions"])
     assert whole == {sid: [row[2:] for row in reversed(rows)] for sid, rows in wanted.items()}
 
 
 @pytest.mark.parametrize("limit", SPLITS)
-@pytest.mark.parametrize("part_rows", [10_000, 16])
-def test_history_text(history, log, limit, part_rows):
+def test_history_as_rows_has_one_shape_at_any_size(history, log, limit):
+    items = {(r["session_id"], r["question_no"]): r for r in h.history_items(history, limit).collect()}
+    lines = {(r["session_id"], r["line_no"]): r["line"] for r in h.history_lines(history, limit).collect()}
+    assert len(items) == len(lines) == len(log)
+    for sid, rows in by_session(log).items():
+        for no, row in enumerate(rows, 1):
+            assert lines[sid, no] == f"Q: {row[2]} | Score: {row[3]}/10"
+            item = items[sid, len(rows) + 1 - no]
+            assert (item["question"], item["score"], item["answered"], item["timestamp"]) == (*row[2:], rows[-1][4])
+
+
+@pytest.mark.parametrize("part, group", BYTES)
+def test_history_text(history, log, part, group):
     whole = {}
-    for r in sorted(h.history_text(history, part_rows, limit).collect(), key=lambda r: r["part_no"]):
+    for r in sorted(h.history_text(history, part, group).collect(), key=lambda r: r["part_no"]):
         whole.setdefault(r["session_id"], []).append(r["history"])
     wanted = {
         sid: "\n".join(f"Q: {row[2]} | Score: {row[3]}/10" for row in rows) for sid, rows in by_session(log).items()
@@ -123,21 +137,28 @@ def test_tiers_of_requests_with_a_hot_session(spark, history, log, limit):
         assert r["recent_avg"] == pytest.approx(sum(last) / len(last) if last else 5.0)
 
 
-@pytest.mark.parametrize("limit", SPLITS)
-def test_report_prompts_cover_the_whole_history(spark, history, log, limit):
+@pytest.mark.parametrize("part, group", BYTES)
+def test_report_prompts_cover_the_whole_history(spark, history, log, part, group):
+    """One prompt a session at any size, and one for each role where a session is asked for in two."""
     requests = spark.range(14).select(
         F.col("id").alias("session_id"), F.lit("Ann").alias("profile_name"), F.lit("AI Engineer").alias("role")
     )
-    requests = requests.unionByName(requests.where("session_id = 0"))
-    got = h.report_prompt(requests, history, 16, limit).collect()
+    again = requests.where("session_id = 0")
+    requests = requests.unionByName(again).unionByName(again.withColumn("role", F.lit("Tester")))
+    texts, asked = {}, {}
+    for r in sorted(h.report_prompt(requests, history, part, group).collect(), key=lambda r: r["part_no"]):
+        key = r["session_id"], r["role"]
+        texts.setdefault(key, []).append(r["prompt"])
+        asked[key] = r["requests"]
     sessions = by_session(log)
-    assert {r["session_id"] for r in got} == set(sessions)
-    for sid, rows in sessions.items():
-        mine = sorted((r for r in got if r["session_id"] == sid), key=lambda r: r["part_no"])
-        assert [r["part_no"] for r in mine] == list(range(1, -(-len(rows) // 16) + 1))
-        lines = [line for r in mine for line in r["prompt"].split("History:\n")[1].split("\n\nGenerate")[0].split("\n")]
-        assert lines == [f"Q: {row[2]} | Score: {row[3]}/10" for row in rows]
-        assert {r["requests"] for r in mine} == {2 if sid == 0 else 1}
+    assert set(texts) == {(sid, "AI Engineer") for sid in sessions} | {(0, "Tester")}
+    assert {key for key, n in asked.items() if n == 2} == {(0, "AI Engineer")}
+    for (sid, role), parts in texts.items():
+        rows = sessions[sid]
+        assert "\n".join(parts) == fixed.REPORT_PROMPT.format(
+            profile_name="Ann", role=role, average=f"{sum(r[3] for r in rows) / len(rows):.1f}",
+            history="\n".join(f"Q: {row[2]} | Score: {row[3]}/10" for row in rows),
+        )
 
 
 def test_empty_reports(spark, history):

@@ -83,8 +83,8 @@ def test_files_are_routed(spark, folder):
     assert got == {"a.PDF": ("pdf", None), "b.docx": ("docx", None), "c.txt": ("unsupported", "Only PDF or DOCX files are supported.")}
 
 
-@pytest.mark.parametrize("part_rows, limit", [(10_000, 1_000_000), (3, 1_000_000), (3, 4), (10_000, 4)])
-def test_assemble_text(spark, part_rows, limit):
+@pytest.mark.parametrize("part, group", [(1 << 20, 1 << 28), (6, 1 << 28), (6, 8), (1 << 20, 8), (1, 1)])
+def test_assemble_text(spark, part, group):
     texts = {
         0: [" ", "\n", "  a ", "b", " ", "c \n", "\t"],
         1: ["one"],
@@ -95,12 +95,16 @@ def test_assemble_text(spark, part_rows, limit):
     rows = [(k, i, t) for k, parts in texts.items() for i, t in enumerate(parts)]
     parts = spark.createDataFrame(rows, "key int, part int, text string").repartition(5)
     got = {}
-    for r in bank_files.assemble_text(parts, "key", "part", "text", part_rows, limit).orderBy("key", "part_no").collect():
+    for r in bank_files.assemble_text(parts, "key", "part", "text", part, group).orderBy("key", "part_no").collect():
         got.setdefault(r["key"], []).append(r["text"])
     assert {k: "\n".join(v) for k, v in got.items()} == {
         k: "".join((t or "") + "\n" for t in parts).strip() for k, parts in texts.items()
     }
-    assert all(len(v) == 1 for v in got.values()) or part_rows == 3
+    assert all(len(v) == 1 for v in got.values()) or part < 1 << 20
+    lines = {}
+    for r in bank_files.text_lines(parts, "key", "part", "text", 3, group).orderBy("key", "line_no").collect():
+        lines.setdefault(r["key"], []).append(r["text"])
+    assert {k: "\n".join(v) for k, v in lines.items()} == {k: "\n".join(v) for k, v in got.items()}
 
 
 @pytest.fixture

@@ -48,3 +48,8 @@ def report_frame(profile_name: Column, role: Column, avg_score: Column) -> tuple
     values = {"profile_name": profile_name, "role": role, "average": one_decimal(avg_score)}
     head, tail = (fill(piece, **values) for piece in fixed.REPORT_PROMPT.split("{history}"))
     return head, tail
+
+
+def report(profile_name: Column, role: Column, avg_score: Column, history: Column) -> Column:
+    head, tail = report_frame(profile_name, role, avg_score)
+    return F.concat(head, F.coalesce(history, F.lit("")), tail)

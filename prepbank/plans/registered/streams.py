@@ -1,7 +1,5 @@
 """Rate audit and the score stream. The streams read the events table as a file source until it is used up."""
 
-from contextlib import contextmanager
-
 from pyspark.sql import functions as F
 
 from prepbank import fixed
@@ -11,22 +9,6 @@ from prepbank.plans.registered.scores import ADAPTIVE_SQL
 from prepbank.session import fresh_path
 from prepbank.streaming import adaptive, limits
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-@contextmanager
-def _setting(spark, key, value):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
 
 def _event_stream(spark, folder):
     schema = views.table(spark, folder, "events").schema
@@ -122,6 +104,7 @@ def adaptive_stream(spark, folder):
         F.least(F.col("value") / 10, F.lit(10.0)).alias("score"),
         F.col("ts").cast("timestamp").alias("timestamp"),
     )
-    with _setting(spark, _PROVIDER, _ROCKSDB):
-        traced = _run(adaptive.adaptive_stream(scores), spark, "adaptive")
+    path = fresh_path(spark, "adaptive")
+    adaptive.adaptive_stream(scores, path).awaitTermination()
+    traced = adaptive.read_adaptive(scores, path)
     return traced.select("id", "session_id", F.round("recent_avg", 6).alias("recent_avg"), "tier")

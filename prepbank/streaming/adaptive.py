@@ -1,60 +1,75 @@
 """Difficulty tier after every answer, over a stream of scores."""
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from prepbank import fixed
 from prepbank.functions.text import difficulty_tier
+from prepbank.operators.ordering import MAX_GROUP_ROWS, first_rows, rolling
+
+# Every so many micro-batches the kept scores are written whole; in between only those of the sessions that came up.
+COMPACT_EVERY = 50
+ID, SESSION, STAMP, SCORE = "id", "session_id", "timestamp", "score"
+
 
+def adaptive_stream(
+    stream: DataFrame,
+    path: str,
+    n: int = fixed.RECENT_SCORES,
+    compact_every: int = COMPACT_EVERY,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Start a query that writes every score of a stream ``id, session_id, score, timestamp`` with the last-n average and
+    tier at that point to ``<path>/out``; ``read_adaptive`` reads it.
 
-class LastScores(StatefulProcessor):
-    """Keeps the last n - 1 scores of a session between micro-batches and averages over the last n."""
-
-    def __init__(self, n: int):
-        self.n = n
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getListState("tail", "score double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["timestamp", "id"])
-        before = [r[0] for r in self.tail.get()]
-        scores = np.array(before + batch["score"].tolist(), dtype="float64")
-        padded = np.concatenate([np.full(self.n - 1, np.nan), scores])
-        average = np.nanmean(np.lib.stride_tricks.sliding_window_view(padded, self.n), axis=1)[len(before) :]
-        keep = scores[max(0, len(scores) - self.n + 1) :].tolist() if self.n > 1 else []
-        if keep:
-            self.tail.put([(x,) for x in keep])
-        yield pd.DataFrame(
-            {
-                "session_id": key[0],
-                "id": batch["id"].to_numpy(),
-                "timestamp": batch["timestamp"].to_numpy(),
-                "score": batch["score"].to_numpy(),
-                "recent_avg": average,
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-
-def adaptive_stream(stream: DataFrame, n: int = fixed.RECENT_SCORES) -> DataFrame:
-    """Every score of a stream ``id, session_id, score, timestamp`` with the last-n average and tier at that point.
-
-    State is n - 1 numbers per session. Rows of a micro-batch are put in (timestamp, id) order; a row that
-    arrives in a later micro-batch counts as later. A session's rows of one micro-batch go to one task, so the
-    source's per-trigger limit (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bounds that group.
+    Each micro-batch is the batch operator over its rows and the kept last n - 1 scores of their sessions, so a session
+    with most rows of a micro-batch is split as any hot key. Rows of a micro-batch are put in (timestamp, id) order; a row
+    that arrives in a later micro-batch counts as later. A micro-batch that is run again writes its own folders again.
     """
-    session_type = stream.schema["session_id"].dataType.simpleString()
-    schema = f"session_id {session_type}, id bigint, timestamp timestamp, score double, recent_avg double"
-    rows = stream.select("session_id", "id", F.col("timestamp").cast("timestamp").alias("timestamp"), "score")
-    traced = rows.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=LastScores(n), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
-    return traced.withColumn("tier", difficulty_tier(F.col("recent_avg")))
+
+    def step(batch: DataFrame, no: int) -> None:
+        rows = batch.select(ID, SESSION, F.col(STAMP).cast("timestamp").alias(STAMP), F.col(SCORE).cast("double").alias(SCORE))
+        rows = rows.withColumn("_batch", F.lit(no).cast("bigint"))
+        kept = _kept(rows, path, no, n, compact_every)
+        here = rows.select(SESSION).distinct()
+        same = kept[SESSION].eqNullSafe(here[SESSION])
+        both = rows if no == 0 else rows.unionByName(kept.join(here, same, "left_semi"))
+        order = [F.asc("_batch"), F.asc(STAMP), F.asc(ID)]
+        traced = rolling(both, [SESSION], order, n, {"recent_avg": F.avg(SCORE)}, max_group_rows)
+        traced = traced.where(F.col("_batch") == no).drop("_batch").withColumn("tier", difficulty_tier(F.col("recent_avg")))
+        traced.write.mode("overwrite").parquet(f"{path}/out/batch={no}")
+        if n > 1:
+            newest = [F.desc("_batch"), F.desc(STAMP), F.desc(ID)]
+            all_rows = rows.unionByName(kept) if no % compact_every == 0 and no > 0 else both
+            last = first_rows(all_rows, [SESSION], newest, n - 1, "_place", max_group_rows).drop("_place")
+            last.write.mode("overwrite").parquet(f"{path}/kept/{no}")
+
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/state")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _kept(rows: DataFrame, path: str, no: int, n: int, compact_every: int) -> DataFrame:
+    """The last n - 1 scores of every session ahead of micro-batch ``no``: each session's newest entry since the last whole one."""
+    if no == 0 or n == 1:
+        return rows.limit(0)
+    whole = (no - 1) // compact_every * compact_every
+    read = rows.sparkSession.read.schema(T.StructType([*rows.schema, T.StructField("_of", T.LongType())]))
+    # an entry repeats what its session keeps of older ones
+    entries = [read.parquet(f"{path}/kept/{i}").withColumn("_of", F.lit(i).cast("bigint")) for i in range(whole, no)]
+    found = entries[0]
+    for entry in entries[1:]:
+        found = found.unionByName(entry)
+    newest = found.groupBy(F.col(SESSION).alias("_s")).agg(F.max("_of").alias("_newest"))
+    same = found[SESSION].eqNullSafe(newest["_s"]) & (found["_of"] == newest["_newest"])
+    return found.join(newest, same, "left_semi").drop("_of")
+
+
+def read_adaptive(stream: DataFrame, path: str) -> DataFrame:
+    """What the query has written so far: the scores of the stream with their averages and tiers."""
+    session = stream.schema[SESSION].dataType.simpleString()
+    key = stream.schema[ID].dataType.simpleString()
+    schema = f"{ID} {key}, {SESSION} {session}, {STAMP} timestamp, {SCORE} double, recent_avg double, tier string"
+    return stream.sparkSession.read.schema(schema).option("basePath", f"{path}/out").parquet(f"{path}/out").drop("batch")

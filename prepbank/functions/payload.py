@@ -78,6 +78,11 @@ def logged_score(raw: Column, has_key: Column | None = None) -> Column:
     return evaluate(raw, has_key)["score"]
 
 
+def feedback(raw: Column, outcome: Column) -> Column:
+    """JSON of the evaluation to show: the recovered one, the fixed one without credentials, null after an error."""
+    return F.when(outcome == PARSED, json_text(raw)).when(outcome == MOCK, fixed.MOCK_EVALUATION)
+
+
 def evaluation(v: Column) -> Column:
     """Typed evaluation fields; absent or unusable ones are empty."""
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prepbank import fixed
+from prepbank.functions.jsons import let
 from prepbank.functions.text import md_bullets
 from prepbank.operators.ordering import MAX_GROUP_ROWS, find_hot_keys, first_rows, lookup, number_rows, split_hot
 from prepbank.session import materialize
@@ -63,6 +64,21 @@ def embed(
     return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_text", "_words", "_counts", "_unit")
 
 
+def hashed_words(dims: int) -> Callable[[Column], Column]:
+    """Function for ``embed``: how often words fall on each of ``dims`` places, by the first 16 bits of their MD5.
+
+    Words are what whitespace leaves, in lower case. Built-in expressions only, and plain to state in SQL.
+    """
+
+    def counts(c: Column) -> Column:
+        words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[ \t\n\x0b\f\r]+"), lambda w: w != "")
+        place = F.transform(words, lambda w: F.conv(F.substr(F.md5(w), F.lit(1), F.lit(4)), 16, 10).cast("int") % dims)
+        places = F.sequence(F.lit(0), F.lit(dims - 1))
+        return let(place, lambda p: F.transform(places, lambda d: F.size(F.filter(p, lambda x: x == d)).cast("float")))
+
+    return counts
+
+
 def filter_role(df: DataFrame, role: str) -> DataFrame:
     """Rows of one role; prunes partitions on an index written by role."""
     return df.where(F.col("role") == F.lit(role))
@@ -76,8 +92,9 @@ def clamp_k(k, total) -> Column:
 
 
 def unmatched(requests: DataFrame, bank: DataFrame, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
-    """Requests whose role has no bank rows."""
-    return lookup(requests, bank.select("role").distinct(), ["role"], "left_anti", max_group_rows)
+    """Requests whose role has no bank rows, with the message for them."""
+    without = lookup(requests, bank.select("role").distinct(), ["role"], "left_anti", max_group_rows)
+    return without.withColumn("message", F.lit(fixed.NO_QUESTIONS))
 
 
 # ---- blocks ------------------------------------------------------------------------------------

@@ -1,6 +1,6 @@
 """The three main flows, each as one job between tables: prompts go out, responses come in."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepbank import fixed
@@ -10,6 +10,7 @@ from prepbank.operators import history as scores
 from prepbank.operators import retrieve
 from prepbank.operators.ordering import MAX_GROUP_ROWS, lookup
 from prepbank.session import materialize
+from prepbank.sources import bank_files, score_log
 
 
 def bank_from_pages(
@@ -36,6 +37,30 @@ def retrieved_questions(
     return retrieve.with_bank_rows(nearest, index, max_group_rows=max_group_rows)
 
 
+def load_embedded_index(bank: DataFrame, path: str, fn=None) -> bool:
+    """Write the retrieval index of a bank once, by role, each row with the vector of its document text."""
+    return bank_files.load_index(retrieve.embed(banks.index_rows(bank), "document", fn), path)
+
+
+def retrieved_by_text(
+    requests: DataFrame,
+    index: DataFrame,
+    fn=None,
+    k: int = fixed.RETRIEVED,
+    request_id: str = "session_id",
+    max_group_rows: int | None = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Nearest questions of an index with vectors, for the query texts of requests. ``fn`` is the index's embedding.
+
+    Only the index's folders of roles that are asked for are read.
+    """
+    kind = F.coalesce("question_type", F.lit(fixed.DEFAULT_TYPE))
+    asked = requests.withColumn("_query", text.query_text(F.col("role"), F.col("resume"), kind))
+    asked = retrieve.embed(asked, "_query", fn).drop("_query")
+    wanted = index.join(requests.select("role").distinct(), "role", "left_semi")
+    return retrieved_questions(asked, wanted, k, request_id, max_group_rows)
+
+
 def question_prompts(
     requests: DataFrame,
     retrieved: DataFrame,
@@ -86,6 +111,40 @@ def evaluated_scores(responses: DataFrame, has_key: bool = True) -> DataFrame:
     return responses.select(*keep, F.explode(F.array_compact(F.array(score))).alias("score"))
 
 
+def evaluate_and_log(responses: DataFrame, table: str, has_key: Column | bool = True, order=None) -> DataFrame:
+    """Evaluate the responses ``session_id, question, raw`` (and ``timestamp``), append the scores to the history table,
+    and return the responses with ``outcome``, ``score`` and ``feedback``. Each response is parsed once.
+
+    ``order`` names the columns by which ids are given out.
+    """
+    has_key = F.lit(has_key) if isinstance(has_key, bool) else has_key
+    result = payload.evaluate(F.col("raw"), has_key).alias("_e")
+    evaluated = responses.select("*", result).select("*", "_e.*").drop("_e")
+    evaluated = evaluated.withColumn("feedback", payload.feedback(F.col("raw"), F.col("outcome"))).drop("raw")
+    evaluated = materialize(evaluated, "evaluated")
+    keep = [c for c in ("session_id", "question", "score", "timestamp") if c in evaluated.columns]
+    scored = evaluated.where(F.col("score").isNotNull()).select(*keep)
+    score_log.log_scores(scored, table, order or ("session_id", "question", "score"))
+    return evaluated
+
+
+def session_page(history: DataFrame, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
+    """Rows of the history page, one per question: session number, average, date, question number, question and score.
+
+    Sort by (session_no, question_no). Without any history there is one row, the ``message`` for that.
+    """
+    sessions = scores.session_summary(history).select("session_id", "avg_display")
+    stamps = scores.number_sessions(scores.session_list(history), max_group_rows)
+    heads = stamps.join(sessions, "session_id").select(
+        "session_id", "session_no", "avg_display", text.local_time(F.col("timestamp")).alias("date")
+    )
+    items = scores.history_items(history, max_group_rows).select("session_id", "question_no", "question", "score")
+    rows = lookup(items, heads, ["session_id"], "inner", max_group_rows)
+    rows = rows.withColumn("message", F.lit(None).cast("string"))
+    nothing = history.limit(1).agg(F.count(F.lit(1)).alias("_n")).where("_n = 0")
+    return rows.unionByName(nothing.select(F.lit(fixed.PAGE_NO_HISTORY).alias("message")), allowMissingColumns=True)
+
+
 def reports(
     requests: DataFrame, history: DataFrame, responses: DataFrame, max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from prepbank import fixed
 from prepbank.functions import jsons, payload, text
 from prepbank.plans import flows, views
 from prepbank.plans.registered.base import HISTORY, REQUESTS, RESPONSES, query, quoted, sql_strip, with_views
+from prepbank.plans.registered.scores import ORDER, logged, new_table
 
 
 def _sql_fenceless(x):
@@ -71,21 +72,46 @@ def eval_outcome(spark, folder):
     )
 
 
-@query(
-    "h27_evaluation",
-    with_views(RESPONSES, _FOUND, _SCORED)
-    + """SELECT id, score, coalesce(json_extract_string(whole, '$.summary'), '') AS summary,
-  coalesce(array_to_string(json_extract_string(whole, '$.strengths[*]'), '|'), '') AS strengths,
-  '' AS weaknesses, '' AS improved_answer FROM scored""",
-)
-def evaluation(spark, folder):
-    out = views.responses(spark, folder).select(
-        "id", jsons.let(payload.recover_json(F.col("raw")), payload.evaluation).alias("e")
-    )
-    return out.select(
-        "id", "e.score", "e.summary", F.array_join("e.strengths", "|").alias("strengths"),
-        F.array_join("e.weaknesses", "|").alias("weaknesses"), "e.improved_answer",
+_FIELDS = ("strengths", "weaknesses", "improvement_tips")
+_FULL = """full_responses AS (SELECT event_id AS id, CASE event_id % 3
+  WHEN 0 THEN 'So {"score": ' || value || ', "summary": "' || event_type || '", "strengths": ["a ' || event_type || '", "b"], '
+    || '"weaknesses": ["' || user_id || '"], "improvement_tips": ["do ' || event_type || '", "rest"], "improved_answer": "Say '
+    || event_type || '."} end'
+  WHEN 1 THEN '{"weaknesses": [], "improved_answer": "' || event_type || '"}' ELSE props END AS raw FROM events)"""
+
+
+def _full_responses(spark, folder):
+    """Events as evaluations with all fields, with two of them, or other objects."""
+    key, kind = F.col("event_id"), F.col("event_type")
+    full = F.concat(
+        F.lit('So {"score": '), F.col("value").cast("string"), F.lit(', "summary": "'), kind, F.lit('", "strengths": ["a '), kind,
+        F.lit('", "b"], "weaknesses": ["'), F.col("user_id").cast("string"), F.lit('"], "improvement_tips": ["do '), kind,
+        F.lit('", "rest"], "improved_answer": "Say '), kind, F.lit('."} end'),
     )
+    few = F.concat(F.lit('{"weaknesses": [], "improved_answer": "'), kind, F.lit('"}'))
+    raw = F.when(key % 3 == 0, full).when(key % 3 == 1, few).otherwise(F.col("props"))
+    return views.table(spark, folder, "events").select(key.alias("id"), raw.alias("raw"))
+
+
+def _typed(responses):
+    out = responses.select("id", jsons.let(payload.recover_json(F.col("raw")), payload.evaluation).alias("e"))
+    lists = [F.array_join(f"e.{name}", "|").alias(name) for name in _FIELDS]
+    return out.select("id", "e.score", "e.summary", *lists, "e.improved_answer")
+
+
+_TYPED = "SELECT id, score, coalesce(json_extract_string(whole, '$.summary'), '') AS summary, " + ", ".join(
+    f"coalesce(array_to_string(json_extract_string(whole, '$.{name}[*]'), '|'), '') AS {name}" for name in _FIELDS
+) + ", coalesce(json_extract_string(whole, '$.improved_answer'), '') AS improved_answer FROM scored"
+
+
+@query("h27_evaluation", with_views(RESPONSES, _FOUND, _SCORED) + _TYPED)
+def evaluation(spark, folder):
+    return _typed(views.responses(spark, folder))
+
+
+@query("h27_evaluation_full", with_views(_FULL, _FOUND.replace("FROM responses", "FROM full_responses"), _SCORED) + _TYPED)
+def evaluation_full(spark, folder):
+    return _typed(_full_responses(spark, folder))
 
 
 @query(
@@ -170,10 +196,9 @@ def _strategy_responses(spark, folder):
 def strategy_text(spark, folder):
     resume = F.when(F.col("session_id") % 7 == 0, " short ").otherwise(F.col("resume"))
     asked = views.requests(spark, folder).withColumn("resume", resume)
-    responses = _strategy_responses(spark, folder)
-    without = payload.strategy_text(F.col("resume"), F.lit(None).cast("string"), F.lit(False))
-    keyed = flows.strategies(asked, responses)
-    return keyed.join(asked.select("session_id", without.alias("without_key")), "session_id")
+    without = payload.strategy_text(F.lit(""), F.lit(None).cast("string"), F.lit(False))
+    keyed = flows.strategies(asked, _strategy_responses(spark, folder))
+    return keyed.withColumn("without_key", without)
 
 
 @query(
@@ -204,3 +229,56 @@ def framed_answers(spark, folder):
 )
 def evaluated_scores(spark, folder):
     return flows.evaluated_scores(views.responses(spark, folder))
+
+
+# ---- evaluate, log, show ----------------------------------------------------------------------------------
+
+_KEYED = """evaluated AS (
+  SELECT id, session_id, question, timestamp, body, id % 7 <> 0 AS keyed,
+    CASE WHEN id % 7 = 0 THEN 'mock' WHEN raw = '' THEN 'no_response' WHEN score IS NULL THEN 'parse_error'
+      ELSE 'parsed' END AS outcome,
+    CASE WHEN id % 7 = 0 THEN 7.0 WHEN raw <> '' THEN score END AS logged FROM scored)"""
+_LOGGED = """logged AS (
+  SELECT row_number() OVER (ORDER BY timestamp, session_id, question, logged) AS id, session_id, question, logged AS score,
+    timestamp FROM (SELECT CAST(session_id AS VARCHAR) AS session_id, question, logged, timestamp FROM evaluated
+    WHERE logged IS NOT NULL))"""
+
+
+def _evaluate(spark, folder):
+    """Every seventh response comes without credentials. The evaluated responses, and the table their scores are in."""
+    table = new_table(spark, "evaluate")
+    has_key = F.col("id") % 7 != 0
+    return flows.evaluate_and_log(views.responses(spark, folder), table, has_key, ORDER), table
+
+
+@query(
+    "h26_feedback",
+    with_views(RESPONSES, _FOUND, _SCORED, _KEYED)
+    + f"""SELECT id, outcome, logged AS score,
+  CASE outcome WHEN 'mock' THEN {quoted(fixed.MOCK_EVALUATION)} WHEN 'parsed' THEN body END AS feedback FROM evaluated""",
+)
+def evaluated_feedback(spark, folder):
+    return _evaluate(spark, folder)[0].select("id", "outcome", "score", "feedback")
+
+
+@query(
+    "flow_evaluate_and_log",
+    with_views(RESPONSES, _FOUND, _SCORED, _KEYED, _LOGGED) + "SELECT id, session_id, question, score, timestamp FROM logged",
+)
+def evaluate_and_log(spark, folder):
+    """The score table after the evaluated responses were logged."""
+    return logged(spark, _evaluate(spark, folder)[1])
+
+
+@query(
+    "flow_session_page",
+    with_views(RESPONSES, _FOUND, _SCORED, _KEYED, _LOGGED)
+    + """SELECT session_id, session_no, avg_display, strftime(newest, '%-m/%-d/%Y, %-I:%M:%S %p') AS date,
+  row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC, id DESC) AS question_no, question, score,
+  CAST(NULL AS VARCHAR) AS message
+FROM logged JOIN (SELECT session_id, max(timestamp) AS newest, printf('%.1f', avg(score)) AS avg_display,
+    row_number() OVER (ORDER BY max(timestamp) DESC, session_id) AS session_no FROM logged GROUP BY session_id) USING (session_id)""",
+)
+def session_page(spark, folder):
+    """Responses evaluated, logged, read back and laid out as the history page."""
+    return flows.session_page(spark.table(_evaluate(spark, folder)[1]))

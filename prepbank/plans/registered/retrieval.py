@@ -16,6 +16,8 @@ from prepbank.plans.registered.base import (
     sql_fill,
     with_views,
 )
+from prepbank.session import fresh_path
+from prepbank.sources import bank_files
 
 _NEAR = """near AS (
   SELECT request, id, distance, row_number() OVER (PARTITION BY request ORDER BY distance, id)::INTEGER AS rank FROM (
@@ -74,10 +76,10 @@ def knn_repeated(spark, folder):
 
 @query(
     "c3_unmatched",
-    with_views(BANK, REQUESTS) + "SELECT session_id, role FROM requests WHERE role NOT IN (SELECT role FROM bank)",
+    with_views(BANK, REQUESTS) + f"SELECT session_id, role, {quoted(fixed.NO_QUESTIONS)} AS message FROM requests WHERE role NOT IN (SELECT role FROM bank)",
 )
 def unmatched(spark, folder):
-    return r.unmatched(views.requests(spark, folder), views.bank(spark, folder)).select("session_id", "role")
+    return r.unmatched(views.requests(spark, folder), views.bank(spark, folder)).select("session_id", "role", "message")
 
 
 @query(
@@ -194,10 +196,51 @@ def generated_or_static(spark, folder):
     return flows.generated_or_static(_retrieved(spark, folder), _generated(spark, folder))
 
 
-@query("flow_embedded_retrieval")
+DIMS = 32
+
+
+def _sql_places(x):
+    words = f"regexp_split_to_array(lower({x}), '[ \\t\\n\\v\\f\\r]+')"
+    return f"[('0x' || substr(md5(w), 1, 4))::BIGINT % {DIMS} FOR w IN {words} IF w <> '']"
+
+
+def _sql_vector(places):
+    return f"[len([p FOR p IN {places} IF p = d])::DOUBLE FOR d IN range({DIMS})]"
+
+
+@query(
+    "u1_embed_words",
+    f"""SELECT doc_id, array_to_string([v::BIGINT FOR v IN {_sql_vector("places")}], ' ') AS counts
+FROM (SELECT doc_id, {_sql_places("text")} AS places FROM documents)""",
+)
+def embed_words(spark, folder):
+    """Every entry of every vector."""
+    out = r.embed(views.table(spark, folder, "documents").select("doc_id", "text"), fn=r.hashed_words(DIMS))
+    return out.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), " ").alias("counts"))
+
+
+_DOCUMENT = sql_fill(fixed.DOCUMENT_TEXT, role="role", type="type", question="question")
+_ASKED = sql_fill(fixed.QUERY_TEXT, role="role", resume="resume", question_type="coalesce(question_type, 'Technical')")
+
+
+@query(
+    "flow_embedded_retrieval",
+    with_views(
+        BANK,
+        REQUESTS,
+        f"""indexed AS (SELECT id, role, {_sql_vector("places")} AS v FROM (
+  SELECT id, role, {_sql_places(_DOCUMENT)} AS places FROM bank))""",
+        f"""asked AS (SELECT session_id, role, {_sql_vector("places")} AS v FROM (
+  SELECT session_id, role, {_sql_places(_ASKED)} AS places FROM requests))""",
+        """near AS (SELECT session_id, id, distance, row_number() OVER (PARTITION BY session_id ORDER BY distance, id)::INTEGER AS rank
+  FROM (SELECT q.session_id, b.id, list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(q.v, b.v)]) AS distance
+    FROM asked q JOIN indexed b ON q.role = b.role))""",
+    )
+    + "SELECT session_id, id, distance, rank FROM near WHERE rank <= 20",
+)
 def embedded_retrieval(spark, folder):
-    """Request texts against bank texts by their hashed vectors; SQL has no such hash, so the check is in the tests."""
-    bank = r.embed(views.bank(spark, folder).withColumn("text", F.concat_ws(" ", "role", "type", "question")))
-    asked = views.requests(spark, folder).withColumn("text", F.concat_ws(" ", "role", "resume", "question_type"))
-    near = r.knn(r.embed(asked), bank, fixed.RETRIEVED)
-    return near.select("session_id", "id", F.round("distance", 4).alias("distance"), "rank")
+    """Bank to an index with vectors, written by role; query texts of all requests against what is read back."""
+    path, fn = fresh_path(spark, "index"), r.hashed_words(DIMS)
+    flows.load_embedded_index(views.bank(spark, folder), path, fn)
+    near = flows.retrieved_by_text(views.requests(spark, folder), bank_files.read_index(spark, path), fn)
+    return near.select("session_id", "id", "distance", "rank")

@@ -255,7 +255,7 @@ def session_uuid(spark, folder):
 ORDER = ["timestamp", "session_id", "question", "score"]
 
 
-def _new_table(spark, label):
+def new_table(spark, label):
     """A fresh table in a database of the shared folder."""
     path = fresh_path(spark, label)
     name = f"prepbank_{path.rsplit('-', 1)[1]}"
@@ -264,7 +264,7 @@ def _new_table(spark, label):
     return f"{name}.history"
 
 
-def _logged(spark, table):
+def logged(spark, table):
     out = spark.table(table)
     return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
@@ -276,7 +276,7 @@ def _logged(spark, table):
 GROUP BY session_id""",
 )
 def init_history(spark, folder):
-    table = _new_table(spark, "init")
+    table = new_table(spark, "init")
     score_log.log_scores(views.history(spark, folder), table, ORDER)
     score_log.init_history(spark, table)
     return spark.table(table).groupBy("session_id").agg(F.count("id").alias("rows"), F.min("score").alias("lowest"))
@@ -289,10 +289,10 @@ def init_history(spark, folder):
   CAST(session_id AS VARCHAR) AS session_id, question, score, timestamp FROM history""",
 )
 def log_scores(spark, folder):
-    table, rows = _new_table(spark, "log"), views.history(spark, folder)
+    table, rows = new_table(spark, "log"), views.history(spark, folder)
     score_log.log_scores(rows.where(F.col("question") < "p"), table, ORDER)
     score_log.log_scores(rows.where(F.col("question") >= "p"), table, ORDER)
-    return _logged(spark, table)
+    return logged(spark, table)
 
 
 @query(
@@ -302,8 +302,8 @@ def log_scores(spark, folder):
   CAST(session_id AS VARCHAR) AS session_id, question, score, timestamp FROM history""",
 )
 def clear_history(spark, folder):
-    table, rows = _new_table(spark, "clear"), views.history(spark, folder)
+    table, rows = new_table(spark, "clear"), views.history(spark, folder)
     score_log.log_scores(rows, table, ORDER)
     score_log.clear_history(spark, table)
     score_log.log_scores(rows, table, ORDER)
-    return _logged(spark, table)
+    return logged(spark, table)

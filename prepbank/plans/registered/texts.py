@@ -409,12 +409,15 @@ def score_text(spark, folder):
     return _feedback(spark, folder).select("doc_id", score.alias("score"))
 
 
+_CLEANED = sql_page_trim(
+    r"regexp_replace(regexp_replace(improved_answer, '(?i)\bEND\b\s*\z', ''), '(?s)```.*?```', '', 'g')"
+)
+
+
 @query(
     "h20_clean_improved",
     with_views(_FEEDBACK, _SECTIONS)
-    + "SELECT doc_id, "
-    + sql_page_trim(r"regexp_replace(regexp_replace(improved_answer, '(?i)\bEND\b\s*\z', ''), '(?s)```.*?```', '', 'g')")
-    + " AS cleaned FROM sections",
+    + f"SELECT doc_id, {_CLEANED} AS cleaned FROM sections",
 )
 def clean_improved(spark, folder):
     cleaned = text.clean_improved(text.section("IMPROVED_ANSWER", F.col("s")))
@@ -437,14 +440,17 @@ def plain_or_sections(spark, folder):
     + "SELECT doc_id, "
     + _sql_escape(sql_page_trim("regexp_replace(score, '/10', '')"))
     + f""" AS score, {_sql_escape("summary")} AS summary,
+  {_sql_escape("array_to_string(" + _BULLETS.format(x="strengths") + ", '|')")} AS strengths,
   {_sql_escape("array_to_string(" + _BULLETS.format(x="weaknesses") + ", '|')")} AS weaknesses,
+  {_sql_escape("nullif(" + _CLEANED + ", '')")} AS improved_answer,
   {_sql_escape("array_to_string(" + _BULLETS.format(x="improvement_tips") + ", '|')")} AS improvement_tips,
   score IS NULL AND summary IS NULL AND strengths IS NULL AS is_plain FROM sections""",
 )
 def feedback_sections(spark, folder):
     out = _feedback(spark, folder).select("doc_id", text.feedback_sections(F.col("s")).alias("f"))
     return out.select(
-        "doc_id", "f.score", "f.summary", F.array_join("f.weaknesses", "|").alias("weaknesses"),
+        "doc_id", "f.score", "f.summary", "f.improved_answer", F.array_join("f.strengths", "|").alias("strengths"),
+        F.array_join("f.weaknesses", "|").alias("weaknesses"),
         F.array_join("f.improvement_tips", "|").alias("improvement_tips"), F.col("f.plain").isNotNull().alias("is_plain"),
     )
 

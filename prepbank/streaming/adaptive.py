@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from prepbank import fixed
@@ -56,7 +55,7 @@ def _kept(rows: DataFrame, path: str, no: int, n: int, compact_every: int) -> Da
     if no == 0 or n == 1:
         return rows.limit(0)
     whole = (no - 1) // compact_every * compact_every
-    read = rows.sparkSession.read.schema(T.StructType([*rows.schema, T.StructField("_of", T.LongType())]))
+    read = rows.sparkSession.read.schema(rows.schema)
     # an entry repeats what its session keeps of older ones
     entries = [read.parquet(f"{path}/kept/{i}").withColumn("_of", F.lit(i).cast("bigint")) for i in range(whole, no)]
     found = entries[0]

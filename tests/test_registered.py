@@ -34,7 +34,7 @@ def plain(rows):
 def test_sql_names_are_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(base.QUERIES) <= set(entry.queries()) and set(base.SQL) <= set(entry.oracle_sql())
-    assert set(base.QUERIES) - set(base.SQL) == {"flow_embedded_retrieval"}
+    assert set(base.QUERIES) == set(base.SQL)
 
 
 def test_entry(spark, data):

@@ -162,7 +162,8 @@ def strategies(requests: DataFrame, responses: DataFrame, max_group_rows: int |
 
 
 def framed_answers(answers: DataFrame, responses: DataFrame, max_group_rows: int | None = MAX_GROUP_ROWS) -> DataFrame:
-    """Framed answers from ``session_id, key_points`` and responses; the point lines where there is no response."""
+    """Answers ``session_id, key_points`` (and more) framed by their responses; the point lines where there is no response."""
     joined = lookup(answers, responses.select("session_id", "raw"), ["session_id"], "left", max_group_rows)
     points = text.md_bullets(text.key_points(F.col("key_points")))
-    return joined.select("session_id", text.framed_answer(F.col("raw"), points).alias("framed_answer"))
+    keep = [c for c in answers.columns if c != "key_points"]
+    return joined.select(*keep, text.framed_answer(F.col("raw"), points).alias("framed_answer"))

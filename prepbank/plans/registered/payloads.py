@@ -7,6 +7,7 @@ from prepbank.functions import jsons, payload, text
 from prepbank.plans import flows, views
 from prepbank.plans.registered.base import HISTORY, REQUESTS, RESPONSES, query, quoted, sql_strip, with_views
 from prepbank.plans.registered.scores import ORDER, logged, new_table
+from prepbank.plans.registered.texts import POINTS
 
 
 def _sql_fenceless(x):
@@ -203,17 +204,18 @@ def strategy_text(spark, folder):
 
 @query(
     "flow_framed_answers",
-    f"""SELECT conv_id AS session_id, CASE WHEN raw <> '' THEN {sql_strip("regexp_replace(ltrim_raw, '(?s)\\n```.*', '')")}
+    f"""SELECT conv_id AS session_id, turn, CASE WHEN raw <> '' THEN {sql_strip("regexp_replace(ltrim_raw, '(?s)\\n```.*', '')")}
   ELSE points END AS framed_answer
-FROM (SELECT conv_id, raw, {sql_strip("CASE WHEN starts_with(lower(raw), 'answer:') THEN substr(raw, 8) ELSE raw END")} AS ltrim_raw, points
-  FROM (SELECT conv_id, string_agg('- ' || role, chr(10) ORDER BY turn) AS points FROM conversations GROUP BY conv_id)
+FROM (SELECT conv_id, turn, raw, {sql_strip("CASE WHEN starts_with(lower(raw), 'answer:') THEN substr(raw, 8) ELSE raw END")} AS ltrim_raw, points
+  FROM (SELECT conv_id, turn, {POINTS} AS points FROM conversations)
   LEFT JOIN (SELECT doc_id AS conv_id, CASE doc_id % 3 WHEN 0 THEN 'ANSWER:  ' || text || chr(10) || '``` x'
     WHEN 1 THEN text ELSE '' END AS raw FROM documents) USING (conv_id))""",
 )
 def framed_answers(spark, folder):
-    turns = views.table(spark, folder, "conversations")
-    points = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
-    answers = turns.groupBy(F.col("conv_id").alias("session_id")).agg(points.alias("key_points"))
+    """Every turn of a conversation as an answer, its sentences as the key points."""
+    answers = views.table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("session_id"), "turn", F.split("text", r"\.").alias("key_points")
+    )
     key = F.col("doc_id")
     raw = F.when(key % 3 == 0, F.concat(F.lit("ANSWER:  "), "text", F.lit("\n``` x"))).when(key % 3 == 1, F.col("text"))
     responses = views.table(spark, folder, "documents").select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prepbank import fixed
 from prepbank.functions import prompts, text
 from prepbank.operators import bank as banks
+from prepbank.operators.ordering import lookup
 from prepbank.plans import views
 from prepbank.plans.registered.base import (
     BANK,
@@ -474,14 +475,14 @@ def strategy_prompt(spark, folder):
     return views.requests(spark, folder).select("session_id", prompts.strategy(**columns).alias("prompt"))
 
 
-_POINTS = (
+POINTS = (
     "array_to_string(['- ' || p FOR p IN [" + sql_page_trim("x") + " FOR x IN string_split(text, '.')] IF p <> ''], chr(10))"
 )
 
 
 @query(
     "h31_key_points",
-    f"SELECT conv_id, turn, {_POINTS} AS points FROM conversations",
+    f"SELECT conv_id, turn, {POINTS} AS points FROM conversations",
 )
 def key_points(spark, folder):
     points = text.md_bullets(text.key_points(F.split("text", r"\.")))
@@ -491,7 +492,7 @@ def key_points(spark, folder):
 @query(
     "p3_frame_prompt",
     f"""SELECT conv_id, turn, {sql_fill(fixed.FRAME_PROMPT, experience="'Mid'", role="role", question="role",
-  points=_POINTS)} AS prompt FROM conversations""",
+  points=POINTS)} AS prompt FROM conversations""",
 )
 def frame_prompt(spark, folder):
     prompt = prompts.frame(F.col("role"), F.split("text", r"\."), F.lit("Mid"), F.col("role"))
@@ -508,4 +509,4 @@ def evaluation_prompt(spark, folder):
     asked = views.bank(spark, folder).select(F.col("id").alias("conv_id"), "question", "model_answer")
     answers = views.table(spark, folder, "conversations").select("conv_id", "turn", F.col("text").alias("user_answer"))
     prompt = prompts.evaluation(F.col("question"), F.col("model_answer"), F.col("user_answer"))
-    return answers.join(asked, "conv_id").select("conv_id", "turn", prompt.alias("prompt"))
+    return lookup(answers, asked, ["conv_id"], "inner").select("conv_id", "turn", prompt.alias("prompt"))

@@ -39,9 +39,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/prepbank/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """New path inside the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/prepbank/{label}-{uuid.uuid4().hex}"
+    """New path inside the application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove all intermediate tables that this application has written, and the databases that lie among them.
+
+    Results that were not written elsewhere cannot be read any more after it.
+    """
+    own = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    for row in spark.sql("SHOW DATABASES LIKE 'prepbank_*'").collect():
+        described = spark.sql(f"DESCRIBE DATABASE {row[0]}").collect()
+        if own.toUri().getPath() + "/" in {r[0]: r[1] for r in described}["Location"]:
+            spark.sql(f"DROP DATABASE {row[0]} CASCADE")
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

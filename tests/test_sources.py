@@ -5,7 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from prepbank import session
 from prepbank.operators import bank as b
+from prepbank.plans.registered.scores import new_table
 from prepbank.session import fresh_path, shared_dir
 from prepbank.sources import bank_files, score_log
 
@@ -144,3 +146,13 @@ def test_shared_dir_comes_from_the_session(spark, folder):
 def test_payload(spark):
     rows = spark.createDataFrame([(1, "q \"x\"", None)], "id int, question string, source string")
     assert bank_files.to_payload(rows, "id").first()["payload"] == '{"question":"q \\"x\\""}'
+
+
+def test_clean_up_removes_what_was_written(spark, folder, monkeypatch):
+    monkeypatch.setattr(session, "_own_dir", lambda spark: f"{folder}/own")
+    kept = session.materialize(spark.range(3), "rows")
+    table = new_table(spark, "scores")
+    assert kept.count() == 3 and spark.catalog.tableExists(table)
+    session.clean_up(spark)
+    assert not os.path.exists(f"{folder}/own") and not spark.catalog.databaseExists(table.split(".")[0])
+    session.clean_up(spark)

@@ -36,6 +36,7 @@ class HotKeys:
         self.sized = F.broadcast(sized) if few else sized
         self.frame = F.broadcast(sized.select(*keys)) if few else sized.select(*keys)
         self.rows = rows
+        self.few = few
 
 
 def find_hot_keys(
@@ -95,7 +96,7 @@ def number_rows(
             return _number_by_window(df, keys, order, name, head)
         cold, rest = split_hot(df, keys, hot)
         return _number_by_window(cold, keys, order, name, head).unionByName(
-            _number_by_ranges(rest, keys, order, name, head, hot.rows, max_group_rows)
+            _number_by_ranges(rest, keys, order, name, head, hot.rows, max_group_rows, hot.few)
         )
     rows = df.count() if max_group_rows is not None else 0
     if max_group_rows is None or rows <= max_group_rows:
@@ -109,7 +110,7 @@ def _number_by_window(df, keys, order, name, head):
     return df.select("*", F.row_number().over(w).cast("bigint").alias(name), *firsts)
 
 
-def _number_by_ranges(df, keys, order, name, head, rows, max_group_rows):
+def _number_by_ranges(df, keys, order, name, head, rows, max_group_rows, few=True):
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // max_group_rows))
     ranked = (
@@ -118,23 +119,23 @@ def _number_by_ranges(df, keys, order, name, head, rows, max_group_rows):
         .withColumn("_at", F.monotonically_increasing_id())
     )
     ranked = materialize(ranked, "runs").withColumn("_run", F.shiftright("_at", 33))
-    # One row per run of a key: at most (partitions + hot keys) rows, so it is safe to broadcast.
+    # One row per run of a key: at most (partitions + hot keys) rows, safe to broadcast where hot keys are few.
     runs = ranked.groupBy(*keys, "_run").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
     ahead = W.partitionBy(*keys).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
     runs = runs.select(*keys, "_run", "_from", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    joined = join_small(ranked, runs, [*keys, "_run"])
+    joined = join_small(ranked, runs, [*keys, "_run"], few)
     numbered = joined.withColumn(name, F.col("_ahead") + F.col("_at") - F.col("_from") + 1)
     if head:
         first = numbered.where(F.col(name) == 1).select(*keys, *[c.alias(n) for n, c in head.items()])
-        numbered = join_small(numbered, first, keys)
+        numbered = join_small(numbered, first, keys, few)
     return numbered.select(*df.columns, name, *head)
 
 
-def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Null-safe inner join with a small side of unique keys, keeping one copy of the keys."""
+def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], few: bool = True) -> DataFrame:
+    """Null-safe inner join with a side of unique keys, keeping one copy of the keys; broadcast where its rows are few."""
     renamed = small.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in small.columns if c not in keys])
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
-    return df.join(F.broadcast(renamed), same).drop(*[f"_k_{k}" for k in keys])
+    return df.join(F.broadcast(renamed) if few else renamed, same).drop(*[f"_k_{k}" for k in keys])
 
 
 def first_rows(
@@ -172,7 +173,7 @@ def rolling(
     cold, rest = split_hot(df, keys, hot)
     span = max(max_group_rows, width)
     at = F.col("_no") - 1
-    numbered = _number_by_ranges(rest, list(keys), order, "_no", {}, hot.rows, max_group_rows)
+    numbered = _number_by_ranges(rest, list(keys), order, "_no", {}, hot.rows, max_group_rows, hot.few)
     numbered = numbered.withColumn("_chunk", F.floor(at / span)).withColumn("_lead", F.lit(False))
     # The last rows of a chunk are repeated ahead of the next one, where they only fill its first frames.
     lead = numbered.where(at % span >= span - (width - 1))
@@ -199,7 +200,7 @@ def attach(
         return by_window(df)
     cold, rest = split_hot(df, keys, hot)
     totals = rest.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return by_window(cold).unionByName(join_small(rest, totals, list(keys)))
+    return by_window(cold).unionByName(join_small(rest, totals, list(keys), hot.few))
 
 
 def lookup(
@@ -259,7 +260,7 @@ def cut(
             F.sum("_n").over(W.partitionBy(*keys)).alias("_all"),
         )
         # A run of a key is what one range partition holds of it; at most (partitions + hot keys) runs.
-        inner = join_small(_places(ranged, [*keys, "_run"], order), runs, [*keys, "_run"])
+        inner = join_small(_places(ranged, [*keys, "_run"], order), runs, [*keys, "_run"], hot.few)
         inner = inner.withColumns(
             {"_no": F.col("_no") + F.col("_n_ahead"), "_ahead": F.col("_ahead") + F.col("_bytes_ahead"), "_rows": F.col("_all")}
         )

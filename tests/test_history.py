@@ -189,3 +189,20 @@ def test_hot_keys_are_found_largest_first(spark):
     hot = ordering.find_hot_keys(rows, ["k"], 20)
     assert [r["k"] for r in hot.frame.collect()] == [0] and hot.rows == 67
     assert ordering.find_hot_keys(rows, ["k"], 67) is None
+
+
+def test_more_hot_keys_than_a_list_takes(history, log, monkeypatch):
+    """Hot keys as a table of their own, with nothing broadcast: the same rows."""
+    monkeypatch.setattr(ordering, "HOT_KEY_LIMIT", 1)
+    monkeypatch.setattr(ordering, "BROADCAST_BYTES", 1)
+    test_number_questions(history, log, 7)
+    test_adaptive_trace(history, log, 7, 3)
+    test_history_nested(history, log, 100, 60)
+    test_history_as_rows_has_one_shape_at_any_size(history, log, 7)
+
+
+def test_lookup_of_hot_keys_past_the_broadcast_bound(spark, history, log, monkeypatch):
+    for limit in (1, 10_000):
+        monkeypatch.setattr(ordering, "HOT_KEY_LIMIT", limit)
+        monkeypatch.setattr(ordering, "BROADCAST_BYTES", 1)
+        test_tiers_of_requests_with_a_hot_session(spark, history, log, 7)

@@ -192,12 +192,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, max_list:
     """The fingerprints, and rows (fp, root, best): the component of each, by its smallest fingerprint, and its smallest id."""
     signed = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
     classes = materialize(signed.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    found = components(links(classes.select("fp"), max_list)).select(F.col("node").alias("fp"), "component")
+    return signed, heads_of(classes, links(classes.select("fp"), max_list))
+
+
+def heads_of(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (fp, root, best) of the classes (fp, first): their component over the edges, and its smallest id."""
+    found = components(edges).select(F.col("node").alias("fp"), "component")
     rooted = classes.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), "first")
     best = rooted.where(F.col("root") != F.col("fp")).select("root").distinct().join(rooted, "root")
     best = best.groupBy("root").agg(F.min("first").alias("best"))
-    heads = rooted.join(best, "root", "left").select("fp", "root", F.coalesce("best", "first").alias("best"))
-    return signed, heads
+    return rooted.join(best, "root", "left").select("fp", "root", F.coalesce("best", "first").alias("best"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -206,7 +210,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without an id give way to any that has one. Among rows of one id and component one text stays, and of rows
     equal in id and text one row; rows of one id in different components are different documents.
     """
-    signed, heads = _classes(docs, id_col, text_col, words)
+    return keep_heads(docs, *_classes(docs, id_col, text_col, words), id_col, text_col)
+
+
+def keep_heads(docs: DataFrame, signed: DataFrame, heads: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents that stay, given each one's class (id, text_hash, fp) and the classes' components (fp, root, best)."""
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))
     chosen = signed.join(heads, "fp").groupBy("root").agg(F.min(order).alias("first"))
     keep = chosen.select(F.col("first.id").alias("__id"), F.col("first.text_hash").alias("__hash"))

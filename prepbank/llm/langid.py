@@ -25,9 +25,11 @@ FAMILIES = {
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
-# Bounds of the fit: labelled documents of a language, and languages, the most frequent first.
+# Bounds of the fit: labelled documents of a language, and of a family's side in a duel of families.
 SAMPLE = 1000
-MAX_LANGS = 64
+SIDE = 2 * SAMPLE
+# Up to so many unlisted languages are a family each; of more, similar ones share families.
+OWN_FAMILIES = 16
 # Hashed features of letter pairs and letter triples.
 PAIRS = 512
 TRIPLES = 2048
@@ -89,10 +91,10 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = COST, steps: int = ST
 class Model:
     """Machines (first, second) -> weights, a positive margin speaking for the first; families and their languages."""
 
-    def __init__(self, machines: dict[tuple[str, str], np.ndarray], langs: list[str]):
+    def __init__(self, machines: dict[tuple[str, str], np.ndarray], family_of: dict[str, str]):
         self.families: dict[str, list[str]] = {}
-        for lang in sorted(langs):
-            self.families.setdefault(family(lang), []).append(lang)
+        for lang in sorted(family_of):
+            self.families.setdefault(family_of[lang], []).append(lang)
         self.machines = machines
 
     def _choose(self, names: list[str], x: np.ndarray) -> tuple[str, float]:
@@ -126,49 +128,94 @@ def family(lang: str) -> str:
     return FAMILY_OF.get(root, f"language {lang}")
 
 
+def listed(lang: str) -> bool:
+    return not family(lang).startswith("language ")
+
+
+def alike(means: dict[str, np.ndarray]) -> dict[str, str]:
+    """Families of about equal size, as many as the root of the number of languages: each language joins the nearest of
+    the first languages, which are chosen to lie far apart, that has room left."""
+    names = sorted(means)
+    x = np.array([means[name] for name in names])
+    n = int(np.ceil(np.sqrt(len(names))))
+    room = dict.fromkeys(range(n), 2 * -(-len(names) // n))
+    apart = ((x - x[0]) ** 2).sum(axis=1)
+    firsts = [0]
+    while len(firsts) < n:
+        firsts.append(int(apart.argmax()))
+        apart = np.minimum(apart, ((x - x[firsts[-1]]) ** 2).sum(axis=1))
+    far = np.stack([((x - x[i]) ** 2).sum(axis=1) for i in firsts], axis=1)
+    found = {}
+    for i in np.argsort(far.min(axis=1), kind="stable"):
+        at = next(int(j) for j in np.argsort(far[i], kind="stable") if room[int(j)])
+        room[at] -= 1
+        found[names[i]] = f"languages like {names[firsts[at]]}"
+    return found
+
+
+def _families(chosen: DataFrame, langs: list[str]) -> dict[str, str]:
+    """The family of each language."""
+    own = [x for x in langs if not listed(x)]
+    found = {x: family(x) for x in langs}
+    if len(own) <= OWN_FAMILIES:
+        return found
+
+    def mean(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(features(t) for t in group["text"])
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]], "mean": [total / len(group)]})
+
+    few = chosen.where(F.col("lang").isin(own)).select("lang", "text")
+    return found | alike({r["lang"]: np.array(r["mean"]) for r in few.groupBy("lang").applyInPandas(mean, "lang string, mean array<double>").collect()})
+
+
 def fit(
-    docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "text", key: Column | None = None,
-    sample: int = SAMPLE, max_langs: int = MAX_LANGS,
+    docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "text", key: Column | None = None, sample: int = SAMPLE
 ) -> Model:
     """Machines for each pair of families and for each pair of languages of one family.
 
-    Learned from at most ``sample`` documents of each of the ``max_langs`` most frequent languages among the rows where ``learn`` holds
-    (and text and language are there): those with the smallest hash of ``key``. Each machine is fitted in a task of its own
-    over that bounded sample.
+    Every language is learned, from at most ``sample`` documents of it among the rows where ``learn`` holds (and text and
+    language are there): those with the smallest hash of ``key``. In a duel of families each side has at most ``SIDE``
+    documents, or one of each language, evenly from its languages. Each machine is fitted in a task of its own over that
+    bounded sample. To the driver come a row for each language and the machines; as unlisted languages share families
+    beyond ``OWN_FAMILIES``, the machines grow with the 1.5th power of the number of languages.
     """
     rows = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.rlike(text_col, F.lit(r"\p{L}")))
     hashed = F.pmod(F.xxhash64(F.col(text_col) if key is None else key, F.lit("sample")), F.lit(1 << 40))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), hashed.alias("at"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
-    langs = [r["lang"] for r in sizes]
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    langs = sorted(r["lang"] for r in sizes.collect())
     if not langs:
-        return Model({}, [])
+        return Model({}, {})
     # A hash limit leaves little more than the sample before the rows of a language meet.
-    limits = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int((1 << 40) * min(1.0, 1.5 * sample / r["n"])))])
-    near = rows.where(F.col("at") < limits[F.col("lang")])
+    limit = F.floor(F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(1.5 * sample) / F.col("n")))
+    near = rows.join(F.broadcast(sizes.select("lang", limit.alias("limit"))), "lang").where(F.col("at") < F.col("limit"))
     ranked = near.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("at", "text")))
-    chosen = materialize(ranked.where(F.col("nth") <= sample).select("lang", "text"), "labelled")
+    chosen = materialize(ranked.where(F.col("nth") <= sample).select("lang", "text", "nth"), "labelled")
 
-    names = sorted(langs)
+    family_of = _families(chosen, langs)
+    members: dict[str, list[str]] = {}
+    for lang in langs:
+        members.setdefault(family_of[lang], []).append(lang)
     duels = []
-    for a, b in combinations(sorted({family(x) for x in names}), 2):
-        duels += [(a, b, x, side) for x in names for side, f in ((1, a), (-1, b)) if family(x) == f]
-    for a, b in combinations(names, 2):
-        if family(a) == family(b):
-            duels += [(a, b, a, 1), (a, b, b, -1)]
+    for a, b in combinations(sorted(members), 2):
+        for side, f in ((1, a), (-1, b)):
+            duels += [(a, b, x, side, max(1, SIDE // len(members[f]))) for x in members[f]]
+    for group in members.values():
+        for a, b in combinations(group, 2):
+            duels += [(a, b, a, 1, sample), (a, b, b, -1, sample)]
     if not duels:
-        return Model({}, langs)
-    table = docs.sparkSession.createDataFrame(duels, "first string, second string, lang string, side int")
+        return Model({}, family_of)
+    table = docs.sparkSession.createDataFrame(duels, "first string, second string, lang string, side int, most int")
 
     def learn_one(group: pd.DataFrame) -> pd.DataFrame:
         x = np.array([features(t) for t in group["text"]])
         w = linear_svm(x, group["side"].to_numpy().astype(float))
         return pd.DataFrame({"first": [group["first"].iloc[0]], "second": [group["second"].iloc[0]], "w": [w]})
 
-    fitted = chosen.join(F.broadcast(table), "lang").groupBy("first", "second").applyInPandas(
+    fitted = chosen.join(F.broadcast(table), "lang").where("nth <= most").drop("nth", "most").groupBy("first", "second").applyInPandas(
         learn_one, "first string, second string, w array<double>"
     )
-    return Model({(r["first"], r["second"]): np.array(r["w"]) for r in fitted.collect()}, langs)
+    return Model({(r["first"], r["second"]): np.array(r["w"]) for r in fitted.collect()}, family_of)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

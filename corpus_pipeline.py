@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepbank.llm import langid, lines, mixing, packing, shingles
+from prepbank.llm import langid, lines, mixing, packing, simhash
 from prepbank.llm.common import table
 from prepbank.llm.registered import tokenizer_path
 from prepbank.session import materialize
@@ -20,8 +20,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a similarity of 0.8 or more in 5-word shingles the smallest id stays."""
-    return shingles.drop_similar(docs)
+    """Of each component of SimHash fingerprints (3-word shingles, at most 3 differing bits) the smallest id stays."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepbank.llm import ctw, langid, lines, mixing, packing, quality, shard, simhash, topk, warc
+from prepbank.llm import ctw, langid, lines, mixing, packing, quality, shard, simhash, topk, warc, whitening
 from prepbank.llm.common import table
 
 QUERIES = {}
@@ -153,3 +153,9 @@ def language_id(spark, folder) -> DataFrame:
     """Language of all documents, learned from three folds of four."""
     found = langid.identify(table(spark, folder, "documents"), fold(4) != 2)
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_whiten_embeddings")
+def whiten_embeddings(spark, folder) -> DataFrame:
+    """Whitened coordinates of all embeddings on their four strongest components."""
+    return whitening.whiten(table(spark, folder, "embeddings"))

@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepbank.llm import ctw, langid, lines, mixing, packing, quality, shard, simhash, topk, warc, whitening
+from prepbank.llm import ctw, langid, lines, mixing, packing, quality, shard, simhash, topk, trie, warc, whitening
 from prepbank.llm.common import table
+from prepbank.session import materialize
 
 QUERIES = {}
 SQL = {}
@@ -159,3 +160,44 @@ def language_id(spark, folder) -> DataFrame:
 def whiten_embeddings(spark, folder) -> DataFrame:
     """Whitened coordinates of all embeddings on their four strongest components."""
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+# Conversations start with turns of the one at their five's beginning: as many as the crc32 of their id, modulo nine.
+FIVE, GRAFTS = 5, 9
+
+SQL_TRIE = f"""WITH RECURSIVE bits(i, k, v) AS (
+    SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) t(i) UNION ALL
+    SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+  codes AS (SELECT i, v FROM bits WHERE k = 8),
+  turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS no,
+      struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS e FROM conversations WHERE conv_id IS NOT NULL),
+  sizes AS (SELECT c, max(no) AS size FROM turns GROUP BY c),
+  crc(c, s, no, v) AS (SELECT c, CAST(c AS VARCHAR), 1, CAST(4294967295 AS BIGINT) FROM sizes UNION ALL
+    SELECT c, s, no + 1, xor(crc.v >> 8, codes.v) FROM crc JOIN codes ON codes.i = xor(crc.v & 255, ascii(substr(s, no, 1)))
+    WHERE no <= length(s)),
+  plans AS (SELECT crc.c, xor(v, 4294967295) % {GRAFTS} AS h, crc.c - crc.c % {FIVE} AS base, coalesce(b.size, 0) AS base_size
+    FROM crc LEFT JOIN sizes b ON b.c = crc.c - crc.c % {FIVE} WHERE no = length(s) + 1),
+  rebuilt AS (SELECT p.c, least(h, base_size) + no - h AS d, e FROM plans p JOIN turns t ON t.c = p.c AND no > h
+    UNION ALL SELECT p.c, no, e FROM plans p JOIN turns t ON t.c = p.base AND no <= h
+    UNION ALL SELECT c, 0, struct_pack(r := '', t := '') FROM plans),
+  paths AS (SELECT c, d, e, list(e) OVER (PARTITION BY c ORDER BY d) AS p, max(d) OVER (PARTITION BY c) AS size FROM rebuilt),
+  nodes AS (SELECT min(c) AS owner, d, p, count(*) AS n, any_value(octet_length(encode(e.t))) AS bytes, max(size) = d AS leaf,
+      sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (WHERE size = d), '')) AS ends FROM paths GROUP BY d, p),
+  spots AS (SELECT x.c, x.d, n.owner FROM paths x JOIN nodes n ON n.d = x.d AND n.p = x.p),
+  totals AS (SELECT spots.owner, spots.d, sum(CAST(leaf AS BIGINT)) AS n_leaves, sum((n - 1) * CASE WHEN u.d = 0 THEN 0 ELSE bytes END) AS saved
+    FROM nodes u JOIN spots ON spots.c = u.owner AND spots.d <= u.d GROUP BY spots.owner, spots.d),
+  edges AS (SELECT u.owner, u.d, spots.owner AS parent FROM nodes u JOIN spots ON spots.c = u.owner AND spots.d = u.d - 1),
+  children AS (SELECT parent, d - 1 AS d, count(*) AS k FROM edges GROUP BY parent, d)
+SELECT u.owner AS conv_id, CAST(u.d AS BIGINT) AS depth, e.parent AS parent_conv_id, CAST(n AS BIGINT) AS n_convs,
+  CAST(coalesce(k, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM nodes u JOIN totals t ON t.owner = u.owner AND t.d = u.d LEFT JOIN edges e ON e.owner = u.owner AND e.d = u.d
+  LEFT JOIN children c ON c.parent = u.owner AND c.d = u.d"""
+
+
+@query("op13_conversation_trie", SQL_TRIE)
+def conversation_trie(spark, folder) -> DataFrame:
+    """All nodes of the prefix trie of all rebuilt conversations."""
+    turns = materialize(trie.ordered_turns(table(spark, folder, "conversations")), "turns")
+    conv = F.col("conv")
+    taken = F.crc32(conv.cast("string").cast("binary")) % GRAFTS
+    return trie.trie_report(*trie.graft(turns, conv - conv % FIVE, taken, GRAFTS - 1))

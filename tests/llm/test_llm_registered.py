@@ -11,7 +11,7 @@ from prepbank.llm import registered
 @pytest.mark.parametrize("name", sorted(registered.SQL))
 def test_query_gives_the_rows_of_its_sql(spark, data, name):
     db = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     out = registered.QUERIES[name](spark, data)
     found = db.execute(registered.SQL[name])

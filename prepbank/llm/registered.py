@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepbank.llm import ctw, langid, lines, mixing, packing, quality, shard, simhash, topk, trie, warc, whitening
+from prepbank.llm import ctw, jaccard, langid, lines, mixing, packing, quality, shard, simhash, topk, trie, warc, whitening
 from prepbank.llm.common import table
 from prepbank.session import materialize
 
@@ -201,3 +201,25 @@ def conversation_trie(spark, folder) -> DataFrame:
     conv = F.col("conv")
     taken = F.crc32(conv.cast("string").cast("binary")) % GRAFTS
     return trie.trie_report(*trie.graft(turns, conv - conv % FIVE, taken, GRAFTS - 1))
+
+
+SQL_JACCARD = f"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  sets AS (SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {jaccard.WORDS} THEN [array_to_string(w, ' ')]
+      ELSE [array_to_string(w[i : i + {jaccard.WORDS - 1}], ' ') FOR i IN range(1, len(w) - {jaccard.WORDS - 2})] END)) AS s FROM docs),
+  classes AS (SELECT s, min(rid) AS cid, min(doc_id) AS first, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+  grams AS (SELECT cid, n, unnest(s) AS g FROM classes),
+  pairs AS (SELECT a.cid AS a, b.cid AS b, a.n + b.n AS total, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.cid < b.cid
+    AND 100 * least(a.n, b.n) >= {jaccard.PERCENT} * greatest(a.n, b.n) GROUP BY a.cid, b.cid, a.n, b.n),
+  links AS (SELECT a, b FROM pairs WHERE 100 * shared >= {jaccard.PERCENT} * (total - shared)),
+  both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+  reach(a, b) AS (SELECT cid, cid FROM classes UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+  heads AS (SELECT r.a AS cid, min(c.first) AS best FROM reach r JOIN classes c ON c.cid = r.b GROUP BY r.a)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, CASE WHEN len(sets.s) > 0 THEN best ELSE sets.doc_id END AS component_id
+FROM sets LEFT JOIN classes c ON c.s = sets.s LEFT JOIN heads h ON h.cid = c.cid"""
+
+
+@query("op12_ngram_jaccard", SQL_JACCARD)
+def ngram_jaccard(spark, folder) -> DataFrame:
+    """All documents with the component of their 4-word shingles at a similarity of 0.85 or more."""
+    return jaccard.jaccard_components(table(spark, folder, "documents"))

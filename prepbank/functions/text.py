@@ -166,10 +166,64 @@ def strip_tail(c: Column) -> Column:
     return _before(c, r"\n(?:```|def [a-z]|class [A-Z]|(?i:Note:|\*\*Note))")
 
 
+_LABEL_OR_HEADER = "(?i)(?=" + "|".join(fixed.SECTION_LABELS) + r"|\n[A-Z_]+:)"
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _with_pieces(c: Column, use) -> Column:
+    """``use(pieces)`` of a text that one scan has cut ahead of every label and header line: the pieces (p), their first letters in
+    capitals (heads), and the places from 0 of those that are no white space (full) and that start with a header line (headers)."""
+    size = max(map(len, fixed.SECTION_LABELS))
+    white = F.lit(fixed.PAGE_WHITESPACE)
+
+    def places(pieces, test):
+        return F.array_compact(F.transform(pieces, lambda p, i: F.when(test(p), i)))
+
+    def cut(pieces):
+        heads = F.transform(pieces, lambda p: F.translate(F.left(p, F.lit(size)), _LOWER, _UPPER))
+        full, headers = places(pieces, lambda p: F.ltrim(p, white) != ""), places(pieces, lambda p: p.startswith("\n"))
+        return let(F.struct(pieces.alias("p"), heads.alias("heads"), full.alias("full"), headers.alias("headers")), use)
+
+    return let(F.split(c, _LABEL_OR_HEADER), cut)
+
+
+def _next(places: Column, after: Column) -> Column:
+    return F.array_min(F.filter(places, lambda x: x > after))
+
+
+def _section(label: str, cut: Column) -> Column:
+    """The pieces from the first one with the label up to the first header line with text ahead of it, without the label.
+
+    Each step is bound by ``let``: inside a function over an array an expression would be worked out for every element.
+    """
+    white = F.lit(fixed.PAGE_WHITESPACE)
+    place = F.array_position(F.transform(cut["heads"], lambda h: F.left(h, F.lit(len(label)))), label).cast("int")
+
+    def after_label(at):
+        first = F.substr(F.get(cut["p"], at - 1), F.lit(len(label) + 1))
+        return F.when(first.startswith(":"), F.substr(first, F.lit(2))).otherwise(first)
+
+    def whole(at, first, end):
+        return strip_tail(page_trim(F.concat(first, F.array_join(F.slice(cut["p"], at + 1, end - at), ""))))
+
+    def found(at, first):
+        # A header line that only white space parts from the label counts as its text.
+        begins = F.when(F.ltrim(first, white) != "", at - 1).otherwise(_next(cut["full"], at - 1))
+        ends = let(begins, lambda begin: F.coalesce(_next(cut["headers"], begin), F.size(cut["p"])))
+        return let(let(ends, lambda end: whole(at, first, end)), lambda text: F.nullif(text, F.lit("")))
+
+    return let(place, lambda at: F.when(at > 0, let(after_label(at), lambda first: found(at, first))))
+
+
 def section(label: str, c: Column) -> Column:
-    """Text after ``LABEL:`` up to the next line that starts with ``WORD:`` or the end; null when missing or empty."""
-    rest = F.ltrim(F.regexp_extract(c, f"(?is){label}:?(.*)", 1), F.lit(fixed.PAGE_WHITESPACE))
-    return F.nullif(strip_tail(page_trim(_before(rest, r"(?i)\n[A-Z_]+:"))), F.lit(""))
+    """Text after ``LABEL:`` up to the next line that starts with ``WORD:`` or the end; null when missing or empty. ``label`` is one of
+    the section labels."""
+    return _with_pieces(c, lambda cut: _section(label, cut))
+
+
+def sections(c: Column) -> Column:
+    """All sections as a struct by label, from one scan of the text."""
+    return _with_pieces(c, lambda cut: F.struct(*[_section(x, cut).alias(x) for x in fixed.SECTION_LABELS]))
 
 
 def bullets(c: Column) -> Column:
@@ -204,7 +258,7 @@ def _plain(c: Column) -> Column:
 
 def plain_or_sections(c: Column) -> Column:
     """Escaped text with line breaks when score, summary and strengths are all missing, else null."""
-    found = F.coalesce(*[section(label, c) for label in ("SCORE", "SUMMARY", "STRENGTHS")])
+    found = _with_pieces(c, lambda cut: F.coalesce(*[_section(x, cut) for x in ("SCORE", "SUMMARY", "STRENGTHS")]))
     return F.when(found.isNull(), _plain(c))
 
 
@@ -222,7 +276,7 @@ def feedback_sections(c: Column) -> Column:
             F.when(F.coalesce(s["SCORE"], s["SUMMARY"], s["STRENGTHS"]).isNull(), _plain(c)).alias("plain"),
         )
 
-    return let(F.struct(*[section(label, c).alias(label) for label in fixed.SECTION_LABELS]), shown)
+    return let(sections(c), shown)
 
 
 # ---- lists and display ------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prepbank import fixed
 from prepbank.functions import prompts
+from prepbank.functions.exact import average, exact_avg, exact_sum, sum_parts
 from prepbank.functions.template import fill
 from prepbank.functions.text import difficulty_tier, one_decimal, score_repr
 from prepbank.operators.ordering import (
@@ -61,7 +62,7 @@ def recent_scores(history: DataFrame, n: int = fixed.RECENT_SCORES) -> DataFrame
 def recent_avg(history: DataFrame, n: int = fixed.RECENT_SCORES) -> DataFrame:
     """Average of the latest n scores of every session that has any."""
     picked = recent_scores(history.select("session_id", "timestamp", "id", "score"), n)
-    return picked.groupBy("session_id").agg(F.avg("score").alias("recent_avg"))
+    return picked.groupBy("session_id").agg(exact_avg(F.col("score")).alias("recent_avg"))
 
 
 def with_recent_avg(
@@ -84,9 +85,9 @@ def adaptive_trace(
     history: DataFrame, n: int = fixed.RECENT_SCORES, max_group_rows: int | None = MAX_GROUP_ROWS
 ) -> DataFrame:
     """The last-n average and tier as they stood after every answer."""
-    traced = rolling(
-        history, ["session_id"], oldest_first(), n, {"recent_avg": F.avg("score")}, max_group_rows
-    )
+    parts = sum_parts(F.col("score"))
+    traced = rolling(history, ["session_id"], oldest_first(), n, parts, max_group_rows)
+    traced = traced.withColumn("recent_avg", average(*map(F.col, parts))).drop(*parts)
     return traced.withColumn("tier", difficulty_tier(F.col("recent_avg")))
 
 
@@ -94,13 +95,13 @@ def adaptive_trace(
 
 
 def session_avg(history: DataFrame) -> DataFrame:
-    return history.groupBy("session_id").agg(F.avg("score").alias("avg_score"))
+    return history.groupBy("session_id").agg(exact_avg(F.col("score")).alias("avg_score"))
 
 
 def session_summary(history: DataFrame) -> DataFrame:
     """Total, count, average and its one-decimal display for every session."""
     out = history.groupBy("session_id").agg(
-        F.coalesce(F.sum("score"), F.lit(0.0)).alias("total_score"), F.count("score").alias("questions")
+        exact_sum(F.col("score")).alias("total_score"), F.count("score").alias("questions")
     )
     avg = F.when(F.col("questions") > 0, F.col("total_score") / F.col("questions")).otherwise(0.0)
     out = out.withColumn("avg_score", avg)

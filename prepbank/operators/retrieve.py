@@ -1,50 +1,29 @@
 """Nearest questions: text to vectors, exact filtered top-k, seeded shuffle and pick.
 
-The top-k join works on blocks. Bank vectors and request vectors are packed, per role and cell, into rows of
-at most BLOCK_ROWS vectors; a task meets one request block and one bank block at a time and passes on only the
-k best per request, so pairs are never rows.
-
-A bank of proven small size is broadcast as blocks: requests then stay where they are until their top-k is merged.
-The vectors of a large bank are divided into cells around pivot vectors. A request first scans its nearest cells
-that hold k rows; the distance found bounds the search, and only cells that the triangle inequality cannot rule out
-are scanned after that. Blocks and requests meet by an equi join on (role, cell), dealt over slots where a cell is
-hot on either side. The result is exact either way.
+The top-k join works on blocks of vectors (``blocks``). A bank of proven small size is broadcast. A large one is searched through a tree
+of cells (``tree``), built for the call or stored beforehand. The result is exact either way.
 """
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from prepbank import fixed
 from prepbank.functions.jsons import let
 from prepbank.functions.text import md_bullets
+from prepbank.operators import tree
+from prepbank.operators.blocks import best_rows, pack, scan
 from prepbank.operators.ordering import MAX_GROUP_ROWS, find_hot_keys, first_rows, lookup, number_rows, split_hot
-from prepbank.session import materialize
+from prepbank.session import fresh_path, materialize
 
 EMBEDDING_DIMS = 384
-BLOCK_ROWS = 512
-# Banks above this size are divided into cells of about this many vectors.
-CELL_ROWS = 50_000
-MAX_CELLS = 1024
-# Vectors looked at for every pivot that is taken.
-SAMPLED = 8
-# Vectors of a cell that one task takes from either side of the scan.
-SLOT_ROWS = 64 * BLOCK_ROWS
-# Values of candidate vectors taken at once; where ties make more, requests are settled SLICE at a time.
-DIRECT_VALUES = 8 << 20
-SLICE = 32
 # A vector with more copies than this in a role counts as much copied.
 COPIES = 128
 # Largest bank that is broadcast, in bytes of its vectors.
 BROADCAST_BYTES = 128 << 20
-_SAFE = 1e-9
 
 
 def embed(
@@ -97,177 +76,19 @@ def unmatched(requests: DataFrame, bank: DataFrame, max_group_rows: int | None =
     return without.withColumn("message", F.lit(fixed.NO_QUESTIONS))
 
 
-# ---- blocks ------------------------------------------------------------------------------------
+# ---- nearest rows --------------------------------------------------------------------------------
 
 
-def _matrix(column) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
-
-
-def _pack(df: DataFrame, key: str, gather: bool = True) -> DataFrame:
-    """Rows ``role, cell, <key>, v, d`` packed into blocks of one role and cell.
-
-    ``gather`` brings rows of a role and cell together first; without it each task packs the rows it has.
-    """
-    schema = T.StructType(
-        [
-            df.schema["role"],
-            T.StructField("cell", T.IntegerType()),
-            T.StructField("block", T.StringType()),
-            T.StructField("n", T.IntegerType()),
-            T.StructField(f"{key}s", T.ArrayType(df.schema[key].dataType)),
-            T.StructField("vs", T.BinaryType()),
-            T.StructField("lo", T.DoubleType()),
-            T.StructField("hi", T.DoubleType()),
-        ]
-    )
-
-    rows = BLOCK_ROWS
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = []
-            for (role, cell), group in batch.groupby(["role", "cell"], sort=False):
-                for at in range(0, len(group), rows):
-                    part = group.iloc[at : at + rows]
-                    made.append(
-                        {
-                            "role": role,
-                            "cell": cell,
-                            "block": uuid.uuid4().hex,
-                            "n": len(part),
-                            f"{key}s": part[key].tolist(),
-                            "vs": _matrix(part["v"]).tobytes(),
-                            "lo": part["d"].min(),
-                            "hi": part["d"].max(),
-                        }
-                    )
-            if made:
-                yield pd.DataFrame(made, columns=schema.fieldNames())
-
-    # rebalance lets Spark split the partition of a hot role or cell at run time
-    placed = df.hint("rebalance", "role", "cell").sortWithinPartitions("role", "cell") if gather else df
-    return placed.mapInPandas(blocks, schema)
-
-
-def _scan(wanted: DataFrame, blocks: DataFrame, rid: str, bid: str, k: int, small: bool = False) -> DataFrame:
-    """Rows that may be among the k nearest of a request, out of the blocks of the cells it wants.
-
-    ``small`` blocks are broadcast, and requests are packed in place.
-    """
-    schema = T.StructType(
-        [
-            T.StructField(rid, wanted.schema[rid].dataType),
-            T.StructField(bid, blocks.schema[f"{bid}s"].dataType.elementType),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asking, best = None, None
-        for batch in batches:
-            found = []
-            for row in batch.itertuples(index=False):
-                q = np.frombuffer(row.q_vs).reshape(len(row.q_ids), -1)
-                x = np.frombuffer(row.b_vs).reshape(len(row.b_ids), -1)
-                if asking != row.q_block:
-                    # a request block meets its bank blocks one after the other: carry its k best so far along
-                    asking, best = row.q_block, np.full((len(q), k), np.inf)
-                qi, xi, dist = _candidates(q, x, row.b_ids, best, k)
-                found.append(pd.DataFrame({rid: row.q_ids[qi], bid: row.b_ids[xi], "distance": dist}))
-            if found:
-                yield pd.concat(found, ignore_index=True)
-
-    packed = _pack(wanted, rid, gather=not small)
-    left = packed.select("role", "cell", F.col("block").alias("q_block"), F.col(f"{rid}s").alias("q_ids"), F.col("vs").alias("q_vs"))
-    right = blocks.select("role", "cell", F.col(f"{bid}s").alias("b_ids"), F.col("vs").alias("b_vs"))
-    if small:
-        met = left.join(F.broadcast(right), ["role", "cell"])
-    else:
-        many_q = find_hot_keys(wanted, ["role", "cell"], SLOT_ROWS)
-        many_b = find_hot_keys(blocks, ["role", "cell"], SLOT_ROWS, F.col("n"))
-        left = _deal(left, "q_ids", many_q, "q_slot", many_b, "b_slot")
-        right = _deal(right, "b_ids", many_b, "b_slot", many_q, "q_slot")
-        met = left.join(right, ["role", "cell", "q_slot", "b_slot"])
-    return met.select("q_block", "q_ids", "q_vs", "b_ids", "b_vs").mapInPandas(nearest, schema)
-
-
-def _deal(df, ids, own, own_slot, other, other_slot):
-    """Deal the blocks of a hot cell over slots, and repeat them for every slot of the other side.
-
-    Each pair of blocks still meets once, but no task holds more than a slot of either side.
-    """
-
-    def slots(df, hot, name):
-        if hot is None:
-            return df.withColumn(name, F.lit(1))
-        some = hot.sized.select("role", "cell", F.ceil(F.col("_rows") / SLOT_ROWS).cast("int").alias(name))
-        return df.join(some, ["role", "cell"], "left").withColumn(name, F.coalesce(name, F.lit(1)))
-
-    df = slots(slots(df, own, "_own"), other, "_other")
-    df = df.withColumn(own_slot, F.pmod(F.xxhash64(ids), F.col("_own")).cast("int"))
-    return df.withColumn(other_slot, F.explode(F.sequence(F.lit(0), F.col("_other") - 1))).drop("_own", "_other")
-
-
-def _candidates(q, x, ids, best, k):
-    """Request and bank positions, and distances, of the rows of a block that may be among the k nearest.
-
-    ``best`` holds the k best rough distances of each request so far and is updated. A matrix product finds
-    candidates; the distances of these are then taken directly.
-    """
-    rough = (q * q).sum(1)[:, None] - 2.0 * (q @ x.T) + (x * x).sum(1)[None, :]
-    slack = _SAFE * (1.0 + (q * q).sum(1) + (x * x).sum(1).max())
-    hit = np.flatnonzero(rough.min(1) <= best.max(1) + slack)
-    merged = np.concatenate([best[hit], rough[hit]], axis=1)
-    best[hit] = np.partition(merged, k - 1, axis=1)[:, :k]
-    reach = best[hit].max(1) + 2 * slack[hit]
-    id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-    kept = []
-    near = rough[hit] <= reach[:, None]
-    step = SLICE if near.sum() * q.shape[1] > DIRECT_VALUES else max(1, len(hit))
-    for at in range(0, len(hit), step):
-        some = hit[at : at + step]
-        qi, xi = np.nonzero(near[at : at + step])
-        qi = some[qi]
-        dist = ((q[qi] - x[xi]) ** 2).sum(1)
-        order = np.lexsort((id_rank[xi], dist, qi))
-        qi, xi, dist = qi[order], xi[order], dist[order]
-        first = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
-        kept.append((qi[first], xi[first], dist[first]))
-    if not kept:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return tuple(np.concatenate(part) for part in zip(*kept, strict=True))
-
-
-def _best(found: DataFrame, rid: str, bid: str, k: int) -> DataFrame:
-    return first_rows(found, [rid], [F.asc("distance"), F.asc(bid)], k, "rank")
-
-
-# ---- cells --------------------------------------------------------------------------------------
-
-
-def _pivots(rows: DataFrame, total: int, cells: int) -> np.ndarray:
-    """Up to ``cells`` bank vectors that lie far apart, out of a sample of distinct ones picked by hash.
-
-    They steer the search and do not touch its result.
-    """
-    h = F.xxhash64("v")
-    size = SAMPLED * cells
-    some = rows.select("v", h.alias("h")).where(F.pmod(h, F.lit(max(1, total // (2 * size)))) == 0)
-    picked = some.groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(size).collect()
-    sample = np.array([r["v"] for r in picked], dtype=np.float64)
-    if not len(sample):
-        return sample
-    chosen, gap = [0], ((sample - sample[0]) ** 2).sum(1)
-    while len(chosen) < cells and gap.max() > 0:
-        chosen.append(int(gap.argmax()))
-        gap = np.minimum(gap, ((sample - sample[chosen[-1]]) ** 2).sum(1))
-    return sample[chosen]
-
-
-def _distances(q: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    square = (q * q).sum(1)[:, None] - 2.0 * (q @ pivots.T) + (pivots * pivots).sum(1)[None, :]
-    return np.sqrt(np.maximum(square, 0.0))
+def bank_vectors(df: DataFrame, id_col: str, out: str, vector: str = "embedding", metric: str = "l2") -> DataFrame:
+    """Rows ``role, <out>, v`` that have a role and a vector; of unit length for the cosine."""
+    if metric not in ("l2", "cosine"):
+        raise ValueError(f"unknown metric {metric}")
+    v = F.col(vector).cast("array<double>")
+    if metric == "cosine":
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        v = F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    picked = df.where(F.col("role").isNotNull() & F.col(vector).isNotNull())
+    return picked.select("role", F.col(id_col).alias(out), v.alias("v"))
 
 
 def _dims(rows: DataFrame) -> int:
@@ -275,20 +96,6 @@ def _dims(rows: DataFrame) -> int:
     return some[0] if some else 0
 
 
-def _with_cell(rows: DataFrame, pivots: np.ndarray | None) -> DataFrame:
-    """Add the nearest pivot as ``cell`` and its distance as ``d``."""
-    if pivots is None:
-        return rows.withColumn("cell", F.lit(0)).withColumn("d", F.lit(0.0))
-
-    @F.pandas_udf("cell int, d double")
-    def nearest(v: pd.Series) -> pd.DataFrame:
-        d = _distances(_matrix(v), pivots)
-        at = d.argmin(1)
-        return pd.DataFrame({"cell": at.astype("int32"), "d": d[np.arange(len(at)), at]})
-
-    return rows.withColumn("_c", nearest("v")).select("*", "_c.cell", "_c.d").drop("_c")
-
-
 def _keep_copies(rows: DataFrame, bid: str, k: int) -> DataFrame:
     """Of equal vectors in a role only the k first ids can reach any top-k; of much copied ones drop the others.
 
@@ -311,108 +118,60 @@ def knn(
     bank_id: str = "id",
     vector: str = "embedding",
     metric: str = "l2",
-    cell_rows: int = CELL_ROWS,
+    cell_rows: int = tree.CELL_ROWS,
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    fanout: int = tree.FANOUT,
 ) -> DataFrame:
     """The k nearest bank rows of the same role for every request, nearest first, ties by id.
 
-    ``distance`` is the squared Euclidean one, or 1 - cosine. ``k`` is clamped by the size of the whole bank.
+    ``distance`` is the squared Euclidean one, or 1 - cosine. ``k`` is clamped by the size of the whole bank. A bank of more than
+    ``cell_rows`` rows is put into a search tree for this one call; ``load_vectors`` stores one for many.
     """
-    if metric not in ("l2", "cosine"):
-        raise ValueError(f"unknown metric {metric}")
     total = bank.count()
     k = min(k, max(1, total))
     bid = f"b_{bank_id}" if bank_id == request_id else bank_id
-
-    def vectors(df, name, out):
-        v = F.col(vector).cast("array<double>")
-        if metric == "cosine":
-            norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-            v = F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
-        picked = df.where(F.col("role").isNotNull() & F.col(vector).isNotNull())
-        return picked.select("role", F.col(name).alias(out), v.alias("v"))
-
     # Either side is read more than once below; its vectors may come from a caller's function.
-    asked = materialize(vectors(requests, request_id, request_id), "asked")
-    rows = materialize(vectors(bank, bank_id, bid), "rows")
-    cells = min(MAX_CELLS, -(-total // cell_rows))
-    if cells > 1:
-        rows = _keep_copies(rows, bid, k)
-    pivots = _pivots(rows, total, cells) if cells > 1 else None
-    if pivots is None or len(pivots) < 2:
-        blocks = _pack(_with_cell(rows, None), bid)
-        small = total * _dims(rows) * 8 <= BROADCAST_BYTES
-        best = _best(_scan(_with_cell(asked, None), blocks, request_id, bid, k, small), request_id, bid, k)
+    asked = materialize(bank_vectors(requests, request_id, request_id, vector, metric), "asked")
+    rows = materialize(bank_vectors(bank, bank_id, bid, vector, metric), "rows")
+    if total > cell_rows:
+        path = fresh_path(bank.sparkSession, "tree")
+        tree.build_tree(_keep_copies(rows, bid, k), path, bid, cell_rows, fanout)
+        best = tree.search_tree(asked, path, k, request_id, bid, max_group_rows)
     else:
-        blocks = materialize(_pack(_with_cell(rows, pivots), bid), "blocks")
-        best = _pruned(asked, blocks, pivots, request_id, bid, k, max_group_rows)
+        flat = [x.withColumns({"cell": F.lit(0), "d": F.lit(0.0)}) for x in (asked, rows)]
+        small = total * _dims(rows) * 8 <= BROADCAST_BYTES
+        best = best_rows(scan(flat[0], pack(flat[1], bid), request_id, bid, k, small), request_id, bid, k)
     return best.withColumn("distance", F.col("distance") / 2) if metric == "cosine" else best
 
 
-def _pruned(asked, blocks, pivots, rid, bid, k, max_group_rows):
-    """Scan the nearest cells of each request, then every cell that may still hold a nearer row."""
-    sizes = blocks.groupBy("role", "cell").agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    )
-    # lists of at most one entry per pivot
-    sizes = sizes.groupBy("role").agg(F.collect_list(F.struct("cell", "n", "lo", "hi")).alias("c"))
-    sizes = sizes.select("role", F.col("c.cell").alias("no"), "c.n", "c.lo", "c.hi")
-    asked = lookup(asked, sizes, ["role"], "inner", max_group_rows)
-
-    def ranked(role, v, no, n):
-        """Per role of a batch: its rows, cells, distances to them, nearness ranks, and how many cells hold k rows."""
-        q = _matrix(v)
-        for at in role.groupby(role, sort=False).indices.values():
-            cells = no.iloc[at[0]]
-            d = _distances(q[at], pivots[cells])
-            by = np.argsort(d, axis=1, kind="stable")
-            enough = (np.cumsum(np.asarray(n.iloc[at[0]])[by], axis=1) < k).sum(1) + 1
-            yield at, cells, d, np.argsort(by, axis=1, kind="stable"), enough[:, None]
-
-    def chosen(parts, rows):
-        out = np.empty(rows, dtype=object)
-        for at, cells, picked in parts:
-            for i, mask in zip(at, picked, strict=True):
-                out[i] = cells[mask].tolist()
-        return pd.Series(out)
-
-    @F.pandas_udf("array<int>")
-    def first_cells(role: pd.Series, v: pd.Series, no: pd.Series, n: pd.Series) -> pd.Series:
-        return chosen(((at, c, rank < enough) for at, c, _, rank, enough in ranked(role, v, no, n)), len(v))
-
-    @F.pandas_udf("array<int>")
-    def open_cells(
-        role: pd.Series, v: pd.Series, no: pd.Series, n: pd.Series, lo: pd.Series, hi: pd.Series, bound: pd.Series
-    ) -> pd.Series:
-        reach = np.sqrt(bound.fillna(np.inf).to_numpy(dtype=np.float64))
-        reach = reach + 1e-6 * (1.0 + reach)
-
-        def parts():
-            for at, cells, d, rank, enough in ranked(role, v, no, n):
-                low, high = np.asarray(lo.iloc[at[0]]), np.asarray(hi.iloc[at[0]])
-                least = np.maximum(0.0, np.maximum(d - high, low - d))
-                yield at, cells, (least <= reach[at][:, None]) & (rank >= enough)
-
-        return chosen(parts(), len(v))
-
-    def wanting(df, picked):
-        return df.select("role", rid, "v", F.explode(picked).alias("cell"), F.lit(0.0).alias("d"))
-
-    first = _best(_scan(wanting(asked, first_cells("role", "v", "no", "n")), blocks, rid, bid, k), rid, bid, k)
-    first = materialize(first.drop("rank"), "nearest")
-    bounds = first.groupBy(rid).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("bound"))
-    more = wanting(asked.join(bounds, rid, "left"), open_cells("role", "v", "no", "n", "lo", "hi", "bound"))
-    return _best(first.unionByName(_scan(more, blocks, rid, bid, k)), rid, bid, k)
+def load_vectors(
+    bank: DataFrame, path: str, bank_id: str = "id", vector: str = "embedding", metric: str = "l2", cell_rows: int = tree.CELL_ROWS,
+    fanout: int = tree.FANOUT,
+) -> None:
+    """Store the vectors of a bank in the form that ``nearest`` searches, for that ``metric``."""
+    rows = materialize(bank_vectors(bank, bank_id, bank_id, vector, metric), "rows")
+    tree.build_tree(rows, path, bank_id, cell_rows, fanout)
+
+
+def nearest(
+    requests: DataFrame, path: str, k: int = fixed.RETRIEVED, request_id: str = "session_id", bank_id: str = "id",
+    vector: str = "embedding", metric: str = "l2", max_group_rows: int | None = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """``knn`` against stored vectors: the bank is not read, only the parts of the tree that requests open."""
+    asked = materialize(bank_vectors(requests, request_id, request_id, vector, metric), "asked")
+    best = tree.search_tree(asked, path, k, request_id, bank_id, max_group_rows)
+    return best.withColumn("distance", F.col("distance") / 2) if metric == "cosine" else best
 
 
 def with_bank_rows(
-    nearest: DataFrame, bank: DataFrame, bank_id: str = "id", max_group_rows: int | None = MAX_GROUP_ROWS
+    nearest: DataFrame, bank: DataFrame, bank_id: str = "id", max_group_rows: int | None = MAX_GROUP_ROWS,
+    columns: Sequence[str] = ("question", "model_answer"),
 ) -> DataFrame:
     """Attach the bank's question and answer; a question that is near to very many requests is a hot key.
 
     ``nearest`` is read more than once: give it materialized where it is dear.
     """
-    rows = bank.select(bank_id, "question", "model_answer")
+    rows = bank.select(bank_id, *columns)
     return lookup(nearest, rows, [bank_id], "inner", max_group_rows)
 
 
@@ -443,10 +202,14 @@ def pick_one(df: DataFrame, key: str = "session_id", id_col: str = "id", seed: i
 
 
 def reference_block(
-    retrieved: DataFrame, n: int = fixed.REFERENCES, key: str = "session_id", id_col: str = "id", seed: int = 0
+    retrieved: DataFrame, n: int = fixed.REFERENCES, key: str = "session_id", id_col: str = "id", seed: int = 0,
+    bank: DataFrame | None = None, max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """First n questions of each key's shuffle as ``- question`` lines."""
-    few = first_places(retrieved, n, key, id_col, seed)
+    """First n questions of each key's shuffle as ``- question`` lines. With a ``bank``, ``retrieved`` needs no texts: only those of the rows
+    that are shown are fetched."""
+    few = first_places(retrieved if bank is None else retrieved.select(key, id_col), n, key, id_col, seed)
+    if bank is not None:
+        few = with_bank_rows(materialize(few, "places"), bank, id_col, max_group_rows, ["question"])
     listed = few.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "question"))).alias("_few"))
     lines = md_bullets(F.transform("_few", lambda x: x["question"]), "-")
     return listed.select(key, lines.alias("reference_questions"))

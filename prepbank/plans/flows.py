@@ -22,43 +22,62 @@ def bank_from_pages(
     return built if soft is None else banks.extend_bank(built, soft)
 
 
-def retrieved_questions(
+def nearest_questions(
     requests: DataFrame,
     index: DataFrame,
     k: int = fixed.RETRIEVED,
     request_id: str = "session_id",
     max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Nearest bank questions of every request, with question and answer text. Both sides carry ``embedding``.
+    """Ids, distances and ranks of the nearest bank questions of every request. Both sides carry ``embedding``.
 
     ``request_id`` names the unique id of a request: another column where a session asks more than once.
     """
-    nearest = materialize(retrieve.knn(requests, index, k, request_id, max_group_rows=max_group_rows), "nearest")
-    return retrieve.with_bank_rows(nearest, index, max_group_rows=max_group_rows)
+    return materialize(retrieve.knn(requests, index, k, request_id, max_group_rows=max_group_rows), "nearest")
 
 
-def load_embedded_index(bank: DataFrame, path: str, fn=None) -> bool:
-    """Write the retrieval index of a bank once, by role, each row with the vector of its document text."""
-    return bank_files.load_index(retrieve.embed(banks.index_rows(bank), "document", fn), path)
+def retrieved_questions(
+    requests: DataFrame,
+    index: DataFrame,
+    k: int = fixed.RETRIEVED,
+    request_id: str = "session_id",
+    max_group_rows: int | None = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """``nearest_questions`` with question and answer text."""
+    near = nearest_questions(requests, index, k, request_id, max_group_rows)
+    return retrieve.with_bank_rows(near, index, max_group_rows=max_group_rows)
 
 
-def retrieved_by_text(
+def _search_path(path: str) -> str:
+    return f"{path.rstrip('/')}.search"
+
+
+def load_embedded_index(bank: DataFrame, path: str, fn=None, **tree) -> bool:
+    """Write the retrieval index of a bank once, by role, each row with the vector of its document text, and beside it the search tree of
+    its vectors. ``tree`` goes to ``load_vectors``."""
+    if not bank_files.load_index(retrieve.embed(banks.index_rows(bank), "document", fn), path):
+        return False
+    retrieve.load_vectors(bank_files.read_index(bank.sparkSession, path), _search_path(path), **tree)
+    return True
+
+
+def nearest_by_text(
     requests: DataFrame,
-    index: DataFrame,
+    path: str,
     fn=None,
     k: int = fixed.RETRIEVED,
     request_id: str = "session_id",
     max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Nearest questions of an index with vectors, for the query texts of requests. ``fn`` is the index's embedding.
+    """Nearest questions of a loaded index for the query texts of requests. ``fn`` is the index's embedding.
 
-    Only the index's folders of roles that are asked for are read.
+    Only the parts of the search tree that requests open are read; texts come with ``retrieve.with_bank_rows``.
     """
     kind = F.coalesce("question_type", F.lit(fixed.DEFAULT_TYPE))
     asked = requests.withColumn("_query", text.query_text(F.col("role"), F.col("resume"), kind))
     asked = retrieve.embed(asked, "_query", fn).drop("_query")
-    wanted = index.join(requests.select("role").distinct(), "role", "left_semi")
-    return retrieved_questions(asked, wanted, k, request_id, max_group_rows)
+    near = retrieve.nearest(asked, _search_path(path), k, request_id, max_group_rows=max_group_rows)
+    return materialize(near, "nearest")
 
 
 def question_prompts(
@@ -68,10 +87,13 @@ def question_prompts(
     seed: int = 0,
     request_id: str = "session_id",
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    bank: DataFrame | None = None,
 ) -> DataFrame:
-    """Prompt for the next question of every request that has retrieved questions."""
+    """Prompt for the next question of every request that has retrieved questions. With a ``bank``, ``retrieved`` are ids alone, and the
+    texts of the few that are shown come from it."""
     asked = scores.with_recent_avg(requests, history, max_group_rows=max_group_rows)
-    asked = asked.join(retrieve.reference_block(retrieved, key=request_id, seed=seed), request_id)
+    block = retrieve.reference_block(retrieved, key=request_id, seed=seed, bank=bank, max_group_rows=max_group_rows)
+    asked = asked.join(block, request_id)
     columns = ["profile_name", "experience", "role", "question_type", "resume", "reference_questions", "recent_avg"]
     prompt = prompts.question(**{c: F.col(c) for c in columns})
     return asked.select(request_id, "recent_avg", prompt.alias("prompt"))
@@ -84,15 +106,22 @@ def generated_or_static(
     request_id: str = "session_id",
     generated_label: str = "generated",
     static_label: str = "static-rag",
+    bank: DataFrame | None = None,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """The generated question where the response ``<request_id>, raw`` holds both texts, else the first shuffled one."""
-    static = retrieve.pick_one(retrieved, request_id, seed=seed).select(request_id, "question", "model_answer")
+    """The generated question where the response ``<request_id>, raw`` holds both texts, else the first shuffled one. With a ``bank``,
+    ``retrieved`` are ids alone, and the texts of those that are shown come from it."""
     found = payload.generated_question(F.col("raw")).alias("_g")
     texts = generated.select(request_id, found).select(
         request_id, F.col("_g.question").alias("_q"), F.col("_g.model_answer").alias("_a")
     )
-    joined = static.join(texts, request_id, "left")
     usable = F.coalesce((F.col("_q") != "") & (F.col("_a") != ""), F.lit(False))
+    picked = retrieve.pick_one(retrieved if bank is None else retrieved.select(request_id, "id"), request_id, seed=seed)
+    joined = picked.join(texts, request_id, "left")
+    if bank is not None:
+        joined = materialize(joined.withColumn("_usable", usable), "picked")
+        static = retrieve.with_bank_rows(joined.where(~F.col("_usable")), bank, max_group_rows=max_group_rows)
+        joined = static.unionByName(joined.where("_usable"), allowMissingColumns=True)
     return joined.select(
         request_id,
         F.when(usable, F.col("_q")).otherwise(F.col("question")).alias("question"),
@@ -111,11 +140,13 @@ def evaluated_scores(responses: DataFrame, has_key: bool = True) -> DataFrame:
     return responses.select(*keep, F.explode(F.array_compact(F.array(score))).alias("score"))
 
 
-def evaluate_and_log(responses: DataFrame, table: str, has_key: Column | bool = True, order=None) -> DataFrame:
+def evaluate_and_log(
+    responses: DataFrame, table: str, has_key: Column | bool = True, order=None, batch: str | None = None
+) -> DataFrame:
     """Evaluate the responses ``session_id, question, raw`` (and ``timestamp``), append the scores to the history table,
     and return the responses with ``outcome``, ``score`` and ``feedback``. Each response is parsed once.
 
-    ``order`` names the columns by which ids are given out.
+    ``order`` names the columns by which ids are given out, ``batch`` the append, so that a job that is run again logs nothing twice.
     """
     has_key = F.lit(has_key) if isinstance(has_key, bool) else has_key
     result = payload.evaluate(F.col("raw"), has_key).alias("_e")
@@ -124,7 +155,7 @@ def evaluate_and_log(responses: DataFrame, table: str, has_key: Column | bool =
     evaluated = materialize(evaluated, "evaluated")
     keep = [c for c in ("session_id", "question", "score", "timestamp") if c in evaluated.columns]
     scored = evaluated.where(F.col("score").isNotNull()).select(*keep)
-    score_log.log_scores(scored, table, order or ("session_id", "question", "score"))
+    score_log.log_scores(scored, table, order or ("session_id", "question", "score"), batch=batch)
     return evaluated
 
 

@@ -47,6 +47,15 @@ def sql_draw(seed, part, key, size):
     return f"(('0x' || substr(md5('{seed}|{part}|' || {key}), 1, 8))::BIGINT % {size} + 1)"
 
 
+def sql_sum(x):
+    """Sum that no order of addition changes: as decimals, rounded once."""
+    return f"CAST(CAST(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(28, 18))) AS VARCHAR) AS DOUBLE)"
+
+
+def sql_avg(x, over=""):
+    return f"CAST(CAST(sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(28, 18))) {over} AS VARCHAR) AS DOUBLE) / count({x}) {over}"
+
+
 def sql_tier(x):
     return f"CASE WHEN {x} < 5.0 THEN 'easier' WHEN {x} >= 8.0 THEN 'harder' ELSE 'none' END"
 
@@ -69,8 +78,8 @@ REQUESTS = """requests AS (
          CASE c_custkey % 3 WHEN 1 THEN 'Technical' WHEN 2 THEN 'Behavioral' END AS question_type
   FROM customer)"""
 
-RECENT = """recent AS (
-  SELECT session_id, avg(score) AS recent_avg FROM (
+RECENT = f"""recent AS (
+  SELECT session_id, {sql_avg("score")} AS recent_avg FROM (
     SELECT session_id, score, row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC, id DESC) AS rn
     FROM history) WHERE rn <= 3 GROUP BY session_id)"""
 
@@ -87,17 +96,17 @@ RESPONSES = """responses AS (
   FROM events)"""
 
 RETRIEVED = """request_vectors AS (
-  SELECT r.*, e.embedding FROM requests r JOIN embeddings e
+  SELECT session_id, role, e.embedding FROM requests r JOIN embeddings e
     ON r.session_id % (SELECT count(*) FROM embeddings) = e.vec_id),
 document_vectors AS (
-  SELECT b.*, e.embedding FROM bank b JOIN embeddings e ON b.id % (SELECT count(*) FROM embeddings) = e.vec_id),
-retrieved AS (
-  SELECT session_id, id, question, model_answer, distance, rank FROM (
+  SELECT b.id, role, e.embedding FROM bank b JOIN embeddings e ON b.id % (SELECT count(*) FROM embeddings) = e.vec_id),
+near AS (
+  SELECT session_id, id, distance, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY distance, id) AS rank FROM (
-      SELECT q.session_id, b.id, b.question, b.model_answer,
-             list_sum([(p[1] - p[2]) * (p[1] - p[2])
+      SELECT q.session_id, b.id, list_sum([(p[1] - p[2]) * (p[1] - p[2])
                        FOR p IN list_zip(q.embedding::DOUBLE[], b.embedding::DOUBLE[])]) AS distance
       FROM request_vectors q JOIN document_vectors b ON q.role = b.role)) WHERE rank <= 20),
+retrieved AS (SELECT session_id, id, question, model_answer, distance, rank FROM near JOIN bank USING (id)),
 shuffled AS (
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY md5('0|' || session_id || '|' || id), id) AS place
   FROM retrieved)"""

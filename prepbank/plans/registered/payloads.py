@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from prepbank import fixed
 from prepbank.functions import jsons, payload, text
 from prepbank.plans import flows, views
-from prepbank.plans.registered.base import HISTORY, REQUESTS, RESPONSES, query, quoted, sql_strip, with_views
+from prepbank.plans.registered.base import HISTORY, REQUESTS, RESPONSES, query, quoted, sql_avg, sql_strip, with_views
 from prepbank.plans.registered.scores import ORDER, logged, new_table
 from prepbank.plans.registered.texts import POINTS
 
@@ -162,16 +162,13 @@ def report_text(spark, folder):
 @query(
     "flow_reports",
     with_views(HISTORY, REQUESTS, _REPORTS)
-    + f"""SELECT session_id, round(avg_score, 6) AS average_score,
+    + f"""SELECT session_id, avg_score AS average_score,
   CASE WHEN avg_score IS NULL THEN {quoted(fixed.REPORT_NO_HISTORY)} ELSE {_REPORT_TEXT} END AS report
 FROM requests JOIN report_responses USING (session_id)
-LEFT JOIN (SELECT session_id, avg(score) AS avg_score FROM history GROUP BY 1) USING (session_id)""",
+LEFT JOIN (SELECT session_id, {sql_avg("score")} AS avg_score FROM history GROUP BY 1) USING (session_id)""",
 )
 def reports(spark, folder):
-    out = flows.reports(
-        views.requests(spark, folder), views.history(spark, folder), _report_responses(spark, folder)
-    )
-    return out.withColumn("average_score", F.round("average_score", 6))
+    return flows.reports(views.requests(spark, folder), views.history(spark, folder), _report_responses(spark, folder))
 
 
 def _strategy_responses(spark, folder):
@@ -275,10 +272,10 @@ def evaluate_and_log(spark, folder):
 @query(
     "flow_session_page",
     with_views(RESPONSES, _FOUND, _SCORED, _KEYED, _LOGGED)
-    + """SELECT session_id, session_no, avg_display, strftime(newest, '%-m/%-d/%Y, %-I:%M:%S %p') AS date,
+    + f"""SELECT session_id, session_no, avg_display, strftime(newest, '%-m/%-d/%Y, %-I:%M:%S %p') AS date,
   row_number() OVER (PARTITION BY session_id ORDER BY timestamp DESC, id DESC) AS question_no, question, score,
   CAST(NULL AS VARCHAR) AS message
-FROM logged JOIN (SELECT session_id, max(timestamp) AS newest, printf('%.1f', avg(score)) AS avg_display,
+FROM logged JOIN (SELECT session_id, max(timestamp) AS newest, printf('%.1f', {sql_avg("score")}) AS avg_display,
     row_number() OVER (ORDER BY max(timestamp) DESC, session_id) AS session_no FROM logged GROUP BY session_id) USING (session_id)""",
 )
 def session_page(spark, folder):

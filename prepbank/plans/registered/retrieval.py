@@ -17,7 +17,6 @@ from prepbank.plans.registered.base import (
     with_views,
 )
 from prepbank.session import fresh_path
-from prepbank.sources import bank_files
 
 _NEAR = """near AS (
   SELECT request, id, distance, row_number() OVER (PARTITION BY request ORDER BY distance, id)::INTEGER AS rank FROM (
@@ -134,6 +133,10 @@ def _retrieved(spark, folder):
     return flows.retrieved_questions(views.request_vectors(spark, folder), views.document_vectors(spark, folder))
 
 
+def _nearest(spark, folder):
+    return flows.nearest_questions(views.request_vectors(spark, folder), views.document_vectors(spark, folder))
+
+
 @query(
     "flow_retrieved_questions",
     with_views(BANK, REQUESTS, RETRIEVED)
@@ -150,25 +153,23 @@ _REFERENCES = """listed AS (
 
 @query("d7_reference_block", with_views(BANK, REQUESTS, RETRIEVED, _REFERENCES) + "SELECT * FROM listed")
 def reference_block(spark, folder):
-    return r.reference_block(_retrieved(spark, folder))
+    return r.reference_block(_nearest(spark, folder), bank=views.bank(spark, folder))
 
 
 @query(
     "p2_question_prompt",
     with_views(HISTORY, BANK, REQUESTS, RECENT, RETRIEVED, _REFERENCES)
-    + f"""SELECT session_id, round(recent_avg, 6) AS recent_avg, {sql_fill(
+    + f"""SELECT session_id, recent_avg, {sql_fill(
         fixed.QUESTION_PROMPT, profile_name="profile_name", experience="experience", role="role",
         question_type="coalesce(question_type, 'Technical')", resume="resume", reference_questions="reference_questions",
         tier=f"CASE WHEN recent_avg < 5 THEN {quoted(fixed.TIER_EASIER)} "
              f"WHEN recent_avg >= 8 THEN {quoted(fixed.TIER_HARDER)} ELSE '' END")} AS prompt
-FROM (SELECT q.*, coalesce(a.recent_avg, 5.0) AS recent_avg, l.reference_questions FROM request_vectors q
+FROM (SELECT q.*, coalesce(a.recent_avg, 5.0) AS recent_avg, l.reference_questions FROM requests q
       JOIN listed l USING (session_id) LEFT JOIN recent a USING (session_id))""",
 )
 def question_prompt(spark, folder):
-    out = flows.question_prompts(
-        views.request_vectors(spark, folder), _retrieved(spark, folder), views.history(spark, folder)
-    )
-    return out.withColumn("recent_avg", F.round("recent_avg", 6))
+    near, bank = _nearest(spark, folder), views.bank(spark, folder)
+    return flows.question_prompts(views.requests(spark, folder), near, views.history(spark, folder), bank=bank)
 
 
 def _generated(spark, folder):
@@ -193,7 +194,7 @@ FROM (SELECT s.*, c.c_name, c.c_mktsegment, c.c_custkey % 4 = 0 AS good
       FROM shuffled s JOIN customer c ON s.session_id = c.c_custkey WHERE place = 1)""",
 )
 def generated_or_static(spark, folder):
-    return flows.generated_or_static(_retrieved(spark, folder), _generated(spark, folder))
+    return flows.generated_or_static(_nearest(spark, folder), _generated(spark, folder), bank=views.bank(spark, folder))
 
 
 DIMS = 32
@@ -239,8 +240,17 @@ _ASKED = sql_fill(fixed.QUERY_TEXT, role="role", resume="resume", question_type=
     + "SELECT session_id, id, distance, rank FROM near WHERE rank <= 20",
 )
 def embedded_retrieval(spark, folder):
-    """Bank to an index with vectors, written by role; query texts of all requests against what is read back."""
+    """Bank to an index with vectors and their search tree; query texts of all requests against what is stored."""
     path, fn = fresh_path(spark, "index"), r.hashed_words(DIMS)
     flows.load_embedded_index(views.bank(spark, folder), path, fn)
-    near = flows.retrieved_by_text(views.requests(spark, folder), bank_files.read_index(spark, path), fn)
-    return near.select("session_id", "id", "distance", "rank")
+    return flows.nearest_by_text(views.requests(spark, folder), path, fn).select("session_id", "id", "distance", "rank")
+
+
+@query("c1_knn_stored", "WITH " + _NEAR.format(distance=_SQUARED))
+def knn_stored(spark, folder):
+    """Vectors stored as a tree of several levels, then searched without the bank."""
+    bank, path = views.vector_bank(spark, folder), fresh_path(spark, "tree")
+    r.load_vectors(bank, path, cell_rows=32, fanout=8)
+    asked = bank.select(F.col("id").alias("request"), "role", "embedding")
+    near = r.nearest(asked, path, request_id="request")
+    return near.select("request", "id", F.round("distance", 6).alias("distance"), "rank")

@@ -6,7 +6,7 @@ from prepbank import fixed
 from prepbank.functions import text
 from prepbank.operators import history as h
 from prepbank.plans import views
-from prepbank.plans.registered.base import HISTORY, RECENT, REQUESTS, quoted, query, sql_fill, sql_tier, with_views
+from prepbank.plans.registered.base import HISTORY, RECENT, REQUESTS, quoted, query, sql_avg, sql_fill, sql_sum, sql_tier, with_views
 from prepbank.session import fresh_path
 from prepbank.sources import score_log
 
@@ -17,21 +17,21 @@ PART_BYTES = 16 << 20
 @query(
     "c2_difficulty_tiers",
     with_views(HISTORY, REQUESTS, RECENT)
-    + f"""SELECT r.session_id, r.role, round(coalesce(recent_avg, 5.0), 6) AS recent_avg,
+    + f"""SELECT r.session_id, r.role, coalesce(recent_avg, 5.0) AS recent_avg,
        {sql_tier("coalesce(recent_avg, 5.0)")} AS tier
 FROM requests r LEFT JOIN recent USING (session_id)""",
 )
 def difficulty_tiers(spark, folder):
     out = h.with_tier(views.requests(spark, folder), views.history(spark, folder))
-    return out.select("session_id", "role", F.round("recent_avg", 6).alias("recent_avg"), "tier")
+    return out.select("session_id", "role", "recent_avg", "tier")
 
 
 @query(
     "d1_recent_avg",
-    with_views(HISTORY, RECENT) + "SELECT session_id, round(recent_avg, 6) AS recent_avg FROM recent",
+    with_views(HISTORY, RECENT) + "SELECT session_id, recent_avg FROM recent",
 )
 def recent_avg(spark, folder):
-    return h.recent_avg(views.history(spark, folder)).select("session_id", F.round("recent_avg", 6).alias("recent_avg"))
+    return h.recent_avg(views.history(spark, folder))
 
 
 @query(
@@ -61,25 +61,21 @@ def tiers_of_scores(spark, folder):
 
 @query(
     "d2_session_avg",
-    with_views(HISTORY) + "SELECT session_id, round(avg(score), 6) AS avg_score FROM history GROUP BY session_id",
+    with_views(HISTORY) + f"SELECT session_id, {sql_avg('score')} AS avg_score FROM history GROUP BY session_id",
 )
 def session_avg(spark, folder):
-    return h.session_avg(views.history(spark, folder)).select("session_id", F.round("avg_score", 6).alias("avg_score"))
+    return h.session_avg(views.history(spark, folder))
 
 
 @query(
     "d3_session_summary",
     with_views(HISTORY)
-    + """SELECT session_id, round(sum(score), 6) AS total_score, count(score) AS questions,
-       round(avg(score), 6) AS avg_score, printf('%.1f', sum(score) / count(score)) AS avg_display
+    + f"""SELECT session_id, {sql_sum("score")} AS total_score, count(score) AS questions,
+       {sql_avg("score")} AS avg_score, printf('%.1f', {sql_avg("score")}) AS avg_display
 FROM history GROUP BY session_id""",
 )
 def session_summary(spark, folder):
-    out = h.session_summary(views.history(spark, folder))
-    return out.select(
-        "session_id", F.round("total_score", 6).alias("total_score"), "questions",
-        F.round("avg_score", 6).alias("avg_score"), "avg_display",
-    )
+    return h.session_summary(views.history(spark, folder))
 
 
 @query(
@@ -136,13 +132,13 @@ def history_lines(spark, folder):
 @query(
     "d9_report_or_empty",
     with_views(HISTORY, REQUESTS)
-    + f"""SELECT r.session_id, round(a.avg_score, 6) AS avg_score,
+    + f"""SELECT r.session_id, a.avg_score,
   CASE WHEN a.avg_score IS NULL THEN {quoted(fixed.REPORT_NO_HISTORY)} END AS report
-FROM requests r LEFT JOIN (SELECT session_id, avg(score) AS avg_score FROM history GROUP BY 1) a USING (session_id)""",
+FROM requests r LEFT JOIN (SELECT session_id, {sql_avg("score")} AS avg_score FROM history GROUP BY 1) a USING (session_id)""",
 )
 def report_or_empty(spark, folder):
     out = h.report_or_empty(views.requests(spark, folder), views.history(spark, folder))
-    return out.select("session_id", F.round("avg_score", 6).alias("avg_score"), "report")
+    return out.select("session_id", "avg_score", "report")
 
 
 @query(
@@ -167,16 +163,16 @@ def number_questions(spark, folder):
 
 ADAPTIVE_SQL = (
     with_views(HISTORY)
-    + f"""SELECT id, session_id, round(recent_avg, 6) AS recent_avg, {sql_tier("recent_avg")} AS tier FROM (
-  SELECT id, session_id, avg(score) OVER (PARTITION BY session_id ORDER BY timestamp, id
-                                          ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent_avg FROM history)"""
+    + f"""SELECT id, session_id, recent_avg, {sql_tier("recent_avg")} AS tier FROM (
+  SELECT id, session_id, {sql_avg("score", "OVER last")} AS recent_avg FROM history
+  WINDOW last AS (PARTITION BY session_id ORDER BY timestamp, id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
 )
 
 
 @query("e6_adaptive_trace", ADAPTIVE_SQL)
 def adaptive_trace(spark, folder):
     out = h.adaptive_trace(views.history(spark, folder))
-    return out.select("id", "session_id", F.round("recent_avg", 6).alias("recent_avg"), "tier")
+    return out.select("id", "session_id", "recent_avg", "tier")
 
 
 @query("f1_order_history", with_views(HISTORY) + "SELECT * FROM history ORDER BY timestamp DESC, id DESC")
@@ -200,20 +196,19 @@ def latest(spark, folder):
 @query(
     "p5_report_prompt",
     with_views(HISTORY, REQUESTS)
-    + f"""SELECT session_id, profile_name, role, count(*) AS requests, round(any_value(avg_score), 6) AS avg_score,
+    + f"""SELECT session_id, profile_name, role, count(*) AS requests, any_value(avg_score) AS avg_score,
   1::BIGINT AS part_no, any_value({sql_fill(
       fixed.REPORT_PROMPT, profile_name="profile_name", role="role", average="printf('%.1f', avg_score)", history="text"
   )}) AS prompt
 FROM requests JOIN (
-  SELECT session_id, avg(score) AS avg_score,
+  SELECT session_id, {sql_avg("score")} AS avg_score,
     string_agg({sql_fill(fixed.HISTORY_LINE, question="question", score="score")}, chr(10)
                ORDER BY timestamp, id) AS text
   FROM history GROUP BY session_id) USING (session_id)
 GROUP BY session_id, profile_name, role""",
 )
 def report_prompt(spark, folder):
-    out = h.report_prompt(views.requests(spark, folder), views.history(spark, folder), PART_BYTES)
-    return out.withColumn("avg_score", F.round("avg_score", 6))
+    return h.report_prompt(views.requests(spark, folder), views.history(spark, folder), PART_BYTES)
 
 
 @query(
@@ -265,7 +260,7 @@ def new_table(spark, label):
 
 
 def logged(spark, table):
-    out = spark.table(table)
+    out = score_log.read_history(spark, table)
     return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 

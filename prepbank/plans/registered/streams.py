@@ -41,11 +41,15 @@ _LIMITED = f"""limited AS (SELECT event_id AS id, user_id AS caller, ts, e.endpo
 
 
 def _limited(spark, folder):
+    return _as_limited(views.table(spark, folder, "events"))
+
+
+def _as_limited(events):
     """Events as requests of a caller to an endpoint, each with the endpoint's limit."""
     names = F.array(*[F.lit(k) for k in fixed.RATE_LIMITS])
     most = F.array(*[F.lit(v) for v in fixed.RATE_LIMITS.values()])
     at = (F.col("event_id") % len(fixed.RATE_LIMITS) + 1).cast("int")
-    return views.table(spark, folder, "events").select(
+    return events.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("caller"), F.element_at(names, at).alias("endpoint"),
         F.element_at(most, at).alias("most"), F.col("ts").cast("timestamp").alias("ts"),
     )
@@ -64,6 +68,21 @@ def rate_limit_by_endpoint(spark, folder):
     return audit.select("id", "caller", "endpoint", start, "allowed")
 
 
+@query(
+    "s1_rate_decisions_stream",
+    f"""WITH {_LIMITED} SELECT id, caller, endpoint, window_start, rn <= most AS allowed FROM (
+  SELECT id, caller, endpoint, most, date_trunc('day', ts) AS window_start,
+    row_number() OVER (PARTITION BY caller, endpoint, date_trunc('day', ts) ORDER BY ts, id) AS rn FROM limited)""",
+)
+def rate_decisions_stream(spark, folder):
+    """The same decisions, each request decided as the stream of events brings it."""
+    log = _as_limited(_event_stream(spark, folder))
+    path = fresh_path(spark, "decisions")
+    limits.rate_decisions(log, path, ["caller", "endpoint"], "ts", "most", "1 day").awaitTermination()
+    start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
+    return limits.read_decisions(log, path, "ts").select("id", "caller", "endpoint", start, "allowed")
+
+
 @query(
     "s1_rate_limit_counts_by_endpoint",
     f"""WITH {_LIMITED} SELECT caller, endpoint, date_trunc('day', ts) AS window_start, count(*) AS requests,
@@ -96,15 +115,27 @@ def rate_limit_stream(spark, folder):
     return final.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("s2_adaptive_stream", ADAPTIVE_SQL)
-def adaptive_stream(spark, folder):
-    scores = _event_stream(spark, folder).select(
+def _score_stream(spark, folder):
+    return _event_stream(spark, folder).select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("session_id"),
         F.least(F.col("value") / 10, F.lit(10.0)).alias("score"),
         F.col("ts").cast("timestamp").alias("timestamp"),
     )
-    path = fresh_path(spark, "adaptive")
+
+
+@query("s2_adaptive_event_time", ADAPTIVE_SQL)
+def adaptive_event_time(spark, folder):
+    """Scores held back for a day of event time: what the stream has written, and what it still holds when the events end."""
+    scores, path = _score_stream(spark, folder), fresh_path(spark, "adaptive")
+    adaptive.adaptive_stream(scores, path, late="1 day").awaitTermination()
+    traced = adaptive.read_adaptive(scores, path).unionByName(adaptive.pending_adaptive(scores, path))
+    return traced.select("id", "session_id", "recent_avg", "tier")
+
+
+@query("s2_adaptive_stream", ADAPTIVE_SQL)
+def adaptive_stream(spark, folder):
+    scores, path = _score_stream(spark, folder), fresh_path(spark, "adaptive")
     adaptive.adaptive_stream(scores, path).awaitTermination()
     traced = adaptive.read_adaptive(scores, path)
-    return traced.select("id", "session_id", F.round("recent_avg", 6).alias("recent_avg"), "tier")
+    return traced.select("id", "session_id", "recent_avg", "tier")

@@ -358,8 +358,8 @@ _SECTIONS = "sections AS (SELECT doc_id, s, " + ", ".join(
     + "SELECT doc_id, score, summary, strengths, weaknesses, improvement_tips, improved_answer FROM sections",
 )
 def section(spark, folder):
-    columns = [text.section(label, F.col("s")).alias(label.lower()) for label in fixed.SECTION_LABELS]
-    return _feedback(spark, folder).select("doc_id", *columns)
+    found = _feedback(spark, folder).select("doc_id", text.sections(F.col("s")).alias("x"))
+    return found.select("doc_id", *[F.col(f"x.{label}").alias(label.lower()) for label in fixed.SECTION_LABELS])
 
 
 @query(

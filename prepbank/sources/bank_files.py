@@ -10,6 +10,7 @@ from prepbank import fixed
 from prepbank.functions.jsons import is_object, parse_json, text_field
 from prepbank.functions.text import file_kind, strip
 from prepbank.operators.ordering import MAX_GROUP_BYTES, MAX_GROUP_ROWS, attach, number_rows, text_parts
+from prepbank.sources.ledger import Files, Ledger, new_batch
 
 # Errors that say that nothing was written at a path yet.
 ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
@@ -24,7 +25,7 @@ def line_ids(spark: SparkSession, path: str) -> DataFrame:
     Lines keep the split they were read in; only the splits' line counts are summed up, one row per split,
     a table no longer than the list of splits that the driver holds anyway.
     """
-    lines = spark.read.text(path).select(
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_split"),
@@ -61,8 +62,22 @@ def write_bank(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("encoding", "UTF-8").json(path)
 
 
-def append_bank(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("encoding", "UTF-8").json(path)
+def append_bank(df: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Append rows to a bank folder. ``batch`` names the append: one that is there already returns False and adds nothing.
+
+    Rows are written beside the bank, unseen by its readers, and moved into it as one folder. Appends are numbered in the order in
+    which they are claimed, so their lines, and the ids that follow from these, come after those of the appends before.
+    """
+    spark = df.sparkSession
+    batch = new_batch() if batch is None else batch
+    files = Files(spark, path)
+    no = Ledger(spark, f"{path.rstrip('/')}/_ledger").claim(batch, 1)
+    name = f"part-append-{no:012d}"
+    if files.exists(name):
+        return False
+    draft = f"_draft-{new_batch()}"
+    df.write.option("encoding", "UTF-8").json(f"{path.rstrip('/')}/{draft}")
+    return files.move(draft, name)
 
 
 # ---- index ---------------------------------------------------------------------------------------
@@ -81,7 +96,8 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
 def load_index(rows: DataFrame | None, path: str, max_records_per_file: int = 1_000_000) -> bool:
     """Write the index once, by role; False and no change when it already holds rows or there are none to load.
 
-    A role's rows are gathered before the write, a hot role over several tasks, so files stay few and even.
+    A role's rows are gathered before the write, a hot role over several tasks, so files stay few and even. They are written beside the
+    path and moved to it in one step, so an index is there whole or not at all.
     """
     if rows is None:
         return False
@@ -89,9 +105,12 @@ def load_index(rows: DataFrame | None, path: str, max_records_per_file: int = 1_
     if found is not None and not found.isEmpty():
         return False
     spread = rows.hint("rebalance", "role")
-    writer = spread.write.mode("overwrite").partitionBy("role")
-    writer.option("maxRecordsPerFile", max_records_per_file).parquet(path)
-    return True
+    parent, _, name = path.rstrip("/").rpartition("/")
+    draft, files = f"_draft-{new_batch()}", Files(rows.sparkSession, parent)
+    spread.write.partitionBy("role").option("maxRecordsPerFile", max_records_per_file).parquet(f"{parent}/{draft}")
+    if found is not None or files.exists(name):
+        files.drop(name)
+    return files.move(draft, name)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

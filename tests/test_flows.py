@@ -47,6 +47,15 @@ def test_next_question(spark):
         assert got[request]["question"] in {q for (r, _), q in top.items() if r == request}
 
 
+    # Ids alone, and the texts of what is shown from the bank: the same prompts and questions.
+    slim = flows.nearest_questions(retrieve.embed(asked), retrieve.embed(index), 2, "request")
+    assert slim.columns == ["request", "id", "distance", "rank"]
+    late = {r["request"]: r["prompt"] for r in flows.question_prompts(asked, slim, history, request_id="request", bank=index).collect()}
+    assert late == {k: r["prompt"] for k, r in prompts.items()}
+    later = {r["request"]: r for r in flows.generated_or_static(slim, generated, request_id="request", bank=index).collect()}
+    assert later == got
+
+
 def test_reports(spark):
     requests = spark.createDataFrame([("s",), ("t",), ("u",)], "session_id string")
     history = spark.createDataFrame([("s", 4.0), ("s", 5.0), ("u", 1.0)], "session_id string, score double")

@@ -2,6 +2,9 @@
 
 import datetime as dt
 import random
+from decimal import Decimal
+from functools import reduce
+from operator import add
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +209,40 @@ def test_lookup_of_hot_keys_past_the_broadcast_bound(spark, history, log, monkey
         monkeypatch.setattr(ordering, "HOT_KEY_LIMIT", limit)
         monkeypatch.setattr(ordering, "BROADCAST_BYTES", 1)
         test_tiers_of_requests_with_a_hot_session(spark, history, log, 7)
+
+
+def test_averages_do_not_depend_on_the_order_of_addition(spark):
+    """Averages that are x.x5 or a bound of a tier, from scores whose sum as doubles depends on the order: one answer at any partitioning."""
+    rng = random.Random(11)
+    rows, wanted = [], {}
+    for sid, target in enumerate(["26.15", "5", "8", "0.25", "7.35", "4.95", "2.65", "1e7"] * 6):
+        n = rng.choice([3, 10, 27, 40])
+        scores = [Decimal(rng.randrange(0, 10_000)) / 1000 for _ in range(n - 1)]
+        scores.append(Decimal(target) * n - sum(scores))
+        avg = float(sum(scores)) / n
+        wanted[sid] = (float(sum(scores)), avg, f"{avg:.1f}")
+        rows += [(len(rows) + i, sid, "q", float(s), START + dt.timedelta(seconds=i)) for i, s in enumerate(scores)]
+    unstable = 0
+    for sid in wanted:
+        given = [r[3] for r in rows if r[1] == sid]
+        unstable += len({reduce(add, x) for x in (given, given[::-1], sorted(given))}) > 1
+    assert unstable > 5
+    schema = "id bigint, session_id bigint, question string, score double, timestamp timestamp"
+    answers = []
+    for parts in (1, 2, 3, 7, 16):
+        rng.shuffle(rows)
+        history = spark.createDataFrame(rows, schema).repartition(parts)
+        for r in h.session_summary(history).collect():
+            assert (r["total_score"], r["avg_score"], r["avg_display"]) == wanted[r["session_id"]]
+        assert {r["session_id"]: r["avg_score"] for r in h.session_avg(history).collect()} == {s: a for s, (_, a, _) in wanted.items()}
+        answers.append((
+            sorted(map(tuple, h.recent_avg(history, 3).collect())),
+            sorted(map(tuple, h.adaptive_trace(history, 5, 20).select("id", "recent_avg", "tier").collect())),
+        ))
+    assert all(a == answers[0] for a in answers)
+
+
+def test_averages_of_odd_scores(spark):
+    rows = [("a", float("inf")), ("a", 1.0), ("b", float("nan")), ("c", 1e300), ("c", 1e300), ("d", -1e-9), ("e", None)]
+    got = {r[0]: r[1] for r in h.session_avg(spark.createDataFrame(rows, "session_id string, score double")).collect()}
+    assert got["a"] == float("inf") and got["b"] != got["b"] and got["c"] == 1e300 and got["d"] == -1e-9 and got["e"] is None

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from prepbank.operators import blocks, tree
 from prepbank.operators import retrieve as r
+from prepbank.session import fresh_path, materialize
 
 
 def brute(requests, bank, k, metric="l2"):
@@ -56,8 +58,7 @@ def collected(near):
     return out
 
 
-@pytest.mark.parametrize("cell_rows", [r.CELL_ROWS, 40, 150])
-@pytest.mark.parametrize("k", [1, 20, 250])
+@pytest.mark.parametrize("cell_rows, k", [(tree.CELL_ROWS, 1), (tree.CELL_ROWS, 20), (tree.CELL_ROWS, 250), (40, 1), (150, 250)])
 def test_knn_is_exact(spark, vectors, cell_rows, k):
     got = collected(r.knn(*frames(spark, vectors), k, cell_rows=cell_rows))
     assert got == brute(*vectors, k)
@@ -69,15 +70,15 @@ def test_knn_with_hot_request_roles(spark, vectors):
 
 
 def test_knn_with_cells_hot_on_both_sides(spark, vectors, monkeypatch):
-    monkeypatch.setattr(r, "BLOCK_ROWS", 8)
-    monkeypatch.setattr(r, "SLOT_ROWS", 10)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(blocks, "SLOT_ROWS", 10)
     for k in (3, 20):
         assert collected(r.knn(*frames(spark, vectors), k, cell_rows=150)) == brute(*vectors, k)
 
 
 def test_knn_beyond_the_broadcast_size(spark, vectors, monkeypatch):
     monkeypatch.setattr(r, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(r, "SLOT_ROWS", 50)
+    monkeypatch.setattr(blocks, "SLOT_ROWS", 50)
     assert collected(r.knn(*frames(spark, vectors), 20)) == brute(*vectors, 20)
 
 
@@ -88,7 +89,7 @@ def test_equal_request_vectors(spark, monkeypatch, plan):
     rows = rng.integers(-30, 30, (200, 4)).astype(float).tolist()
     bank = [(i, f"r{i % 2}", v) for i, v in enumerate(rows)]
     requests = [(i, f"r{i // 60 % 2}", rows[0]) for i in range(120)] + [(120 + i, "r0", rows[i % 3]) for i in range(30)]
-    monkeypatch.setattr(r, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 16)
     if plan != "broadcast":
         monkeypatch.setattr(r, "BROADCAST_BYTES", 0)
     options = {"cell_rows": 30} if plan == "cells" else {}
@@ -112,7 +113,7 @@ def test_cosine(spark, vectors):
 
 
 def test_ranks_are_dense_and_blocks_are_cut(spark, vectors, monkeypatch):
-    monkeypatch.setattr(r, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 16)
     near = r.knn(*frames(spark, vectors), 20)
     assert collected(near) == brute(*vectors, 20)
     ranks = near.groupBy("session_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks")).collect()
@@ -124,13 +125,66 @@ def test_empty_bank(spark, vectors):
     assert r.knn(requests, bank.where("id < 0"), 20).count() == 0
 
 
-def test_pruning_leaves_far_cells_out(spark, vectors):
-    """Distant clusters are not scanned: few of the cells stay open for a request."""
+@pytest.mark.parametrize("cell_rows, fanout", [(16, 4), (5, 40)])
+def test_tree_of_several_levels(spark, vectors, cell_rows, fanout):
+    """Cells of bounded size at any depth, but for one of equal vectors, and every row in one of them; the same rows as by a full scan."""
     requests, bank = frames(spark, vectors)
-    rows = bank.select("role", "id", F.col("embedding").alias("v"))
-    pivots = r._pivots(rows, 600, 15)
-    assert 2 <= len(pivots) <= 15
-    assert len({tuple(p) for p in pivots}) == len(pivots)
+    path = fresh_path(spark, "tree")
+    r.load_vectors(bank, path, cell_rows=cell_rows, fanout=fanout)
+    roots, nodes = (spark.read.parquet(f"{path}/{x}") for x in ("roots", "nodes"))
+    assert roots.head()["levels"] >= (1 if fanout == 40 else 2)
+    assert nodes.groupBy("role", "node").count().agg(F.max("count")).head()[0] <= fanout
+    cells = {}
+    for row in spark.read.parquet(f"{path}/blocks").collect():
+        x = np.frombuffer(row["vs"]).reshape(row["n"], -1)
+        cells.setdefault((row["role"], row["cell"]), []).append(x)
+    whole = {key: np.concatenate(x) for key, x in cells.items()}
+    assert sum(map(len, whole.values())) == len(vectors[1])
+    assert all(len(x) <= cell_rows or (x == x[0]).all() for x in whole.values())
+    assert collected(r.nearest(requests, path, 20)) == brute(*vectors, 20)
+
+
+def test_a_search_reads_what_it_opens(spark, vectors):
+    """A request for one place of one role opens few of the files, and few of the cells."""
+    _, bank = frames(spark, vectors)
+    path = fresh_path(spark, "tree")
+    r.load_vectors(bank, path, cell_rows=16, fanout=16)
+    held = spark.read.parquet(f"{path}/blocks")
+    asked = materialize(bank.where("id = 1").select("role", F.col("id").alias("session_id"), F.col("embedding").cast("array<double>").alias("v")), "asked")
+    start = asked.select("role", F.lit(0).cast("bigint").alias("cell"), "session_id", "v", F.lit(float("inf")).alias("bound"), F.lit(False).alias("leaf"))
+    levels = spark.read.parquet(f"{path}/roots").head()["levels"]
+    first = tree._descend(start, path, levels, "session_id", 5)
+    read = tree.opened_blocks(first, path, tree.PARTS)
+    files = read.select(F.input_file_name()).distinct().count()
+    assert 1 <= files < held.select(F.input_file_name()).distinct().count() / 4
+    near = r.nearest(bank.where("id = 1").select("role", "embedding", F.col("id").alias("session_id")), path, 5)
+    reach = near.agg(F.max("distance")).head()[0]
+    more = tree._descend(start.withColumn("bound", F.lit(reach)), path, levels, "session_id", None)
+    assert more.count() < nodes_of(spark, path, "r1") / 2
+
+
+def nodes_of(spark, path, role):
+    return spark.read.parquet(f"{path}/nodes").where(f"leaf and role = '{role}'").count()
+
+
+def test_stored_cosine_and_string_ids(spark, vectors):
+    requests, bank = vectors
+    asked, _ = frames(spark, vectors)
+    rows = spark.createDataFrame([(f"q_{i}", role, v) for i, role, v in bank], "id string, role string, embedding array<double>")
+    path = fresh_path(spark, "tree")
+    r.load_vectors(rows, path, metric="cosine", cell_rows=30, fanout=5)
+    got = collected(r.nearest(asked, path, 10, metric="cosine"))
+    wanted = brute(requests, bank, 10, "cosine")
+    assert got.keys() == wanted.keys()
+    for rid, near in wanted.items():
+        assert [d for _, d in got[rid]] == pytest.approx([d for _, d in near], abs=2e-6)
+
+
+def test_empty_tree(spark, vectors):
+    requests, bank = frames(spark, vectors)
+    path = fresh_path(spark, "tree")
+    r.load_vectors(bank.where("id < 0"), path)
+    assert r.nearest(requests, path).count() == 0
 
 
 def test_clamp_k(spark):

@@ -1,6 +1,7 @@
 """Files, index, score table, assembled texts."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from prepbank.operators import bank as b
 from prepbank.plans.registered.scores import new_table
 from prepbank.session import fresh_path, shared_dir
 from prepbank.sources import bank_files, score_log
+from prepbank.sources.ledger import Ledger
 
 
 @pytest.fixture
@@ -137,6 +139,81 @@ def test_score_table(spark, table):
     assert sorted(r["id"] for r in spark.table(table).collect()) == [44, 45]
 
 
+def some_scores(spark, lo, hi):
+    return spark.range(lo, hi).select(F.lit("s").alias("session_id"), F.format_string("q%05d", "id").alias("question"), F.lit(7.0).alias("score"))
+
+
+def test_an_append_that_is_run_again_adds_nothing(spark, table):
+    for batch in ("one", "a key / with 'signs' =ü"):
+        before = score_log.read_history(spark, table).count()
+        assert score_log.log_scores(some_scores(spark, 0, 30), table, batch=batch) is True
+        assert score_log.log_scores(some_scores(spark, 0, 30), table, batch=batch) is False
+        assert score_log.read_history(spark, table).count() == before + 30
+    assert sorted(r["id"] for r in spark.table(table).collect()) == list(range(1, 61))
+    score_log.clear_history(spark, table)
+    assert score_log.log_scores(some_scores(spark, 0, 30), table, batch="one") is False
+    assert spark.table(table).count() == 0 and score_log.last_id(spark, table) == 60
+
+
+def test_an_append_that_stops_halfway_is_written_anew(spark, table):
+    """Before its rows are published nobody sees them; the second run gives the same ids, and the files of the first are gone."""
+    score_log.log_scores(some_scores(spark, 0, 5), table, batch="first")
+    bad = some_scores(spark, 0, 20).withColumn("score", F.when(F.col("question") == "q00019", F.raise_error(F.lit("stopped"))).otherwise(F.col("score")))
+    with pytest.raises(Exception, match="stopped"):
+        score_log.log_scores(bad, table, batch="second")
+    # A writer that had its ids and files but stopped ahead of the catalog.
+    assert score_log._ledger(spark, table).claim("second", 20) == 6
+    folder = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").head()[1]
+    spark.range(3).write.parquet(f"{folder}/batch=ksecond")
+    assert score_log.read_history(spark, table).count() == 5
+    score_log.log_scores(some_scores(spark, 0, 4), table, batch="third")
+    assert score_log.log_scores(some_scores(spark, 0, 20), table, batch="second") is True
+    got = spark.table(table).collect()
+    assert sorted(r["id"] for r in got if r["batch"] == "ksecond") == list(range(6, 26))
+    assert sorted(r["id"] for r in got) == list(range(1, 30))
+
+
+def test_writers_at_the_same_time_get_disjoint_ids(spark, table):
+    with ThreadPoolExecutor(6) as pool:
+        done = [pool.submit(score_log.log_scores, some_scores(spark, 0, 5 + i), table, batch=f"w{i % 5}") for i in range(6)]
+        assert sum(x.result() for x in done) >= 5
+    got = spark.table(table).collect()
+    ids = [r["id"] for r in got]
+    assert len(ids) == len(set(ids)) and {r["batch"] for r in got} == {f"kw{i}" for i in range(5)}
+    assert all({r["id"] for r in got if r["batch"] == b} == set(range(min(x), max(x) + 1)) for b in {r["batch"] for r in got} for x in [[r["id"] for r in got if r["batch"] == b]])
+
+
+def test_ledger(spark, folder):
+    ledger = Ledger(spark, folder + "/ledger")
+    assert ledger.last() == 0
+    assert [ledger.claim("a", 3), ledger.claim("b", 2), ledger.claim("a", 3), ledger.claim("c", 0), ledger.claim("d", 1)] == [1, 4, 1, 6, 6]
+    assert ledger.last() == 6
+    assert ledger.files.create_once("x/y", {"v": 1}) is True and ledger.files.create_once("x/y", {"v": 2}) is False
+    assert ledger.files.read("x/y") == {"v": 1}
+    with ThreadPoolExecutor(8) as pool:
+        firsts = list(pool.map(lambda i: ledger.claim(f"t{i}", 10), range(24)))
+    assert sorted(firsts) == list(range(7, 7 + 240, 10))
+
+
+def test_repeated_bank_append(spark, folder):
+    path = folder + "/bank"
+
+    def rows(lo, hi):
+        return spark.range(lo, hi).select(F.lit("r").alias("role"), F.format_string("q%d", "id").alias("question"), F.lit("a").alias("model_answer")).coalesce(1)
+
+    bank_files.write_bank(rows(0, 4), path)
+    assert bank_files.append_bank(rows(4, 6), path, "soft") is True
+    assert bank_files.append_bank(rows(4, 6), path, "soft") is False
+    # One that stopped ahead of the move: unseen, and written anew under its number.
+    ledger = Ledger(spark, path + "/_ledger")
+    assert ledger.claim("late", 1) == 2
+    rows(90, 95).write.json(path + "/_draft-stopped")
+    assert bank_files.append_bank(rows(8, 9), path) is True
+    assert bank_files.append_bank(rows(6, 8), path, "late") is True
+    got = bank_files.read_bank(spark, path).orderBy("line_no").collect()
+    assert [(r["id"], r["question"]) for r in got] == [(f"q_{i}", f"q{i}") for i in range(9)]
+
+
 def test_shared_dir_comes_from_the_session(spark, folder):
     before = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == (before or shared_dir(spark))

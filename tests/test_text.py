@@ -1,6 +1,7 @@
 """Text expressions on literal rows; expected values are written by hand or come from Python's own functions."""
 
 import random
+import re
 import unicodedata
 
 import pytest
@@ -145,3 +146,23 @@ def test_local_time(spark):
     stamps = spark.sql("SELECT timestamp '2024-01-01 00:05:07' AS t UNION ALL SELECT timestamp '2024-11-20 13:00:00'")
     got = [r[0] for r in stamps.select(text.local_time(F.col("t"))).collect()]
     assert sorted(got) == ["1/1/2024, 12:05:07 AM", "11/20/2024, 1:00:00 PM"]
+
+
+def section_by_hand(label, text):
+    found = re.search(f"(?is){label}:?(.*)", text, re.ASCII)
+    if found is None:
+        return None
+    rest = re.split(r"(?ai)\n[A-Z_]+:", found[1].lstrip(fixed.PAGE_WHITESPACE), maxsplit=1)[0].strip(fixed.PAGE_WHITESPACE)
+    return re.split(r"\n(?:```|def [a-z]|class [A-Z]|(?i:Note:|\*\*Note))", rest, maxsplit=1)[0] or None
+
+
+def test_sections_of_odd_texts_by_hand(spark):
+    """Labels anywhere, repeated, in any case, inside other words, behind white space and headers; very many of them in one text."""
+    rng = random.Random(5)
+    bits = [*fixed.SECTION_LABELS, *[x.lower() for x in fixed.SECTION_LABELS], "\n", "\n", ":", ":", " ", "\t", "x", "ß", "ſcore", "OTHER", "a_b", "\nNote: y", "\n```", "é"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 25))) for _ in range(1500)]
+    texts += ["", "score", "SCORE:", "SCORE:\n\n \nA:\nB: x", "ſcore: x\nSCORE: y", "summary " * 20_000 + "\nEND: x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").repartition(4)
+    for r in rows.select("s", text.sections(F.col("s")).alias("x"), text.section("SUMMARY", F.col("s")).alias("one")).collect():
+        wanted = {label: section_by_hand(label, r["s"]) for label in fixed.SECTION_LABELS}
+        assert r["x"].asDict() == wanted and r["one"] == wanted["SUMMARY"], r["s"][:200]

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from prepbank.llm.common import restored
 from prepbank.session import materialize
 
-# Common languages by family. A language not listed is a family of its own.
+# Common languages by family. Languages that aren't listed share families by likeness.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "af", "fy", "lb", "sv", "da", "no", "nb", "nn", "is"),
     "romance": ("fr", "es", "pt", "it", "ca", "gl", "oc", "ro"),
@@ -28,8 +28,6 @@ FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in lang
 # Bounds of the fit: labelled documents of a language, and of a family's side in a duel of families.
 SAMPLE = 1000
 SIDE = 2 * SAMPLE
-# Up to so many unlisted languages are a family each; of more, similar ones share families.
-OWN_FAMILIES = 16
 # Hashed features of letter pairs and letter triples.
 PAIRS = 512
 TRIPLES = 2048
@@ -38,6 +36,8 @@ COST = 10.0
 STEPS = 300
 # Steepness of the score over a margin.
 SLOPE = 2.0
+# A document whose language has a lower score than this is taken for one of no learned language.
+LEAST_SCORE = 0.2
 
 _LATIN_END = 0x250
 _LATIN = np.array([chr(i).isalpha() for i in range(_LATIN_END)])
@@ -122,20 +122,17 @@ class Model:
         return lang, 1.0 if margin == np.inf else float(1 / (1 + np.exp(-SLOPE * margin)))
 
 
-def family(lang: str) -> str:
-    """Family of a language; a tag's part after - or _ does not count."""
-    root = lang.lower().replace("_", "-").split("-")[0]
-    return FAMILY_OF.get(root, f"language {lang}")
-
-
-def listed(lang: str) -> bool:
-    return not family(lang).startswith("language ")
+def family(lang: str) -> str | None:
+    """Family of a listed language; a tag's part after - or _ does not count."""
+    return FAMILY_OF.get(lang.lower().replace("_", "-").split("-")[0])
 
 
 def alike(means: dict[str, np.ndarray]) -> dict[str, str]:
     """Families of about equal size, as many as the root of the number of languages: each language joins the nearest of
     the first languages, which are chosen to lie far apart, that has room left."""
     names = sorted(means)
+    if not names:
+        return {}
     x = np.array([means[name] for name in names])
     n = int(np.ceil(np.sqrt(len(names))))
     room = dict.fromkeys(range(n), 2 * -(-len(names) // n))
@@ -154,43 +151,74 @@ def alike(means: dict[str, np.ndarray]) -> dict[str, str]:
 
 
 def _families(chosen: DataFrame, langs: list[str]) -> dict[str, str]:
-    """The family of each language."""
-    own = [x for x in langs if not listed(x)]
+    """The family of each language: the listed one, or by likeness of the mean features."""
     found = {x: family(x) for x in langs}
-    if len(own) <= OWN_FAMILIES:
+    others = [x for x in langs if found[x] is None]
+    if not others:
         return found
 
     def mean(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(features(t) for t in group["text"])
+        total = sum(_vector(x) for x in group["x"])
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "mean": [total / len(group)]})
 
-    few = chosen.where(F.col("lang").isin(own)).select("lang", "text")
-    return found | alike({r["lang"]: np.array(r["mean"]) for r in few.groupBy("lang").applyInPandas(mean, "lang string, mean array<double>").collect()})
+    few = chosen.where(F.col("lang").isin(others)).select("lang", "x")
+    means = few.groupBy("lang").applyInPandas(mean, "lang string, mean array<double>").collect()
+    return found | alike({r["lang"]: np.array(r["mean"]) for r in means})
+
+
+def _vector(packed: bytes) -> np.ndarray:
+    """Features from the places and values that aren't 0."""
+    at = np.frombuffer(packed, [("at", "<u2"), ("value", "<f8")])
+    out = np.zeros(PAIRS + TRIPLES)
+    out[at["at"]] = at["value"]
+    return out
+
+
+def _packed(x: np.ndarray) -> bytes:
+    at = np.flatnonzero(x)
+    out = np.empty(len(at), [("at", "<u2"), ("value", "<f8")])
+    out["at"], out["value"] = at, x[at]
+    return out.tobytes()
+
+
+def labelled_sample(rows: DataFrame, sample: int) -> DataFrame:
+    """Rows (lang, nth, x) of rows (lang, text): the features of at most ``sample`` different texts of each language, those with the
+    smallest hashes.
+
+    Only hashes are ranked; copies fall together in each task, so a language of one text in very many copies is a language with
+    one text. Then one text of each chosen hash is turned into features, which is all that goes on.
+    """
+    hashed = rows.withColumn("at", F.xxhash64("text", F.lit("sample")))
+    w = W.partitionBy("lang").orderBy("at")
+    ranked = hashed.select("lang", "at").distinct().withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= sample)
+    ranked = materialize(ranked, "ranked")
+    texts = hashed.join(ranked, ["lang", "at"]).groupBy("lang", "nth").agg(F.first("text").alias("text"))
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [features(t) for t in batch["text"]]
+            out = batch[["lang", "nth"]].assign(x=[None if x is None else _packed(x) for x in found])
+            yield out[out["x"].notna()]
+
+    return texts.mapInPandas(turn, "lang string, nth int, x binary")
 
 
 def fit(
-    docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "text", key: Column | None = None, sample: int = SAMPLE
+    docs: DataFrame, learn: Column, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE
 ) -> Model:
     """Machines for each pair of families and for each pair of languages of one family.
 
-    Every language is learned, from at most ``sample`` documents of it among the rows where ``learn`` holds (and text and
-    language are there): those with the smallest hash of ``key``. In a duel of families each side has at most ``SIDE``
-    documents, or one of each language, evenly from its languages. Each machine is fitted in a task of its own over that
-    bounded sample. To the driver come a row for each language and the machines; as unlisted languages share families
-    beyond ``OWN_FAMILIES``, the machines grow with the 1.5th power of the number of languages.
+    Every language with a text is learned, from at most ``sample`` different texts of it among the rows where ``learn`` holds (and text and
+    language are there). In a duel of families each side has at most ``SIDE`` texts, or one of each language, evenly from its
+    languages. Each machine is fitted in a task of its own over the features of that bounded sample. To the driver come a row for
+    each language and the machines; as unlisted languages share families, the machines grow with the 1.5th power of their number.
     """
     rows = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.rlike(text_col, F.lit(r"\p{L}")))
-    hashed = F.pmod(F.xxhash64(F.col(text_col) if key is None else key, F.lit("sample")), F.lit(1 << 40))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), hashed.alias("at"))
-    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    langs = sorted(r["lang"] for r in sizes.collect())
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    chosen = materialize(labelled_sample(rows, sample), "labelled")
+    langs = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
     if not langs:
         return Model({}, {})
-    # A hash limit leaves little more than the sample before the rows of a language meet.
-    limit = F.floor(F.lit(float(1 << 40)) * F.least(F.lit(1.0), F.lit(1.5 * sample) / F.col("n")))
-    near = rows.join(F.broadcast(sizes.select("lang", limit.alias("limit"))), "lang").where(F.col("at") < F.col("limit"))
-    ranked = near.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("at", "text")))
-    chosen = materialize(ranked.where(F.col("nth") <= sample).select("lang", "text", "nth"), "labelled")
 
     family_of = _families(chosen, langs)
     members: dict[str, list[str]] = {}
@@ -206,13 +234,15 @@ def fit(
     if not duels:
         return Model({}, family_of)
     table = docs.sparkSession.createDataFrame(duels, "first string, second string, lang string, side int, most int")
+    # The n-th texts that count are the first ones left; a hash whose text has no letter leaves a gap.
+    counted = chosen.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("nth")))
 
     def learn_one(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.array([features(t) for t in group["text"]])
+        x = np.array([_vector(v) for v in group["x"]])
         w = linear_svm(x, group["side"].to_numpy().astype(float))
         return pd.DataFrame({"first": [group["first"].iloc[0]], "second": [group["second"].iloc[0]], "w": [w]})
 
-    fitted = chosen.join(F.broadcast(table), "lang").where("nth <= most").drop("nth", "most").groupBy("first", "second").applyInPandas(
+    fitted = counted.join(F.broadcast(table), "lang").where("nth <= most").drop("nth", "most").groupBy("first", "second").applyInPandas(
         learn_one, "first string, second string, w array<double>"
     )
     return Model({(r["first"], r["second"]): np.array(r["w"]) for r in fitted.collect()}, family_of)
@@ -243,11 +273,17 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     return predict(docs, fit(docs, learn, lang_col, text_col), id_col, text_col)
 
 
-def drop_unknown(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents that have a language, with all their columns."""
+def drop_unknown(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The documents that have one of the learned languages with a score of ``least`` or more, with all their columns.
+
+    Where nothing could be learned, all documents with a letter stay: there is no evidence against any.
+    """
+    if not model.families:
+        return docs.where(F.coalesce(F.rlike(text_col, F.lit(r"\p{L}")), F.lit(False)))
 
     @F.pandas_udf("boolean")
     def has_language(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.predict(t)[0] != UNKNOWN for t in texts], dtype=bool)
+        found = (model.predict(t) for t in texts)
+        return pd.Series([lang != UNKNOWN and score >= least for lang, score in found], dtype=bool)
 
     return docs.where(has_language(F.col(text_col)))

@@ -7,9 +7,9 @@ from prepbank.llm.common import free_name
 from prepbank.session import materialize
 
 # A line on more than this share of a host's different pages is boilerplate.
-RATIO = 0.1
-# Hosts with fewer different pages say nothing about frequency; their lines stay.
-MIN_PAGES = 10
+RATIO = 0.02
+# A line on fewer different pages is none, however small the host.
+LEAST = 3
 
 
 def _key(line: Column) -> Column:
@@ -26,9 +26,9 @@ def _trimmed(line: Column) -> Column:
 
 
 def boilerplate_lines(
-    pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, least: int = LEAST
 ) -> DataFrame:
-    """Rows (host, n_pages, keys): the keys of the lines that occur on more than ``ratio`` of a host's different pages.
+    """Rows (host, n_pages, keys): the keys of the lines that occur on more than ``ratio`` of a host's different pages, and on ``least`` at least.
 
     Equal pages of a host count once, so a page that was merely copied is no evidence. Lines are compared without
     spaces, tabs and carriage returns at their ends; blank lines are never boilerplate. A host has at most (lines of
@@ -40,14 +40,14 @@ def boilerplate_lines(
     )
     totals = (
         slim.groupBy("host", "page").agg(F.lit(1).alias("one"))
-        .groupBy("host").agg(F.count("one").alias("n_pages")).where(F.col("n_pages") >= min_pages)
+        .groupBy("host").agg(F.count("one").alias("n_pages"))
     )
     named = F.array_distinct(F.transform(F.filter(F.transform(_lines(F.col("text")), _trimmed), lambda x: x != ""), _key))
     counts = (
         slim.select("host", "page", F.explode(named).alias("line"))
         .groupBy("host", "page", "line").agg(F.lit(1).alias("one"))
         .groupBy("host", "line").agg(F.count("one").alias("n"))
-        .where(F.col("n") > ratio * min_pages)
+        .where(F.col("n") >= least)
     )
     t = totals.select(F.col("host").alias("__h"), "n_pages")
     frequent = counts.join(t, F.col("host").eqNullSafe(F.col("__h"))).where(F.col("n") > F.lit(ratio) * F.col("n_pages"))
@@ -59,7 +59,7 @@ def drop_boilerplate(
     host_col: str = "source",
     text_col: str = "text",
     ratio: float = RATIO,
-    min_pages: int = MIN_PAGES,
+    least: int = LEAST,
     dropped_col: str | None = None,
 ) -> DataFrame:
     """The pages with boilerplate lines taken out of their texts; every row and column stays.
@@ -71,7 +71,7 @@ def drop_boilerplate(
     count as one page; an empty table gives an empty result; columns of any other name pass through.
     """
     # Written first, so that its size is known when the join is planned.
-    found = materialize(boilerplate_lines(pages, host_col, text_col, ratio, min_pages), "boilerplate")
+    found = materialize(boilerplate_lines(pages, host_col, text_col, ratio, least), "boilerplate")
     host, keys = free_name(pages, "host_key"), free_name(pages, "bad_keys")
     joined = pages.join(
         found.select(F.col("host").alias(host), F.col("keys").alias(keys)),

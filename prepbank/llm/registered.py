@@ -70,8 +70,8 @@ SQL_LINES = f"""WITH pages AS (SELECT row_number() OVER () AS rid, doc_id, sourc
   totals AS (SELECT source, count(*) AS n_pages FROM texts GROUP BY source),
   named AS (SELECT source, unnest(list_distinct([trim(x, chr(32) || chr(9) || chr(13)) FOR x IN string_split(text, chr(10))])) AS line
             FROM texts),
-  bad AS (SELECT source, line FROM named JOIN totals USING (source) WHERE line <> '' AND n_pages >= {lines.MIN_PAGES}
-          GROUP BY source, line, n_pages HAVING count(*) > {lines.RATIO} * n_pages),
+  bad AS (SELECT source, line FROM named JOIN totals USING (source) WHERE line <> ''
+          GROUP BY source, line, n_pages HAVING count(*) >= {lines.LEAST} AND count(*) > {lines.RATIO} * n_pages),
   pieces AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM pages),
   kept AS (SELECT p.rid, count(b.line) AS n_dropped, count(*) AS n_lines,
              coalesce(string_agg(s.line, chr(10) ORDER BY s.i) FILTER (WHERE b.line IS NULL), '') AS text

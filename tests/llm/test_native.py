@@ -105,17 +105,16 @@ def lines_by_hand(rows, ratio, least):
             pages[source].add(text)
     bad = set()
     for source, texts in pages.items():
-        if len(texts) >= least:
-            n = collections.Counter(x for t in texts for x in {y.strip(" \t\r") for y in t.split("\n")})
-            bad |= {(source, x) for x, c in n.items() if x and c > ratio * len(texts)}
+        n = collections.Counter(x for t in texts for x in {y.strip(" \t\r") for y in t.split("\n")})
+        bad |= {(source, x) for x, c in n.items() if x and c >= least and c > ratio * len(texts)}
     return [None if t is None else "\n".join(x for x in t.split("\n") if (s, x.strip(" \t\r")) not in bad) for _, t, s in rows]
 
 
 def test_line_dedup(odd, odd_rows, none):
-    out = lines.drop_boilerplate(odd, "source", "text", 0.1, 10, "n_dropped")
+    out = lines.drop_boilerplate(odd, "source", "text", 0.1, 3, "n_dropped")
     assert "Python" not in plan(out) and "Pandas" not in plan(out)
     assert out.columns == [*odd.columns, "n_dropped"]
-    wanted = lines_by_hand([(r[0], r[1], r[3]) for r in odd_rows], 0.1, 10)
+    wanted = lines_by_hand([(r[0], r[1], r[3]) for r in odd_rows], 0.1, 3)
     got = out.collect()
     assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter(
         (r[0], t) for r, t in zip(odd_rows, wanted, strict=True)
@@ -129,3 +128,15 @@ def test_copied_pages_are_no_boilerplate(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(docs).collect()}
     assert got[0] == "copied page\nwith two lines" and got[99] == "own 99"
+
+
+def test_lines_of_small_hosts_and_long_lines(spark):
+    """On three of five pages a line goes, on two it stays; on a large host a long passage goes once it is on more than the ratio."""
+    passage = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, f"own {i}\nmenu" + ("\ntwice" if i < 2 else ""), "small") for i in range(5)]
+    rows += [(100 + i, f"text {i}" + (f"\n{passage}" if i < 5 else "") + ("\nfew" if i % 50 == 0 else ""), "large") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(docs).collect()}
+    assert got[0] == "own 0\ntwice" and got[4] == "own 4"
+    assert got[101] == "text 1" and got[150] == "text 50\nfew"
+    assert [got[i] for i, _, _ in rows] == lines_by_hand(rows, lines.RATIO, lines.LEAST)

@@ -13,19 +13,18 @@ from prepbank.llm.common import restored
 # (from bytes, lowest ratio, highest ratio) of a whole document; shorter ones say nothing. Ratios fall with the length.
 BANDS = (
     (64, 0.30, 1.60),
-    (256, 0.40, 0.90),
-    (512, 0.42, 0.80),
-    (1024, 0.42, 0.72),
-    (4096, 0.40, 0.70),
-    (16384, 0.38, 0.70),
-    (65536, 0.35, 0.70),
+    (256, 0.48, 0.82),
+    (512, 0.46, 0.75),
+    (1024, 0.43, 0.66),
+    (4096, 0.40, 0.58),
+    (16384, 0.38, 0.55),
+    (65536, 0.35, 0.55),
 )
-# Bytes of a chunk, least bytes of the last one, and the band of a chunk's ratio.
+# Bytes of a chunk (the last one is up to twice that, so no byte is left out) and the band of a chunk's ratio.
 CHUNK = 1024
-LEAST_CHUNK = 512
-CHUNK_BAND = (0.35, 0.75)
+CHUNK_BAND = (0.40, 0.64)
 # A document goes if more than this share of its chunks' bytes lies outside the band.
-CHUNK_SHARE = 0.25
+CHUNK_SHARE = 0.15
 LEVEL = 3
 MIN_WORDS = 50
 
@@ -57,30 +56,27 @@ def base_counts(text: str, data: bytes) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - white, symbols, len(lines) - len(set(lines)), repeated_words(words)
 
 
-def in_band(n: int, ratio: float, bands=BANDS) -> bool:
-    """Whether a whole document's ratio lies in the band of its length."""
-    for least, low, high in reversed(bands):
-        if n >= least:
-            return low <= ratio <= high
-    return True
+def band_of(n: int, bands=BANDS) -> tuple[float, float]:
+    """Lowest and highest ratio of a whole document of n bytes."""
+    return next(((low, high) for least, low, high in reversed(bands) if n >= least), (0.0, float("inf")))
 
 
-def chunk_share(data: bytes, compressed, chunk: int, least: int, band: tuple[float, float]) -> float:
-    """Share of the chunks' bytes whose own ratio lies outside the band; 0 without a chunk."""
-    outside = total = 0
-    for at in range(0, len(data), chunk):
-        part = data[at : at + chunk]
-        if len(part) < least:
-            continue
-        total += len(part)
+def chunk_share(data: bytes, compressed, chunk: int, band: tuple[float, float]) -> float:
+    """Share of the chunks' bytes whose own ratio lies outside the band; 0 for a document shorter than a chunk.
+
+    What is left behind the last whole chunk is judged together with it.
+    """
+    outside = 0
+    for i in range(len(data) // chunk):
+        part = data[i * chunk : (i + 1) * chunk] if (i + 2) * chunk <= len(data) else data[i * chunk :]
         outside += len(part) * (not band[0] <= len(compressed(part)) / len(part) <= band[1])
-    return outside / total if total else 0.0
+    return outside / len(data) if len(data) >= chunk else 0.0
 
 
 FIELDS = (
     ("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()),
     ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("ratio", T.DoubleType()),
-    ("outside_share", T.DoubleType()), ("kept", T.BooleanType()),
+    ("outside_share", T.DoubleType()), ("kept", T.BooleanType()), ("rejected_by", T.StringType()),
 )
 
 
@@ -93,7 +89,8 @@ def compression_rules(
     chunk_band: tuple[float, float] = CHUNK_BAND,
     share: float = CHUNK_SHARE,
 ) -> DataFrame:
-    """One row per input row: id, the base counts, base_failed, ratio, outside_share and kept.
+    """One row per input row: id, the base counts, base_failed, ratio, outside_share, kept and rejected_by (the first rule that a
+    document fails: ``base``, ``low ratio``, ``high ratio`` or ``chunks``; null if it is kept).
 
     A document fails the base if it has under 50 words or over half of them lie in repeated 3-word windows. Of the
     others those are kept whose whole text compresses within the band of its length, and of which not more than
@@ -115,9 +112,10 @@ def compression_rules(
                 counts = base_counts(text, data)
                 failed = counts[0] < MIN_WORDS or 100 * counts[4] > 50 * counts[0]
                 ratio = len(compressed(data)) / len(data) if data else None
-                outside = chunk_share(data, compressed, chunk, LEAST_CHUNK, chunk_band)
-                fits = ratio is not None and in_band(len(data), ratio, bands) and outside <= share
-                rows.append((key, *counts, failed, ratio, outside, not failed and fits))
+                outside = chunk_share(data, compressed, chunk, chunk_band)
+                low, high = band_of(len(data), bands)
+                rule = "base" if failed else "low ratio" if ratio < low else "high ratio" if ratio > high else "chunks" if outside > share else None
+                rows.append((key, *counts, failed, ratio, outside, rule is None, rule))
             yield pd.DataFrame(rows, columns=schema.names)
 
     slim = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -192,7 +192,7 @@ def test_language_id(spark, none):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     model = langid.fit(docs, F.lit(True), sample=20)
     assert ("germanic", "romance") in model.machines and ("de", "en") in model.machines and ("de", "fr") not in model.machines
-    assert langid.drop_unknown(docs, model).count() == len(rows) - 3
+    assert langid.drop_unknown(docs, model, least=0.0).count() == len(rows) - 3
     assert langid.identify(none, F.lit(True)).count() == 0
     nothing = langid.identify(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True)).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
@@ -291,3 +291,33 @@ def test_compression_rules(spark, odd, odd_rows, none):
     docs = spark.createDataFrame([(1, noise), (2, prose), (3, again)], "doc_id bigint, text string")
     kept = {r["doc_id"]: r["kept"] for r in quality.compression_rules(docs).collect()}
     assert kept == {1: False, 2: True, 3: False}
+
+
+def test_each_compression_rule_rejects_its_cases(spark):
+    """Loops, noise, and texts of which a part is either; a bad tail counts; prose of any length stays."""
+    rng = np.random.default_rng(2)
+    stems = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 6))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(rng.choice(stems) + rng.choice(["", "s", "ed", "ing"]) for _ in range(n))
+
+    def noise(n):
+        return "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), n))
+
+    loop = "".join(f"row{i} of table{i} holds {i} and{i} value{i} {i}.\n" for i in range(120))
+    cases = {
+        "low ratio": [loop, prose(60) + "\n" + loop],
+        "high ratio": [" ".join(noise(60) for _ in range(60)), prose(20) + " " + " ".join(noise(30) for _ in range(60))],
+        "chunks": [
+            # A third of noise in the middle, in the tail alone (under a chunk), and a loop among prose.
+            prose(400) + "\n" + " ".join(noise(70) for _ in range(20)) + "\n" + prose(400),
+            prose(900)[:2048] + " " + " ".join(noise(60) for _ in range(16)),
+            prose(1400) + "\n" + loop[:4000] + "\n" + prose(1400),
+        ],
+        None: [prose(n) for n in (50, 60, 90, 200, 400, 1000, 5000)],
+    }
+    rows = [(i, text, rule) for i, (rule, text) in enumerate((r, t) for r, ts in cases.items() for t in ts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, ratio string")
+    got = {r["doc_id"]: r for r in quality.compression_rules(docs).collect()}
+    assert {i: got[i]["rejected_by"] for i, _, _ in rows} == {i: rule for i, _, rule in rows}
+    assert all(r["kept"] == (r["rejected_by"] is None) for r in got.values())

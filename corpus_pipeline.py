@@ -42,7 +42,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Language ID, fingerprints and packing have no SQL form; tests hold the pipeline against a brute-force version.
+# Language ID, fingerprints and packing have no SQL form; tests/llm/test_pipeline.py holds run() against plain versions of the stages.
 ORACLE_SQL = None
 
 

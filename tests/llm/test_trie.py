@@ -59,7 +59,7 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("limit, run, group", [(10**9, 1024, None), (40, 1024, 100), (3, 64, 100)])
+@pytest.mark.parametrize("limit, run, group", [(10**9, 1024, None), (40, 64, 100)])
 def test_trie(spark, monkeypatch, limit, run, group):
     monkeypatch.setattr(trie, "RUN", run)
     rows = made(1)

@@ -203,10 +203,15 @@ def conversation_trie(spark, folder) -> DataFrame:
     return trie.trie_report(*trie.graft(turns, conv - conv % FIVE, taken, GRAFTS - 1))
 
 
-SQL_JACCARD = f"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+_GRAM = " || ' ' || ".join(["word", *[f"lead(word, {i}) OVER o" for i in range(1, jaccard.WORDS)]])
+SQL_JACCARD = f"""WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-  sets AS (SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {jaccard.WORDS} THEN [array_to_string(w, ' ')]
-      ELSE [array_to_string(w[i : i + {jaccard.WORDS - 1}], ' ') FOR i IN range(1, len(w) - {jaccard.WORDS - 2})] END)) AS s FROM docs),
+  words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+  runs AS (SELECT rid, {_GRAM} AS g FROM words WINDOW o AS (PARTITION BY rid ORDER BY i)),
+  shingles AS (SELECT DISTINCT rid, hash(g) AS g FROM runs WHERE g IS NOT NULL
+    UNION ALL SELECT rid, hash(array_to_string(w, ' ')) FROM docs WHERE len(w) BETWEEN 1 AND {jaccard.WORDS - 1}),
+  listed AS (SELECT rid, list(g ORDER BY g) AS s FROM shingles GROUP BY rid),
+  sets AS MATERIALIZED (SELECT d.rid, doc_id, coalesce(s, []) AS s FROM docs d LEFT JOIN listed l ON l.rid = d.rid),
   classes AS (SELECT s, min(rid) AS cid, min(doc_id) AS first, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
   grams AS (SELECT cid, n, unnest(s) AS g FROM classes),
   pairs AS (SELECT a.cid AS a, b.cid AS b, a.n + b.n AS total, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.cid < b.cid

@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from prepbank.llm.common import restored
 from prepbank.llm.components import components
-from prepbank.operators.ordering import number_rows
+from prepbank.operators.ordering import find_hot_keys, join_small, number_rows, split_hot
 from prepbank.session import materialize
 
 WORDS = 4
@@ -27,7 +28,14 @@ PERCENT = 85
 # Each band's sizes are up to so much larger than its first: a quarter.
 GROWTH = 4
 # Chance that a set has more empty parts than a tile's spare ones, where these can be chosen freely.
-RARE = 1e-6
+RARE = 1e-3
+# Buckets of hashes by which texts that nobody asks for are told ahead of a shuffle (8 MB).
+BUCKETS = 1 << 20
+# One class in so many is looked at to find the keys of very many classes; such a key is seen this often.
+SPARSE = 64
+OFTEN = 64
+# Pairs that a tile may pass on for each of its rows; where the bitmaps leave more, its rows meet once more, with their sets.
+DENSE = 4
 # Rows and shingles of a block of a long list; two blocks make a tile's task.
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 1 << 20
@@ -124,8 +132,8 @@ def part_keys(shingles: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray,
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits of the bitmap of a set: two to four for each element."""
-    return max(64, 1 << (2 * n - 1).bit_length())
+    """Bits of the bitmap of a set: four to eight for each element."""
+    return max(64, 1 << (4 * n - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -159,7 +167,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def shingle_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per input row: id, t1 and t2 (hashes of the text), n (size of its set), h1 and h2 (hashes of the set), bits, keys and own."""
+    """One row for each different text (null counts as empty): id (its smallest), t1 and t2 (hashes of the text), n (size of its set), h1
+    and h2 (hashes of the set), bits, keys and own. Of copies each task passes on one text."""
     fields = [
         ("id", T.StringType()), ("t1", T.LongType()), ("t2", T.LongType()), ("n", T.LongType()), ("h1", T.LongType()),
         ("h2", T.LongType()), ("bits", T.BinaryType()), ("keys", T.ArrayType(T.LongType())), ("own", T.ArrayType(T.BooleanType())),
@@ -176,19 +185,25 @@ def shingle_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append((key, t1, t2, len(s), h1, h2, bitmap(s, bitmap_bits(len(s))).tobytes() if len(s) else b"", keys.view(np.int64), own))
             yield pd.DataFrame(out, columns=schema.names)
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(F.col(id_col).cast("string").alias("id"), *_text_key(text), text.alias("text"))
+    keyed = docs.select(F.col(id_col).alias("id"), *_text_key(text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = keyed.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    slim = texts.select(F.col("id").cast("string").alias("id"), "t1", "t2", "text")
     return restored(slim.mapInPandas(rows, schema), docs, id_col)
 
 
-def _text_key(text) -> list:
+def _text_key(text_col: str) -> list:
+    text = F.coalesce(F.col(text_col), F.lit(""))
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")]
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
-    """Rows (cid, shingles) of classes (cid, t1, t2), from a text of each; of copies one text is shuffled by each task."""
-    text = F.col(text_col)
-    texts = docs.where(text.isNotNull()).select(*_text_key(text), text.alias("text")).groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    """Rows (cid, shingles) of classes (cid, t1, t2), from their texts. Texts whose hash is in no bucket of a wanted one stay where they are:
+    a list of at most ``BUCKETS`` numbers goes to every task."""
+    bucket = F.pmod("t1", F.lit(BUCKETS)).alias("bucket")
+    some = F.broadcast(wanted.select(bucket).distinct())
+    keyed = docs.where(F.col(text_col).isNotNull()).select(*_text_key(text_col), F.col(text_col).alias("text"))
+    near = keyed.withColumn("bucket", bucket).join(some, "bucket", "left_semi")
+    texts = near.groupBy("t1", "t2").agg(F.first("text").alias("text"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -227,6 +242,36 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInPandas(check, "a bigint, b bigint")
 
 
+def tile_candidates(
+    root: np.ndarray, n: np.ndarray, own: np.ndarray, bits: list[bytes], percent: int = PERCENT, dense: int = DENSE
+) -> tuple[np.ndarray, list[tuple[int, int]] | None]:
+    """Which rows of a tile could link to a row of another component, by size and by the bound of the bitmaps; and the pairs, if these are no
+    more than ``dense`` a row."""
+    order = np.argsort(n, kind="stable")
+    root, own, n = root[order], own[order], n[order]
+    width = min(len(b) for b in bits)
+    maps = np.stack([folded(np.frombuffer(bits[i], _U), 8 * width) for i in order])
+    hit = np.zeros(len(n), bool)
+    pairs: list[tuple[int, int]] | None = []
+    for i in range(len(n)):
+        near = _partners(i, n, root, own, percent)
+        if len(near):
+            near = near[overlap_bound(maps[i], n[i], maps[near], n[near]) >= -(-percent * (n[i] + n[near]) // (100 + percent))]
+            hit[near] = True
+            hit[i] |= len(near) > 0
+            if pairs is not None:
+                pairs = None if len(pairs) + len(near) > dense * len(n) else pairs + [(int(order[i]), int(order[j])) for j in near]
+    out = np.zeros(len(n), bool)
+    out[order] = hit
+    return out, pairs
+
+
+def _partners(i: int, n: np.ndarray, root: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
+    """Later rows, sizes rising, that are small enough to link to row i, in another component, one of the two of the tile's own band."""
+    near = np.arange(i + 1, int(np.searchsorted(n, 100 * n[i] // percent, side="right")))
+    return near[(root[near] != root[i]) & (own[near] | own[i])]
+
+
 def tile_links(cid: np.ndarray, root: np.ndarray, sets: list[np.ndarray], own: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links between the rows of a tile that join different components; those inside one component are not looked for.
 
@@ -239,10 +284,7 @@ def tile_links(cid: np.ndarray, root: np.ndarray, sets: list[np.ndarray], own: n
     maps = np.stack([bitmap(s, bits) for s in sets])
     out = []
     for i in range(len(cid)):
-        # Sizes rise, so the partners from i on that are small enough are a slice.
-        end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
-        near = np.arange(i + 1, end)
-        near = near[(root[near] != root[i]) & (own[near] | own[i])]
+        near = _partners(i, n, root, own, percent)
         if not len(near):
             continue
         need = -(-percent * (n[i] + n[near]) // (100 + percent))
@@ -275,32 +317,57 @@ def _tile_rows(rows: DataFrame, block_rows: int, block_shingles: int, percent: i
     return short.unionByName(blocks.join(sides, ["key", "block"]).select(*short.columns))
 
 
+def _lists(posted: DataFrame) -> DataFrame:
+    """Rows (key, cid, own, lead) of the keys of several classes, the first one of the tile's own band leading.
+
+    One window over each key. Keys that a sample of the classes finds very often are no window: their first class is a pre-aggregated
+    minimum, joined.
+    """
+    seen = posted.where(F.pmod(F.xxhash64("cid"), F.lit(SPARSE)) == 0)
+    hot = find_hot_keys(seen, ["key"], OFTEN)
+    cold, rest = (posted, None) if hot is None else split_hot(posted, ["key"], hot)
+    w = W.partitionBy("key").orderBy(F.desc("own"), F.asc("cid"))
+    placed = cold.select("*", F.first("own").over(w).alias("led"), F.first("cid").over(w).alias("lead"), F.lead("cid").over(w).alias("next"))
+    found = placed.where(F.col("led") & ((F.col("cid") != F.col("lead")) | F.col("next").isNotNull())).select("key", "cid", "own", "lead")
+    if rest is None:
+        return found
+    leads = rest.where("own").groupBy("key").agg(F.min("cid").alias("lead"))
+    return found.unionByName(join_small(rest, leads, ["key"], hot.few).select(*found.columns))
+
+
 def links(
     docs: DataFrame, classes: DataFrame, text_col: str = "text", words: int = WORDS, percent: int = PERCENT,
     block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
-    """Rows (node, component): the components of the classes (cid, t1, t2, n, bits, keys, own) over all links between them.
+    """Rows (node, component): the components of the classes (cid, t1, t2, n, h1, h2, bits, keys, own) over all links between them.
 
     Every row of a list of equal keys is first held against the list's first one: by size, then by the bound of the bitmaps, the sets
     being fetched for those that pass. What this joins needs no further look. Lists that still hold several components are
-    gone through in tiles, without the pairs inside a component; equal lists are taken once.
+    gone through in tiles, without the pairs inside a component: by the bitmaps, then by the sets of the rows that have a
+    partner left. Equal lists are taken once.
     """
+    spark = docs.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     posted = classes.select("cid", F.explode(F.arrays_zip("keys", "own")).alias("k"))
     posted = posted.select(F.col("k.keys").alias("key"), "cid", F.col("k.own").alias("own"))
-    # A key of one class alone has nothing to look for, nor has one of the lower band alone: rows of the tile's own band lead.
-    lists = materialize(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "lists")
-    met = materialize(posted.join(lists, "key"), "met")
-    leads = met.where("own").groupBy("key").agg(F.min("cid").alias("lead"))
-    rows = materialize(met.join(leads, "key"), "list-rows")
+    rows = materialize(_lists(posted), "list-rows")
     pairs = materialize(rows.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
 
     bits = classes.select("cid", "n", "bits")
     a, b = (bits.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
     passed = materialize(_passing(pairs.join(a, "a").join(b, "b"), percent), "passed")
-    members = rows.select("cid").distinct()
-    sets = materialize(_sets(docs, classes.select("cid", "t1", "t2").join(members, "cid"), text_col, words), "sets")
+
+    def sets_of(cids, label):
+        wanted = materialize(classes.select("cid", "t1", "t2").join(cids.distinct(), "cid"), "wanted")
+        return materialize(_sets(docs, wanted, text_col, words), label)
+
+    sets = sets_of(passed.select(F.explode(F.array("a", "b")).alias("cid")), "sets")
     a, b = (sets.select(F.col("cid").alias(s), F.col("shingles").alias(f"set_{s}")) for s in "ab")
-    edges = materialize(_linked(passed.join(a, "a").join(b, "b"), percent), "edges")
+    linked = _linked(passed.join(a, "a").join(b, "b"), percent)
+    # Texts of equal sets, whose sizes may be too small for any key.
+    same = classes.groupBy("h1", "h2").agg(F.min("cid").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    same = classes.select("h1", "h2", F.col("cid").alias("a")).join(same, ["h1", "h2"]).where("a <> b").select("a", "b")
+    edges = materialize(linked.unionByName(same), "edges")
     found = materialize(components(edges), "components")
 
     rows = rows.join(classes.select("cid", "n"), "cid")
@@ -314,33 +381,52 @@ def links(
     left = materialize(rooted.join(open_, "key"), "open-rows")
     if not left.head(1):
         return found
-    dealt = _tile_rows(left, block_rows, block_shingles, percent).select("tile", "cid", "root", "own").join(sets, "cid")
-    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(count, "tile").sortWithinPartitions("tile")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            tile = batch["tile"].to_numpy()
-            cut = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0
-            rest = batch.iloc[cut:]
-            yield _compared(batch.iloc[:cut])
-        if rest is not None:
-            yield _compared(rest)
-
-    def _compared(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, one in rows.groupby("tile", sort=False):
-            held = [np.frombuffer(s, _U) for s in one["shingles"]]
-            out += tile_links(one["cid"].to_numpy(), one["root"].to_numpy(), held, one["own"].to_numpy(bool), percent)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    more = materialize(dealt.select("tile", "cid", "root", "own", "shingles").mapInPandas(compare, "a bigint, b bigint").distinct(), "more-edges")
+    tiles = materialize(_tile_rows(left, block_rows, block_shingles, percent).select("tile", "cid", "root", "n", "own"), "tiles")
+
+    def candidates(one: pd.DataFrame) -> pd.DataFrame:
+        hit, pairs = tile_candidates(one["root"].to_numpy(), one["n"].to_numpy(), one["own"].to_numpy(bool), one["bits"].tolist(), percent)
+        if pairs is None:
+            return one.loc[hit, ["tile", "cid", "root", "own"]].rename(columns={"cid": "a"}).assign(b=None)[["tile", "a", "b", "root", "own"]]
+        cid = one["cid"].to_numpy()
+        both = [sorted((cid[i], cid[j])) for i, j in pairs]
+        return pd.DataFrame({"tile": None, "a": [x for x, _ in both], "b": [x for _, x in both], "root": None, "own": None})
+
+    def compared(one: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(s, _U) for s in one["shingles"]]
+        return pd.DataFrame(tile_links(one["cid"].to_numpy(), one["root"].to_numpy(), held, one["own"].to_numpy(bool), percent), columns=["a", "b"], dtype="int64")
+
+    def by_tile(df: DataFrame, use, schema: str) -> DataFrame:
+        dealt = df.repartition(count, "tile").sortWithinPartitions("tile")
+        return dealt.mapInPandas(lambda batches: _whole_tiles(batches, use), schema)
+
+    slim = tiles.join(classes.select("cid", "bits"), "cid")
+    asked = materialize(by_tile(slim, candidates, "tile bigint, a bigint, b bigint, root bigint, own boolean"), "candidates")
+    if not asked.head(1):
+        return found
+    sparse = materialize(asked.where("tile is null").select("a", "b").distinct(), "more-pairs")
+    dense = asked.where("tile is not null").select("tile", F.col("a").alias("cid"), "root", "own")
+    sets = sets_of(sparse.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(dense.select("cid")), "more-sets")
+    a, b = (sets.select(F.col("cid").alias(s), F.col("shingles").alias(f"set_{s}")) for s in "ab")
+    more = _linked(sparse.join(a, "a").join(b, "b"), percent)
+    more = materialize(more.unionByName(by_tile(dense.join(sets, "cid"), compared, "a bigint, b bigint")).distinct(), "more-edges")
     stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return components(stars.unionByName(more)) if more.head(1) else found
 
 
+def _whole_tiles(batches: Iterator[pd.DataFrame], use) -> Iterator[pd.DataFrame]:
+    """``use`` of each tile's rows, which come one after the other."""
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        tile = batch["tile"].to_numpy()
+        cut = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0
+        rest = batch.iloc[cut:]
+        for _, one in batch.iloc[:cut].groupby("tile", sort=False):
+            yield use(one)
+    if rest is not None and len(rest):
+        yield use(rest)
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT,
     block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES,
@@ -348,22 +434,21 @@ def jaccard_components(
     """One row per input row: id, n_shingles (size of its set of ``words``-word shingles) and component_id, the smallest id reachable over links.
 
     Texts are lower-cased (A-Z); a text with fewer words is one shingle. Two texts link if their sets share ``percent`` hundredths of their
-    union. Texts of equal sets are one class ahead of everything else, so a group of copies counts once.
+    union. Copies are one class ahead of everything else, so a group of them counts once.
 
     A null, empty or blank text has no shingles and links with nothing, so its component is its own id; a null id never
     names a component unless its class and all linked ones have no other; repeated rows are one class; texts of any length are
     taken whole; an empty table gives an empty result; other columns take no part.
     """
-    signed = materialize(shingle_rows(docs, id_col, text_col, words, percent), "shingle-rows")
-    one = F.first(F.struct("t1", "t2", "n", "bits", "keys", "own")).alias("one")
-    grouped = signed.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("first"), one)
-    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "first", "one.*"), "classes")
+    texts = shingle_rows(docs, id_col, text_col, words, percent)
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("cid"), "*"), "texts")
+    classes = texts.where("n > 0")
     found = materialize(links(docs, classes, text_col, words, percent, block_rows, block_shingles), "components")
-    linked = classes.select("cid", "h1", "h2", "first").join(found.select(F.col("node").alias("cid"), "component"), "cid")
-    best = linked.groupBy("component").agg(F.min("first").alias("best"))
-    best = linked.join(best, "component").select("h1", "h2", "best")
-    heads = classes.select("h1", "h2", "first").join(best, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("best", "first").alias("best"))
-    joined = signed.select("id", "n", "h1", "h2").join(heads, ["h1", "h2"], "left")
+    linked = classes.select("cid", "id").join(found.select(F.col("node").alias("cid"), "component"), "cid")
+    best = linked.groupBy("component").agg(F.min("id").alias("best"))
+    best = linked.join(best, "component").select("cid", "best")
+    heads = texts.select("cid", "t1", "t2", "n", "id").join(best, "cid", "left").select("t1", "t2", "n", F.coalesce("best", "id").alias("best"))
+    joined = docs.select(F.col(id_col).alias("id"), *_text_key(text_col)).join(heads, ["t1", "t2"])
     return joined.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best")).otherwise(F.col("id")).alias("component_id")
     )

@@ -48,8 +48,12 @@ def made(seed):
     return [(int(k), t) for k, t in zip(order, texts, strict=True)]
 
 
-@pytest.mark.parametrize("seed, rows, shingles", [(1, 1024, 1 << 20), (2, 16, 64)])
-def test_components(spark, seed, rows, shingles):
+@pytest.mark.parametrize("seed, rows, shingles, often", [(1, 1024, 1 << 20, 64), (2, 16, 64, 2)])
+def test_components(spark, monkeypatch, seed, rows, shingles, often):
+    """Also with lists cut into many blocks, and keys of three classes taken for hot ones."""
+    monkeypatch.setattr(jaccard, "OFTEN", often)
+    monkeypatch.setattr(jaccard, "SPARSE", min(often, jaccard.SPARSE) // 2)
+    monkeypatch.setattr(jaccard, "DENSE", 4 if often == 64 else 0)
     data = made(seed)
     docs = spark.createDataFrame([(*r, "x", 1) for r in data], "doc_id bigint, text string, key string, n int").repartition(3)
     got = jaccard.jaccard_components(docs, block_rows=rows, block_shingles=shingles)

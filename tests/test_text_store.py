@@ -102,6 +102,18 @@ def test_reference_block_of_a_bank(spark, shown, monkeypatch):
     assert {x["session_id"]: x["reference_questions"] for x in r.reference_block(near, seed=2, bank=bank).collect()} == want
 
 
+@pytest.mark.parametrize("limit, stored", [(r.BROADCAST_BYTES, 3), (0, 33)])
+def test_texts_of_few_shown_rows_are_stored(spark, shown, monkeypatch, limit, stored):
+    put, rows = TextStore.put, []
+    monkeypatch.setattr(TextStore, "put", lambda self, df, text: rows.append(df.count()) or put(self, df, text))
+    monkeypatch.setattr(r, "BROADCAST_BYTES", limit)
+    near = spark.createDataFrame([(1, 4), (1, 7), (2, 7), (2, 99), (3, None)], "session_id bigint, id bigint")
+    bank = spark.createDataFrame(shown[1], "id bigint, question string")
+    found = {x["session_id"]: x["reference_questions"] for x in r.reference_block(near, bank=bank).collect()}
+    assert rows == [stored]
+    assert found[2] == f"- {shown[1][7][1]}" and set(found) == {1, 2} and found[1].count("\n") == 2
+
+
 def test_folders_that_only_spark_reads(spark, monkeypatch):
     def unknown(uri):
         raise pa.ArrowInvalid(uri)

@@ -29,6 +29,22 @@ def test_read_bank(spark, folder):
     assert got["q_5"]["role"] == ""
 
 
+def test_bank_without_line_numbers_is_read_and_parsed_once(spark, folder):
+    """Lines are counted only where their numbers are used; rows are the same either way."""
+    for no in range(3):
+        with open(f"{folder}/bank-{no}.jsonl", "w", encoding="utf-8") as f:
+            f.write('{"role":"x","question":"same"}\n' * 2 + ' \n\n{bad\nnull\n[1]\n"x"\n7\n{}\n{"role":null,"question":null}\n{"a":1} {}\n')
+    open(f"{folder}/empty.jsonl", "w").close()
+    bank = bank_files.read_bank(spark, folder)
+    plain = bank.select("role", "question", "type")
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan and plan.count("parseJson") == 1
+    rows = bank.select("line_no", "role", "question", "type").collect()
+    assert sorted(r["line_no"] for r in rows) == [12 * no + at for no in range(3) for at in (0, 1, 9, 10)]
+    assert sorted(tuple(r) for r in plain.collect()) == sorted(tuple(r)[1:] for r in rows)
+    assert sorted(tuple(r)[1:] for r in rows) == sorted([("x", "same", "Technical")] * 6 + [("", "", "Technical")] * 6)
+
+
 def test_line_ids_over_many_splits(spark, folder):
     """Small splits, several files: numbers follow the files' names and positions."""
     lines = [f"line {i} " + "x" * (i % 90) if i % 11 else "" for i in range(4000)]

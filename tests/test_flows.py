@@ -1,10 +1,14 @@
 """The flow from request to question, with several requests of one session."""
 
+import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
 from prepbank import fixed
 from prepbank.operators import retrieve
 from prepbank.plans import flows
+from prepbank.session import materialize
 
 
 def test_next_question(spark):
@@ -66,3 +70,58 @@ def test_reports(spark):
         "t": (fixed.REPORT_NO_HISTORY, None),
         "u": (fixed.REPORT_NO_RESPONSE, 1.0),
     }
+
+
+HISTORY = "id bigint, session_id string, question string, score double, timestamp timestamp"
+
+
+def page_by_hand(rows):
+    """(session, its number, average, question number, question, score), sessions and questions newest first."""
+    sessions = {}
+    for r in rows:
+        sessions.setdefault(r[1], []).append(r)
+    stamps = sorted(sessions, key=lambda s: (-max(r[4] for r in sessions[s]).timestamp(), s is not None, s or ""))
+    out = []
+    for no, s in enumerate(stamps, 1):
+        scores = [r[3] for r in sessions[s] if r[3] is not None]
+        shown = f"{sum(scores) / len(scores):.1f}" if scores else "0"
+        newest = sorted(sessions[s], key=lambda r: (r[4], r[0]), reverse=True)
+        out += [(s, no, shown, i, r[2], r[3]) for i, r in enumerate(newest, 1) if s is not None]
+    return sorted(out, key=str)
+
+
+def page(df):
+    return sorted(
+        [(r["session_id"], r["session_no"], r["avg_display"], r["question_no"], r["question"], r["score"]) for r in df.collect()], key=str
+    )
+
+
+@pytest.mark.parametrize("limit", [None, 3, 1_000_000])
+def test_session_page(spark, limit):
+    """Hot sessions, rows without a session, a question or a score, and rows that come twice."""
+    day = datetime.datetime(2024, 5, 1)
+    rows = [
+        (i, [None, "hot", "a", "b", "hot", "hot", f"s{i % 4}"][i % 7], None if i % 11 == 0 else f"q{i}", None if i % 5 == 0 else i % 9 / 2, day + datetime.timedelta(minutes=i * 7 % 40))
+        for i in range(80)
+    ]
+    rows += [(90, "alone", "x", None, day), rows[1], rows[2], rows[2]]
+    got = flows.session_page(spark.createDataFrame(rows, HISTORY).repartition(4), limit)
+    assert page(got) == page_by_hand(rows) and got.where("message is not null").count() == 0
+
+
+def test_session_page_without_history(spark):
+    got = flows.session_page(spark.createDataFrame([], HISTORY)).collect()
+    assert [r["message"] for r in got] == [fixed.PAGE_NO_HISTORY] and got[0]["session_id"] is None
+
+
+def test_session_page_groups_the_history_once(spark, monkeypatch):
+    """Of the history the page reads its rows and whether there are any; all else comes from one row per session, grouped ahead."""
+    stamp = datetime.datetime(2024, 5, 1)
+    history = materialize(spark.createDataFrame([(i, f"s{i % 5}", "q", 1.0, stamp) for i in range(20)], HISTORY), "history")
+    grouped = []
+    group = type(history).groupBy
+    monkeypatch.setattr(type(history), "groupBy", lambda self, *cols: grouped.append(bool(cols) and "question" in self.columns) or group(self, *cols))
+    got = flows.session_page(history)
+    assert grouped.count(True) == 1
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [id#") == 2
+    assert got.count() == 20
